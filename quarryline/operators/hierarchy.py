@@ -5,13 +5,17 @@ levels; every other entry hangs below a folder and is joined once, at the end. S
 query of as many shuffles, its result is written to the shared folder, and the next batch starts from
 there, so lineage stays short at any depth. Chains whose top is missing are walked the same way from
 their tops. What neither walk reaches lies on or below a loop; repeated squaring of the parent map
-tells the two apart.
+tells the two apart. Once few folders are left, which the count proves, one task walks the remaining
+levels in memory: a chain hundreds of levels deep then costs no query for each level.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 from quarryline.common import current_rows, materialize, shuffle_width
 
 #: Levels of one query.
-LEVELS = 12
+LEVELS = 4
+#: With at most so many folders left, one task walks the rest (their rows, with paths, take some 50 MB).
+TAIL_ROWS = 50_000
 #: A folder's children are split from this part of a task's fair share on.
 HOT_SHARE = 0.25
 REACHED, ORPHAN, CYCLE, BELOW = "reached", "orphan", "cycle", "below_cycle"
@@ -63,7 +69,7 @@ def _copied(parents: DataFrame, shards: DataFrame) -> DataFrame:
     return parents.join(F.broadcast(s), ["volume_id", "file_id"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards"), F.lit(1)) - 1))).drop("shards")
 
 
-def walk(entries: DataFrame, volumes: DataFrame, with_ancestors: bool = False) -> DataFrame:
+def walk(entries: DataFrame, volumes: DataFrame, with_ancestors: bool = False, tail_rows: int = TAIL_ROWS) -> DataFrame:
     """All folders: (volume_id, file_id, id, state, path, depth[, ancestors]).
 
     `entries` are rows of `prepare`. Two folder rows with one file_id on one volume count as one folder,
@@ -92,22 +98,72 @@ def walk(entries: DataFrame, volumes: DataFrame, with_ancestors: bool = False) -
         more = [F.concat("p.ancestors", F.array("p.id")).alias("ancestors")] * with_ancestors
         return p.join(c, on).select("c.volume_id", "c.file_id", "c.id", "p.state", F.concat("p.path", F.lit("/"), "c.name").alias("path"), (F.col("p.depth") + 1).alias("depth"), *more)
 
-    done, frontier = [], top
+    done, frontier, left = [], top, linked.count()
+    batch = materialize(top, "levels")
     while True:
-        level, levels = frontier.repartition(width, "volume_id", "file_id"), []
-        for k in range(LEVELS):
-            levels.append(level.withColumn("_level", F.lit(k)))
-            level = below(level).repartition(width, "volume_id", "file_id")
-        batch = materialize(reduce(DataFrame.unionAll, [*levels, level.withColumn("_level", F.lit(LEVELS))]), "levels")
-        done.append(batch.where(F.col("_level") < LEVELS).select(cols))
-        frontier = batch.where(F.col("_level") == LEVELS).select(cols)
-        if frontier.isEmpty():
+        done.append(batch.select(cols))
+        left -= batch.count()
+        frontier = batch.where(F.col("_level") == LEVELS).select(cols) if "_level" in batch.columns else batch
+        if left <= tail_rows or frontier.isEmpty():
             break
+        level, levels = frontier, []
+        for k in range(1, LEVELS + 1):
+            level = below(level).repartition(width, "volume_id", "file_id")
+            levels.append(level.withColumn("_level", F.lit(k)))
+        batch = materialize(reduce(DataFrame.unionAll, levels), "levels")
     edges.unpersist()
     reached = reduce(DataFrame.unionAll, done)
-    rest = materialize(linked.join(reached.select("volume_id", "file_id"), ["volume_id", "file_id"], "left_anti").select("volume_id", "file_id", "parent_id", "id"), "loops")
-    looped = _loops(rest).select("volume_id", "file_id", "id", "state", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), *[F.lit(None).cast("array<bigint>").alias("ancestors")] * with_ancestors)
-    return reached.unionAll(looped)
+    if not left:
+        return reached
+    rest = materialize(linked.join(reached.select("volume_id", "file_id"), ["volume_id", "file_id"], "left_anti").select("volume_id", "file_id", "parent_id", "id", "name"), "rest")
+    blank = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), *[F.lit(None).cast("array<bigint>").alias("ancestors")] * with_ancestors]
+    if left > tail_rows:
+        return reached.unionAll(_loops(rest).select("volume_id", "file_id", "id", "state", *blank))
+    parents = rest.select("volume_id", F.col("parent_id").alias("file_id")).distinct()
+    known = frontier.join(parents, ["volume_id", "file_id"], "left_semi").select(*cols, F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("string").alias("name"))
+    asked = rest.select("volume_id", "file_id", "id", F.lit(None).cast("string").alias("state"), *blank, "parent_id", "name")
+    return reached.unionAll(known.unionAll(asked).coalesce(1).mapInArrow(_tail, reached.schema))
+
+
+def _tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The remaining levels where few folders are left: the same frontier walk, in one task, from the rows
+    that have a state. Rows never reached are peeled from the leaves upwards; what can't be peeled is a loop."""
+    schema, rows = None, []
+    for b in batches:
+        schema, rows = b.schema, rows + b.to_pylist()
+    if schema is None:
+        return
+    frontier = [r for r in rows if r["state"]]
+    kids: dict[tuple, list[dict]] = {}
+    for r in rows:
+        if not r["state"]:
+            kids.setdefault((r["volume_id"], r["parent_id"]), []).append(r)
+    out = []
+    while frontier:
+        level = []
+        for p in frontier:
+            for c in kids.get((p["volume_id"], p["file_id"]), ()):
+                c["state"], c["depth"] = p["state"], None if p["depth"] is None else p["depth"] + 1
+                c["path"] = None if p["path"] is None or c["name"] is None else f"{p['path']}/{c['name']}"
+                if "ancestors" in c:
+                    c["ancestors"] = [*p["ancestors"], p["id"]]
+                level.append(c)
+        out += level
+        frontier = level
+    loose = {(r["volume_id"], r["file_id"]): r for r in rows if not r["state"]}
+    pending = Counter((r["volume_id"], r["parent_id"]) for r in loose.values())
+    leaves = [k for k in loose if not pending[k]]
+    while leaves:
+        r = loose[leaves.pop()]
+        r["state"] = BELOW
+        up = (r["volume_id"], r["parent_id"])
+        pending[up] -= 1
+        if not pending[up] and up in loose:
+            leaves.append(up)
+    for r in loose.values():
+        r["state"] = r["state"] or CYCLE
+    keep = [f for f in schema if f.name not in ("parent_id", "name")]
+    yield pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in keep} for r in [*out, *loose.values()]], schema=pa.schema(keep))
 
 
 def _loops(rest: DataFrame) -> DataFrame:
@@ -117,10 +173,9 @@ def _loops(rest: DataFrame) -> DataFrame:
     jump = rest.select("volume_id", "file_id", F.col("parent_id").alias("to"))
     steps = 1
     while steps < left:
-        for _ in range(2):
-            a, b = jump.alias("a"), jump.alias("b")
-            jump = a.join(b, (F.col("a.volume_id") == F.col("b.volume_id")) & (F.col("a.to") == F.col("b.file_id"))).select("a.volume_id", "a.file_id", "b.to")
-        jump, steps = materialize(jump, "jumps"), steps * 4
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = a.join(b, (F.col("a.volume_id") == F.col("b.volume_id")) & (F.col("a.to") == F.col("b.file_id"))).select("a.volume_id", "a.file_id", "b.to")
+        jump, steps = materialize(jump, "jumps"), steps * 2
     on = jump.select("volume_id", F.col("to").alias("file_id"), F.lit(CYCLE).alias("on")).distinct()
     return rest.join(on, ["volume_id", "file_id"], "left").withColumn("state", F.coalesce("on", F.lit(BELOW))).drop("on")
 

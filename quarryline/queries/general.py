@@ -92,22 +92,22 @@ UNION ALL SELECT 'volume_id', f.volume_id, count(*), CAST(sum(f.size) AS VARCHAR
     "p4_found": _TREE + """,
 folder AS (SELECT DISTINCT volume_id, file_id, parent_id, id FROM cur WHERE is_dir),
 up AS (
-  SELECT c.id, c.volume_id, c.parent_id AS at, c.file_id AS own, c.is_dir, 0 AS steps FROM cur c WHERE c.id NOT IN (SELECT id FROM down)
+  SELECT c.id, c.volume_id, c.parent_id AS stop, c.file_id AS own, c.is_dir, 0 AS steps FROM cur c WHERE c.id NOT IN (SELECT id FROM down)
   UNION
-  SELECT u.id, u.volume_id, f.parent_id, u.own, u.is_dir, u.steps + 1 FROM up u JOIN folder f ON u.volume_id = f.volume_id AND u.at = f.file_id WHERE u.steps < 400),
-ended AS (SELECT DISTINCT u.id FROM up u LEFT JOIN folder f ON u.volume_id = f.volume_id AND u.at = f.file_id WHERE f.id IS NULL),
-looped AS (SELECT id, bool_or(is_dir AND at = own) AS on_loop FROM up WHERE id NOT IN (SELECT id FROM ended) GROUP BY id)
+  SELECT u.id, u.volume_id, f.parent_id, u.own, u.is_dir, u.steps + 1 FROM up u JOIN folder f ON u.volume_id = f.volume_id AND u.stop = f.file_id WHERE u.steps < 400),
+ended AS (SELECT DISTINCT u.id FROM up u LEFT JOIN folder f ON u.volume_id = f.volume_id AND u.stop = f.file_id WHERE f.id IS NULL),
+looped AS (SELECT id, bool_or(is_dir AND stop = own) AS on_loop FROM up WHERE id NOT IN (SELECT id FROM ended) GROUP BY id)
 SELECT id, 'path_mismatch' AS finding FROM down WHERE path IS DISTINCT FROM full_path
 UNION ALL SELECT id, 'orphan' FROM ended
 UNION ALL SELECT id, CASE WHEN on_loop THEN 'cycle' ELSE 'below_cycle' END FROM looped""",
     "p4_paths": _TREE + " SELECT id, volume_id, full_path, depth FROM down",
     "p4_descendants": _TREE + " SELECT above[i] AS ancestor_id, id AS descendant_id, depth - i AS distance FROM (SELECT id, depth, above, unnest(range(1, depth)) AS i FROM down)",
     "p5_found": """WITH ok AS (SELECT run_id, delivery, lag(delivery) OVER (ORDER BY run_id) AS before FROM index_runs WHERE run_state = 'ok'),
-at AS (SELECT DISTINCT delivery AS d FROM ok),
+stops AS (SELECT DISTINCT delivery AS d FROM ok),
 state AS (
   SELECT d, id, modified, changed_ns, content_indexed FROM (
     SELECT a.d, o.*, row_number() OVER (PARTITION BY a.d, o.id ORDER BY o.changed_ns DESC NULLS LAST, o.seq DESC NULLS LAST) AS rn
-    FROM at a JOIN observations o ON o.delivery <= a.d) WHERE rn = 1)
+    FROM stops a JOIN observations o ON o.delivery <= a.d) WHERE rn = 1)
 SELECT ok.run_id, s.id FROM ok JOIN state s ON s.d = ok.delivery LEFT JOIN state b ON b.d = ok.before AND b.id = s.id
 WHERE b.id IS NULL OR s.modified IS DISTINCT FROM b.modified OR s.changed_ns IS DISTINCT FROM b.changed_ns OR s.content_indexed IS DISTINCT FROM b.content_indexed""",
     "p6_found": f"WITH {_PAIRS} SELECT snapshot_no, id, change_kind FROM diff",
