@@ -8,10 +8,17 @@ from pyspark.sql import types as T
 
 from quarryline.functions import text as X
 
-SCHEMA = T.StructType.fromDDL(
+_TYPES = {"bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
+SCHEMA = _struct(
     "id bigint, path string, name string, extension string, size bigint, modified bigint, created bigint, changed bigint, modified_ns bigint, changed_ns bigint, is_dir boolean, is_symlink boolean, file_id bigint, parent_id bigint, volume_id string, flags bigint, properties string, content_indexed boolean"
 )
-CONTENT_SCHEMA = T.StructType.fromDDL("path string, body string, properties string")
+CONTENT_SCHEMA = _struct("path string, body string, properties string")
 #: Columns a generation stores ready-made.
 DERIVED = {
     "folded_name": lambda: X.fold_column("name"),

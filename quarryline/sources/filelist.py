@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +82,13 @@ def export_rows(results: DataFrame) -> DataFrame:
 
 
 def write_list(results: DataFrame, path: str) -> None:
-    """Writes CSV with CRLF and doubled quotes. An existing target is an error."""
+    """Writes CSV with CRLF and doubled quotes, each part file with its header, so that any of them is a
+    list. An existing target is an error."""
     quote = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     line = F.concat_ws(",", *[quote(F.coalesce(F.col(f"`{h}`").cast("string"), F.lit(""))) for h in HEADER]).alias("value")
-    head = results.sparkSession.createDataFrame([(",".join(HEADER),)], "value string").coalesce(1)
-    head.unionAll(export_rows(results).select(line)).write.mode("error").option("lineSep", "\r\n").text(path)
+    export_rows(results).select(line).mapInArrow(_with_header, "value string").write.mode("error").option("lineSep", "\r\n").text(path)
+
+
+def _with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_pydict({"value": [",".join(HEADER)]})
+    yield from batches
