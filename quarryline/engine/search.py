@@ -69,7 +69,7 @@ class Catalog:
         full = Compiler(df, Mode(unknown_properties=True))
         if not outer_content:
             return full.keep(node), df
-        return F.coalesce(F.when(F.col("body").isNull(), Compiler(df).column(node)).otherwise(full.column(node)), F.lit(False)), df
+        return F.when(F.col("body").isNull(), Compiler(df).column(node)).otherwise(full.column(node)), df
 
     def matches(self, text: str) -> DataFrame:
         """All rows that `text` finds and no exclusion drops; an exclusion that is unknown drops nothing."""
@@ -77,7 +77,7 @@ class Catalog:
         keep, df = self._kept(self.tree(text), df)
         for e in self.exclusions:
             drop, df = self._kept(self.tree(e), df)
-            keep = keep & ~drop
+            keep = keep & ~F.coalesce(drop, F.lit(False))
         return df.where(keep).select(columns)
 
     def content_candidates(self, text: str) -> DataFrame:

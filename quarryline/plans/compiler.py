@@ -54,25 +54,30 @@ def property_number(name: str) -> Column:
 
 class Compiler:
     def __init__(self, df: DataFrame, mode: Mode = Mode()):
-        self.df, self.mode = df, mode
-
-    def column(self, node: A.Node) -> Column:
-        """Three-valued."""
-        if isinstance(node, A.Everything):
-            return F.lit(True)
-        if isinstance(node, (A.All, A.Any)):
-            parts = [self.column(p) for p in dict.fromkeys(node.parts)]
-            return reduce((lambda a, b: a & b) if isinstance(node, A.All) else (lambda a, b: a | b), parts, *([] if parts else [F.lit(isinstance(node, A.All))]))
-        if isinstance(node, A.Not):
-            return ~self.column(node.part)
-        return self._leaf(node)
+        self.df, self.mode, self._exact = df, mode, True
+
+    def column(self, node: A.Node, exact: bool = True) -> Column:
+        """Three-valued. Where no NOT stands above, a filter treats false and NULL alike; then (not `exact`)
+        leaves stay plain comparisons, which the scan can use."""
+        outer, self._exact = self._exact, exact
+        try:
+            if isinstance(node, A.Everything):
+                return F.lit(True)
+            if isinstance(node, (A.All, A.Any)):
+                parts = [self.column(p, exact) for p in dict.fromkeys(node.parts)]
+                return reduce((lambda a, b: a & b) if isinstance(node, A.All) else (lambda a, b: a | b), parts, *([] if parts else [F.lit(isinstance(node, A.All))]))
+            if isinstance(node, A.Not):
+                return ~self.column(node.part, True)
+            return self._leaf(node)
+        finally:
+            self._exact = outer
 
     def keep(self, node: A.Node) -> Column:
-        """Two-valued: the row is a result."""
-        return F.coalesce(self.column(node), F.lit(self.mode.candidates))
+        """For a filter: true where the row is a result, else false or NULL."""
+        return F.coalesce(self.column(node), F.lit(True)) if self.mode.candidates else self.column(node, False)
 
     def _known(self, c: Column) -> Column:
-        return F.coalesce(c, F.lit(False))
+        return F.coalesce(c, F.lit(False)) if self._exact else c
 
     def _leaf(self, node: A.Node) -> Column:
         if isinstance(node, Resolved):
@@ -105,6 +110,8 @@ class Compiler:
         if prop:
             value = property_number(node.field)
         elif node.field == "size":
+            if isinstance(node, A.Number) and not self._exact:
+                return in_range(F.col("size"), node) & ~F.coalesce(F.col("is_dir"), F.lit(False))
             value = F.when(~F.coalesce(F.col("is_dir"), F.lit(False)), F.col("size"))
         else:
             value = F.col(node.field)

@@ -91,4 +91,5 @@ def write_list(results: DataFrame, path: str) -> None:
 
 def _with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"value": [",".join(HEADER)]})
-    yield from batches
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
