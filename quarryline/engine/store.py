@@ -7,7 +7,7 @@ import hashlib
 import json
 import time
 import uuid
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -89,6 +89,7 @@ class GenerationStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root.rstrip("/"))
+        self.pins, self.retired = Counter(), set()
 
     def manifest(self) -> dict:
         return self.files.read("manifest.json") or {"generations": [], "batch": -1}
@@ -103,10 +104,25 @@ class GenerationStore:
         token = hashlib.sha256(json.dumps(cover, sort_keys=True).encode()).hexdigest()
         kept = [*m["generations"], {"n": n, "name": name, "coverage": cover, "token": token}]
         self.files.replace("manifest.json", {"generations": kept[-KEEP:], "batch": m["batch"] if batch is None else batch})
-        for g in kept[:-KEEP]:
-            self.files.delete(g["name"])
+        self.retired |= {g["name"] for g in kept[:-KEEP]}
+        self._drop()
         return n
 
+    def _drop(self) -> None:
+        """Deletes generations that are neither kept nor pinned by a lease."""
+        for name in [r for r in self.retired if not self.pins[r]]:
+            self.files.delete(name)
+            self.retired.discard(name)
+
+    def pin(self, n: int | None = None) -> str:
+        name = self._find(n)["name"]
+        self.pins[name] += 1
+        return name
+
+    def unpin(self, name: str) -> None:
+        self.pins[name] -= 1
+        self._drop()
+
     def last_batch(self) -> int:
         return self.manifest()["batch"]
 
@@ -158,16 +174,16 @@ class Leases:
         self.store, self.now, self.held = store, now, OrderedDict()
 
     def _sweep(self) -> None:
-        for k in [k for k, (_, end, _) in self.held.items() if end <= self.now()]:
-            del self.held[k]
+        for k in [k for k, h in self.held.items() if h.end <= self.now()]:
+            self.release(k)
 
     def retain(self, window: bool = True, generation: int | None = None) -> str:
         self._sweep()
-        if sum(w == window for _, _, w in self.held.values()) >= (WINDOW_LEASES if window else OPERATION_LEASES):
+        if sum(h.window == window for h in self.held.values()) >= (WINDOW_LEASES if window else OPERATION_LEASES):
             raise RuntimeError("too many leases")
         key = uuid.uuid4().hex
-        catalog = self.store.catalog(generation if generation is not None else self.store.current(), Clock(self.now()))
-        self.held[key] = (catalog, self.now() + LEASE_SECONDS, window)
+        catalog = self.store.catalog(generation, Clock(self.now()))
+        self.held[key] = _Held(catalog, self.now() + LEASE_SECONDS, window, self.store.pin(generation))
         return key
 
     def get(self, key: str) -> Catalog:
@@ -175,9 +191,19 @@ class Leases:
         self._sweep()
         if key not in self.held:
             raise Expired("snapshot lease expired")
-        catalog, _, window = self.held[key]
-        self.held[key] = (catalog, self.now() + LEASE_SECONDS, window)
-        return catalog
+        self.held[key] = replace(self.held[key], end=self.now() + LEASE_SECONDS)
+        return self.held[key].catalog
 
     def release(self, key: str) -> bool:
-        return self.held.pop(key, None) is not None
+        held = self.held.pop(key, None)
+        if held:
+            self.store.unpin(held.pinned)
+        return held is not None
+
+
+@dataclass(frozen=True)
+class _Held:
+    catalog: Catalog
+    end: float
+    window: bool
+    pinned: str

@@ -11,7 +11,7 @@ from quarryline.plans.model import parent_path
 
 def _stem_and_extension() -> tuple[Column, Column]:
     """A leading dot is no extension, and folders have none."""
-    dot = F.regexp_extract("name", r"^(.+)(\.[^.]*)$", 2)
+    dot = F.regexp_extract("name", r"(?s)\A(.+)(\.[^.]*)\z", 2)
     split = ~F.coalesce("is_dir", F.lit(False)) & (dot != "") & (dot != ".")
     return F.when(split, F.substring("name", F.lit(1), F.length("name") - F.length(dot))).otherwise(F.col("name")), F.when(split, dot).otherwise("")
 

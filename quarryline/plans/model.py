@@ -33,8 +33,8 @@ DERIVED = {
 
 def parent_path(path: Column) -> Column:
     """What stands before the last '/', '/' itself for what lies directly below it, '' without any parent."""
-    cut = F.regexp_replace(F.regexp_replace(path, r"(?<=.)/+$", ""), r"/+[^/]*$", "")
-    return F.when(path.rlike("^/+$") | ~path.contains("/"), "").when(cut == "", "/").otherwise(cut)
+    cut = F.regexp_replace(F.regexp_replace(path, r"(?s)(?<=.)/+\z", ""), r"/+[^/]*\z", "")
+    return F.when(path.rlike(r"\A/+\z") | ~path.contains("/"), "").when(cut == "", "/").otherwise(cut)
 
 
 def derived(df: DataFrame, name: str) -> Column:

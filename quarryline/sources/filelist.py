@@ -56,11 +56,11 @@ def import_rows(rows: DataFrame, order: str | None = None) -> DataFrame:
     """
     have = set(rows.columns)
     col = lambda n, t, d=None: (F.coalesce(F.col(n).cast(t), F.lit(d)) if d is not None else F.col(n).cast(t)) if n in have else F.lit(d).cast(t)
-    name = F.coalesce(col("name", "string"), F.regexp_extract("path", r"([^/\\]*)[/\\]*$", 1))
+    name = F.coalesce(col("name", "string"), F.regexp_extract("path", r"([^/\\]*)[/\\]*\z", 1))
     ready = rows.where(F.col("path").isNotNull() & (F.col("path") != "")).select(
         "path", F.struct((F.col(order) if order else F.lit(0)).alias("o"), name.alias("name"), col("size", "bigint", 0).alias("size"), col("modified", "bigint", 0).alias("modified"), col("created", "bigint", 0).alias("created"), col("is_dir", "boolean", False).alias("is_dir")).alias("r"))
     last = ready.groupBy("path").agg(F.max("r").alias("r")).select("path", "r.*")
-    ext = F.when(~F.col("is_dir") & F.col("name").rlike(r"^.+\.[^.]+$"), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).otherwise("")
+    ext = F.when(~F.col("is_dir") & F.col("name").rlike(r"(?s)\A.+\.[^.]+\z"), F.lower(F.regexp_extract("name", r"\.([^.]+)\z", 1))).otherwise("")
     values = {"id": F.xxhash64("path").bitwiseAND(F.lit(2**63 - 1)), "extension": ext, "changed": F.col("modified"), "modified_ns": F.lit(0), "changed_ns": F.lit(0), "is_symlink": F.lit(False), "file_id": F.lit(0), "parent_id": F.lit(0), "volume_id": F.lit(OFFLINE), "flags": F.lit(0), "properties": F.lit("{}"), "content_indexed": F.lit(False)}
     full = last.withColumns(values)
     return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
