@@ -68,3 +68,10 @@ def current_rows(files: DataFrame, values: list[Column], key: str = "id", newest
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as the cluster runs tasks: for work whose cost lies in Python, not
+    in reading. Input in enough splits stays where it is and isn't shuffled."""
+    parts, slots = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if 0 < parts < slots else df
