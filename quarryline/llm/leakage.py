@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.common import spread
 from quarryline.llm.lookalike import fold_long
 
 # The masks; '0' positions are ignored.
@@ -31,6 +32,8 @@ EDIT, SCORE = 2.0, 15.0
 PLACES = 5
 #: Words around a seed hit that the alignment looks at, and the gap that parts two groups of hits.
 AROUND, GAP = 48, 64
+#: Pairs aligned together.
+CHUNK = 128
 #: Characters of items in one block: their seeds take about 20 bytes for each mask and word.
 BLOCK_CHARS = 8_000_000
 
@@ -92,54 +95,79 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(items), np.concatenate(places)
 
-    def found_in(self, text: str | None) -> list[tuple[int, float]]:
-        """(item id, score) of the items of which `text` holds a stretch."""
+    def candidates(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, stretch of the document's words) that an alignment has to decide."""
         ids = np.array([self.vocabulary.get(w, 0) for w in words(text)], np.int64)
         if np.count_nonzero(ids) < SCORE:
-            return []
+            return
         item, place = self.hits(ids)
-        out = []
-        if len(item):
-            order = np.lexsort((place, item))
-            item, place = item[order], place[order]
-            cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(place) > GAP)) + 1
-            best: dict[int, float] = {}
-            for group in np.split(np.arange(len(item)), cuts):
-                i = int(item[group[0]])
-                if len(np.unique(place[group])) < PLACES:
-                    continue
-                part = ids[max(0, place[group[0]] - AROUND) : place[group[-1]] + AROUND]
-                if best.get(i, 0) < SCORE and np.isin(part, self.words[i]).sum() >= SCORE:
-                    best[i] = max(best.get(i, 0), align(part, self.words[i]))
-            out = [(self.ids[i], s) for i, s in best.items() if s >= SCORE]
-        return out
+        if not len(item):
+            return
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(place) > GAP)) + 1
+        for group in np.split(np.arange(len(item)), cuts):
+            if len(group) >= PLACES and len(np.unique(place[group])) >= PLACES:
+                yield int(item[group[0]]), ids[max(0, place[group[0]] - AROUND) : place[group[-1]] + AROUND]
+
+    def found_in_all(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
+        """(which text, item id, score) of the items of which a text holds a stretch."""
+        asked = [(k, i, part) for k, t in enumerate(texts) for i, part in self.candidates(t)]
+        best: dict[tuple[int, int], float] = {}
+        for (k, i, _), score in zip(asked, align_all([p for *_, p in asked], [self.words[i] for _, i, _ in asked])):
+            best[k, i] = max(best.get((k, i), 0.0), score)
+        return [(k, self.ids[i], s) for (k, i), s in best.items() if s >= SCORE]
 
+    def found_in(self, text: str | None) -> list[tuple[int, float]]:
+        return [(i, s) for _, i, s in self.found_in_all([text])]
 
-def align(part: np.ndarray, item: np.ndarray) -> float:
-    """The best local alignment's score among those that span STRETCH words of the item or more; 0 if none.
 
-    One row for each document word; along a row, words of the item left out cost EDIT each, so the best
-    way to come from the left is a running maximum.
-    """
-    m = len(item)
-    ramp = EDIT * np.arange(m)
-    score, start = np.zeros(m + 1), np.arange(m + 1)
-    best = 0.0
-    for w in part:
-        via = np.where(item == w, 1.0, -EDIT) + score[:-1]
-        gap = score[1:] - EDIT
+def align(part: np.ndarray, item: np.ndarray) -> float:
+    return align_all([part], [item])[0]
+
+
+def align_all(parts: list[np.ndarray], items: list[np.ndarray]) -> list[float]:
+    """Of each pair the best local alignment's score among those that span STRETCH words of the item or
+    more; 0 if none. Pairs of like length are aligned together, CHUNK at a time."""
+    out = [0.0] * len(parts)
+    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
+    for at in range(0, len(order), CHUNK):
+        some = order[at : at + CHUNK]
+        for k, s in zip(some, _align([parts[k] for k in some], [items[k] for k in some])):
+            out[k] = float(s)
+    return out
+
+
+def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), fill, np.int64)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def _align(parts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """One step for each document word; along the items, words left out cost EDIT each, so the best way to
+    come from the left is a running maximum. `start` is where in the item an alignment began."""
+    a, b = _padded(parts, -1), _padded(items, -2)
+    n, m = b.shape
+    columns = np.arange(m)
+    ramp = EDIT * columns
+    score, start = np.zeros((n, m + 1)), np.tile(np.arange(m + 1), (n, 1))
+    best = np.zeros(n)
+    for w in a.T:
+        via = np.where(b == w[:, None], 1.0, -EDIT) + score[:, :-1]
+        gap = score[:, 1:] - EDIT
         new = np.maximum(via, gap)
-        came = np.where(via >= gap, start[:-1], start[1:])
+        came = np.where(via >= gap, start[:, :-1], start[:, 1:])
         fresh = new <= 0
-        new[fresh] = 0.0
-        came[fresh] = np.flatnonzero(fresh) + 1
+        np.copyto(new, 0.0, where=fresh)
+        np.copyto(came, columns + 1, where=fresh)
         lifted = new + ramp
-        top = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted >= top, np.arange(m), 0))
-        score, start = np.concatenate(([0.0], top - ramp)), np.concatenate(([0], came[source]))
-        long = np.arange(m + 1) - start >= STRETCH
-        if long.any():
-            best = max(best, float(score[long].max()))
+        top = np.maximum.accumulate(lifted, axis=1)
+        source = np.maximum.accumulate(np.where(lifted >= top, columns, 0), axis=1)
+        score[:, 1:], start[:, 1:] = top - ramp, np.take_along_axis(came, source, axis=1)
+        long = np.where(np.arange(m + 1) - start >= STRETCH, score, 0.0)
+        np.maximum(best, long.max(axis=1), out=best)
     return best
 
 
@@ -147,12 +175,9 @@ def _finder(blob: tuple[list[int], list[str | None]], doc_id: str, text: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*blob)
         for b in batches:
-            docs, found = [], []
-            for d, t in zip(b[doc_id].to_pylist(), b[text].to_pylist()):
-                for i, s in items.found_in(t):
-                    docs.append(d)
-                    found.append((i, s))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "item_id", "score"])
+            docs = b[doc_id].to_pylist()
+            found = items.found_in_all(b[text].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for *_, s in found], pa.float64())], ["doc_id", "item_id", "score"])
 
     return run
 
@@ -166,7 +191,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks, out = max(1, -(-chars // BLOCK_CHARS)), []
-    docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(documents.where(F.col(doc_id).isNotNull())).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     for k in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i").collect()
         out.append(docs.mapInArrow(_finder(([r["i"] for r in rows], [r["t"] for r in rows]), "doc_id", "text"), "doc_id bigint, item_id bigint, score double"))
