@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.common import materialize
+from quarryline.common import materialize, spread
 
 #: The vocabulary file (ranks of a byte-level BPE) and the pattern that parts words, a fixed value.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -80,7 +80,7 @@ def budgets(totals: dict[str, int], targets: list[tuple[str, float, int]], size:
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, weight: Column | None = None) -> DataFrame:
     """(doc_id, source, weight, tokens), written once, of documents that have a source."""
-    rows = documents.where(F.col("source").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", (weight if weight is not None else quality_weight()).cast("double").alias("weight"), "text")
+    rows = spread(documents.where(F.col("source").isNotNull())).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", (weight if weight is not None else quality_weight()).cast("double").alias("weight"), "text")
     return materialize(rows.mapInArrow(_counter(tokenizer), "doc_id bigint, source string, weight double, tokens bigint"), "tokens")
 
 
