@@ -72,6 +72,10 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def spread(df: DataFrame) -> DataFrame:
     """`df` in at least as many partitions as the cluster runs tasks: for work whose cost lies in Python, not
-    in reading. Input in enough splits stays where it is and isn't shuffled."""
+    in reading. Input in enough splits stays where it is and isn't shuffled, nor is what comes out of a join
+    or an aggregate, whose partitions aren't known before it runs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Distinct", "Limit")):
+        return df
     parts, slots = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if 0 < parts < slots else df

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,9 +38,20 @@ def fold_search(s: str) -> str:
     return s.lower() if s.isascii() else nfc(strip_marks(s)).casefold()
 
 
-def _column(function: Callable[[str], str], ascii_form: Callable[[Column], Column]) -> Callable[[Column | str], Column]:
+@lru_cache(maxsize=65_536)
+def _kept(function: str, part: str) -> str:
+    return globals()[function](part)
+
+
+def _column(function: Callable[[str], str], ascii_form: Callable[[Column], Column], ascii_part: Callable[[str], str]) -> Callable[[Column | str], Column]:
+    name = function.__name__
+
+    def part(p: str) -> str:
+        return ascii_part(p) if p.isascii() else _kept(name, p) if len(p) <= 256 else function(p)
+
     def batch(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else function(x) for x in s], dtype=object)
+        # No mark composes with '/', so paths fold part by part, and most parts repeat.
+        return pd.Series([None if x is None else "/".join(map(part, x.split("/"))) for x in s], dtype=object)
 
     udf = F.pandas_udf(batch, T.StringType())
 
@@ -51,10 +63,10 @@ def _column(function: Callable[[str], str], ascii_form: Callable[[Column], Colum
     return column
 
 
-fold_column = _column(fold, F.lower)
-fold_search_column = _column(fold_search, F.lower)
-stripped_column = _column(strip_marks, lambda c: c)
-nfc_column = _column(nfc, lambda c: c)
+fold_column = _column(fold, F.lower, str.lower)
+fold_search_column = _column(fold_search, F.lower, str.lower)
+stripped_column = _column(strip_marks, lambda c: c, str)
+nfc_column = _column(nfc, lambda c: c, str)
 
 
 def natural_key(folded: Column) -> Column:

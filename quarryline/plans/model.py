@@ -33,8 +33,11 @@ DERIVED = {
 
 def parent_path(path: Column) -> Column:
     """What stands before the last '/', '/' itself for what lies directly below it, '' without any parent."""
-    cut = F.regexp_replace(F.regexp_replace(path, r"(?s)(?<=.)/+\z", ""), r"/+[^/]*\z", "")
-    return F.when(path.rlike(r"\A/+\z") | ~path.contains("/"), "").when(cut == "", "/").otherwise(cut)
+    cut = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+    # Doubled and trailing slashes are rare; only they need patterns.
+    bare = F.regexp_replace(F.regexp_replace(path, r"(?s)(?<=.)/+\z", ""), r"/+[^/]*\z", "")
+    odd = F.when(path.rlike(r"\A/+\z"), "").when(bare == "", "/").otherwise(bare)
+    return F.when(~path.contains("/"), "").when(path.endswith("/") | cut.endswith("/"), odd).when(cut == "", "/").otherwise(cut)
 
 
 def derived(df: DataFrame, name: str) -> Column:

@@ -44,9 +44,8 @@ def reconcile_plan(events: DataFrame, roots: list[str]) -> DataFrame:
     for its parent. Paths inside a rescanned subtree aren't planned again.
     """
     seen = classify(events)
-    lost = seen.groupBy().agg(F.coalesce(F.bool_or("lost"), F.lit(False)).alias("_lost"))
-    every = seen.sparkSession.createDataFrame([(r,) for r in roots], "path string")
-    whole = every.join(F.broadcast(lost), F.col("_lost")).select("path")  # one row, true or false
+    # One event that lost history stands for all of them.
+    whole = seen.where("lost").limit(1).select(F.explode(F.array(*map(F.lit, roots))).alias("path"))
     subtrees = seen.where("must_rescan").select("path").unionByName(whole).distinct()
     parts = F.split("path", "/")
     ups = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
