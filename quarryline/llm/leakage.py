@@ -23,12 +23,12 @@ from quarryline.llm.lookalike import fold_long
 
 # The masks; '0' positions are ignored.
 MASKS = ("11111", "1101101", "111011", "1100111")
-#: A stretch has at least so many words of the item.
-STRETCH = 20
-#: Alignment: a word in common counts 1, one replaced, dropped or added -EDIT; what a stretch must reach.
-EDIT, SCORE = 2.0, 15.0
+#: A stretch has 20 words of the item or more, up to an eighth of them edited; fewer than ten words in a row
+#: are none. In an alignment a word in common counts 1 and one replaced, dropped or added -EDIT, so the
+#: shortest stretch reaches 18 - 2 EDIT = 14 and nine words in a row 9; sentences of one pattern reach 11.
+EDIT, SCORE = 2.0, 12.5
 #: Seed places in common that a stretch has at least: L words with L/8 of them edited leave L - 5 L/8 - 4
-#: or more places to the mask without gaps, which is 5 or more for every L from STRETCH on.
+#: or more places to the mask without gaps, which is 5 or more for every L from 20 on.
 PLACES = 5
 #: Words around a seed hit that the alignment looks at, and the gap that parts two groups of hits.
 AROUND, GAP = 48, 64
@@ -39,6 +39,7 @@ BLOCK_CHARS = 8_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _WORD = re.compile(r"[^\W_]+")
+_PAIR = re.compile(r"(?<![\w-])([^\W_]+)-([^\W_]+)(?![\w-])")
 
 
 def words(text: str | None) -> list[str]:
@@ -66,8 +67,12 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids, self.vocabulary, self.words = ids, {}, []
-        for t in texts:
-            self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64))
+        split = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64) for t in texts]
+        # Two words that an item joins by a hyphen count as one, however a document parts them.
+        pairs = {(self.vocabulary[a], self.vocabulary[b]) for t in texts if t for a, b in _PAIR.findall(_TAG.sub(" ", fold_long(t)).lower()) if a in self.vocabulary and b in self.vocabulary}
+        self.base = len(self.vocabulary) + 1
+        self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), np.int64)
+        self.words = [self._joined(w) for w in split]
         self.tables = []
         for mask in MASKS:
             parts = [(*_seeds(w, mask), i) for i, w in enumerate(self.words)]
@@ -77,6 +82,15 @@ class Items:
             order = np.argsort(h, kind="stable")
             self.tables.append((mask, h[order], item[order], at[order]))
 
+    def _joined(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) < 2 or not len(self.pairs):
+            return ids
+        key = ids[:-1] * self.base + ids[1:]
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        first = np.append((self.pairs[at] == key) & (ids[:-1] > 0), False)
+        out = np.where(first, self.base + np.append(at, 0), ids)
+        return out[~np.concatenate(([False], first[:-1]))]
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, word position in the document) of every seed in common."""
         items, places = [], []
@@ -97,7 +111,7 @@ class Items:
 
     def candidates(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         """(item, stretch of the document's words) that an alignment has to decide."""
-        ids = np.array([self.vocabulary.get(w, 0) for w in words(text)], np.int64)
+        ids = self._joined(np.array([self.vocabulary.get(w, 0) for w in words(text)], np.int64))
         if np.count_nonzero(ids) < SCORE:
             return
         item, place = self.hits(ids)
@@ -127,8 +141,8 @@ def align(part: np.ndarray, item: np.ndarray) -> float:
 
 
 def align_all(parts: list[np.ndarray], items: list[np.ndarray]) -> list[float]:
-    """Of each pair the best local alignment's score among those that span STRETCH words of the item or
-    more; 0 if none. Pairs of like length are aligned together, CHUNK at a time."""
+    """The best local alignment's score of each pair. Pairs of like length are aligned together, CHUNK at a
+    time."""
     out = [0.0] * len(parts)
     order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
     for at in range(0, len(order), CHUNK):
@@ -147,27 +161,19 @@ def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
 
 def _align(parts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """One step for each document word; along the items, words left out cost EDIT each, so the best way to
-    come from the left is a running maximum. `start` is where in the item an alignment began."""
+    come from the left is a running maximum."""
     a, b = _padded(parts, -1), _padded(items, -2)
     n, m = b.shape
-    columns = np.arange(m)
-    ramp = EDIT * columns
-    score, start = np.zeros((n, m + 1)), np.tile(np.arange(m + 1), (n, 1))
-    best = np.zeros(n)
+    ramp = EDIT * np.arange(m)
+    score, best = np.zeros((n, m + 1)), np.zeros(n)
     for w in a.T:
-        via = np.where(b == w[:, None], 1.0, -EDIT) + score[:, :-1]
-        gap = score[:, 1:] - EDIT
-        new = np.maximum(via, gap)
-        came = np.where(via >= gap, start[:, :-1], start[:, 1:])
-        fresh = new <= 0
-        np.copyto(new, 0.0, where=fresh)
-        np.copyto(came, columns + 1, where=fresh)
-        lifted = new + ramp
-        top = np.maximum.accumulate(lifted, axis=1)
-        source = np.maximum.accumulate(np.where(lifted >= top, columns, 0), axis=1)
-        score[:, 1:], start[:, 1:] = top - ramp, np.take_along_axis(came, source, axis=1)
-        long = np.where(np.arange(m + 1) - start >= STRETCH, score, 0.0)
-        np.maximum(best, long.max(axis=1), out=best)
+        new = np.where(b == w[:, None], 1.0, -EDIT) + score[:, :-1]
+        np.maximum(new, score[:, 1:] - EDIT, out=new)
+        np.maximum(new, 0.0, out=new)
+        new += ramp
+        np.maximum.accumulate(new, axis=1, out=new)
+        np.subtract(new, ramp, out=score[:, 1:])
+        np.maximum(best, score.max(axis=1), out=best)
     return best
 
 
@@ -185,7 +191,7 @@ def _finder(blob: tuple[list[int], list[str | None]], doc_id: str, text: str) ->
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score): documents with a stretch of an item, each pair once with its best score.
 
-    Null and empty texts hold nothing and aren't held. Items shorter than STRETCH words can't leak. The
+    Null and empty texts hold nothing and aren't held. Items of fewer words than SCORE can't leak. The
     driver reads items block by block, BLOCK_CHARS each; each block is one pass over the documents.
     """
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
