@@ -122,7 +122,7 @@ def walk(entries: DataFrame, volumes: DataFrame, with_ancestors: bool = False, t
     parents = rest.select("volume_id", F.col("parent_id").alias("file_id")).distinct()
     known = frontier.join(parents, ["volume_id", "file_id"], "left_semi").select(*cols, F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("string").alias("name"))
     asked = rest.select("volume_id", "file_id", "id", F.lit(None).cast("string").alias("state"), *blank, "parent_id", "name")
-    return reached.unionAll(known.unionAll(asked).coalesce(1).mapInArrow(_tail, reached.schema))
+    return reached.unionAll(materialize(known.unionAll(asked).repartition(1).mapInArrow(_tail, reached.schema), "tail"))
 
 
 def _tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,20 +190,19 @@ def place(entries: DataFrame, folders: DataFrame, volumes: DataFrame) -> DataFra
     more = [c for c in folders.columns if c == "ancestors"]
     # The root of a volume is a parent like any folder, and comes before a folder that has its number.
     roots = volumes.groupBy("volume_id").agg(F.min(F.struct("path", "root_file_id")).alias("r")).select(
-        "volume_id", F.col("r.root_file_id").alias("file_id"), F.lit(None).cast("bigint").alias("p_id"), F.lit(REACHED).alias("p_state"), F.when(F.col("r.path") == "/", "").otherwise(F.col("r.path")).alias("p_path"), F.lit(0).alias("p_depth"), *[F.array().cast("array<bigint>").alias(c) for c in more])
-    known = folders.select("volume_id", "file_id", F.col("id").alias("p_id"), F.col("state").alias("p_state"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), *more)
+        "volume_id", F.col("r.root_file_id").alias("file_id"), F.lit(None).cast("bigint").alias("p_id"), F.lit(REACHED).alias("p_state"), F.when(F.col("r.path") == "/", "").otherwise(F.col("r.path")).alias("p_path"), F.lit(0).alias("p_depth"), F.lit(None).cast("bigint").alias("loop_child"), *[F.array().cast("array<bigint>").alias(c) for c in more])
+    # On a loop each folder has one child folder that is on it too, so the parent can tell which.
+    on_loop = folders.where(F.col("state") == CYCLE).select("id").join(entries.where("is_dir"), "id").select("volume_id", F.col("parent_id").alias("file_id"), F.col("file_id").alias("loop_child"))
+    known = folders.join(on_loop, ["volume_id", "file_id"], "left").select("volume_id", "file_id", F.col("id").alias("p_id"), F.col("state").alias("p_state"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), "loop_child", *more)
     parents = known.join(F.broadcast(roots.select("volume_id", "file_id")), ["volume_id", "file_id"], "left_anti").unionAll(roots)
-    loops = folders.where(F.col("state") == CYCLE).select("volume_id", "file_id", F.lit(True).alias("on_loop"))
     shards = materialize(_shards(entries, width), "shards")
     kids = _salted(entries, shards, "id").alias("e")
     ps = _copied(parents, shards).alias("p")
     on = (F.col("e.volume_id") == F.col("p.volume_id")) & (F.col("e.parent_id") == F.col("p.file_id")) & (F.col("e._salt") == F.col("p._salt"))
-    joined = kids.join(ps, on, "left").select("e.*", "p_id", "p_state", "p_path", "p_depth", *more)
-    loop_ids = loops.join(entries.where("is_dir").select("volume_id", "file_id", "id"), ["volume_id", "file_id"]).select("id", "on_loop")
-    joined = joined.join(loop_ids, "id", "left")
+    joined = kids.join(ps, on, "left").select("e.*", "p_id", "p_state", "p_path", "p_depth", "loop_child", *more)
     agrees = F.coalesce(F.col("before") == F.unhex(F.md5("p_path")), F.lit(False))
     finding = (
-        F.when(F.col("on_loop"), CYCLE)
+        F.when(F.col("is_dir") & (F.col("p_state") == CYCLE) & (F.col("file_id") == F.col("loop_child")), CYCLE)
         .when(F.col("p_state").isNull() | (F.col("p_state") == ORPHAN), ORPHAN)
         .when(F.col("p_state").isin(CYCLE, BELOW), BELOW)
         .when(~agrees, "path_mismatch")
