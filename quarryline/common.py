@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -28,7 +30,9 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = _LOCAL.get(spark.sparkContext.applicationId)
     if own is None:
-        own = _LOCAL[spark.sparkContext.applicationId] = Path(tempfile.mkdtemp(prefix="scratch-")).as_uri()
+        folder = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = _LOCAL[spark.sparkContext.applicationId] = Path(folder).as_uri()
     return own
 
 
