@@ -3,6 +3,7 @@
 What a text quotes or shows as code (quotation marks, backticks) is taken out first. The rest falls into
 segments (lines, and sentences in them). A multi-pattern automaton finds the known phrases of several
 languages in each; a segment is residue if phrases that can't stand in real prose alone cover most of it.
+Of a long segment (a page on one line) that isn't residue as a whole, overlapping windows are judged so.
 Unfilled slots and filler words have no fixed wording and are found by their form. A document is reported
 if any segment is residue, with the part of it that is, so that a caller may exclude whole documents from
 some coverage on.
@@ -11,6 +12,7 @@ some coverage on.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,6 +69,8 @@ ASKING = r"insert|enter|your|add|fill|choose|select|to follow|to come|here|einf[
 HTML = frozenset("a b i u p s br hr em li ol ul td th tr h1 h2 h3 h4 h5 h6 div img pre sub sup nav svg span code body head html form font main table tbody thead style script strong button input label video audio header footer section article canvas iframe meta".split())
 #: The part of a segment, in letters and digits, that phrases have to cover.
 COVERED = 0.6
+#: Characters of a window in a longer segment, and from one window to the next.
+WINDOW, STEP = 400, 50
 
 _CODE = re.compile(r"```.*?```|``[^\n]*?``|`[^`\n]*`|<code>.*?</code>|<pre>.*?</pre>", re.S)
 _QUOTED = re.compile(r"\"[^\"\n]*\"|«[^»]*»|“[^”\n]*”|„[^“”\n]*[“”]|‹[^›\n]*›|(?<!\w)'[^'\n]{2,}'(?!\w)")
@@ -83,6 +87,7 @@ _ASKS = re.compile(rf"(?<!\w)(?:{ASKING})(?!\w)", re.I)
 _SEGMENT = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\s+[-–—]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"\w+")
 _LIGHT = re.compile(r"[^\w#]+|_+")
 _LONG_LATIN = frozenset(w for w in LATIN if len(w) > 3)
 
@@ -140,8 +145,8 @@ def _spread(spans: list[tuple[int, int]], text: str) -> int:
     return total
 
 
-def segment_kind(segment: str) -> str | None:
-    """error, notice or filler, if the segment is that and little else."""
+def _phrases(segment: str) -> tuple[str, dict[str, list[tuple[int, int]]]]:
+    """The segment as phrases are written, and where those of each kind stand in it."""
     s = " ".join(re.sub(r"\d+", "#", segment.casefold().replace("’", "'")).split())
     spans: dict[str, list[tuple[int, int]]] = {}
     for end, (n, kinds) in _automaton().iter(s):
@@ -149,6 +154,10 @@ def segment_kind(segment: str) -> str | None:
         if not (a and s[a - 1].isalnum() and s[a].isalnum()) and not (b < len(s) and s[b].isalnum() and s[b - 1].isalnum()):
             for k in kinds:
                 spans.setdefault(k, []).append((a, b))
+    return s, spans
+
+
+def _kind(s: str, spans: dict[str, list[tuple[int, int]]]) -> str | None:
     weight = 0
     for kind, others in (("error", ("around",)), ("filler", ("around",)), ("notice", ("script", "rest", "around"))):
         if kind in spans and (kind != "notice" or "script" in spans):
@@ -158,6 +167,30 @@ def segment_kind(segment: str) -> str | None:
     return None
 
 
+def segment_kind(segment: str) -> str | None:
+    """error, notice or filler, if the segment is that and little else."""
+    return _kind(*_phrases(segment))
+
+
+def stretches(segment: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what is residue in a segment: all of it, or else its windows that are, each from
+    the start of a word to the end of one."""
+    s, spans = _phrases(segment)
+    kind = _kind(s, spans)
+    if kind:
+        yield 0, len(segment), kind
+    elif len(segment) > WINDOW and spans.keys() & {"error", "filler", "notice"}:
+        runs = [m.span() for m in _RUN.finditer(segment)]
+        starts, ends = [a for a, _ in runs], [b for _, b in runs]
+        first, last = 0, -1
+        while first < len(runs) and last < len(runs) - 1:
+            a = starts[first]
+            last = bisect_right(ends, a + WINDOW) - 1
+            if last >= first and (kind := segment_kind(segment[a : ends[last]])):
+                yield a, ends[last], kind
+            first = max(first + 1, bisect_left(starts, a + STEP))
+
+
 def _fillers(text: str) -> list[tuple[int, int]]:
     """Runs of five times the same word, or of four and more words of Latin filler."""
     plain = _WORD.findall(text.casefold())
@@ -201,10 +234,9 @@ def residue(text: str | None) -> tuple[list[str], float]:
         for part in _SENTENCE.split(line[0]):
             a = s.find(part, at)
             at = a + len(part)
-            kind = segment_kind(part.replace("■", "x")) if len(part) < 400 else None
-            if kind:
+            for b, c, kind in stretches(part.replace("■", "x")):
                 kinds.add(kind)
-                spans.append((a, at))
+                spans.append((a + b, a + c))
     if not kinds:
         return [], 0.0
     size = _weight(s)

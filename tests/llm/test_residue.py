@@ -44,6 +44,28 @@ def test_very_long_text():
     assert residue("[" * 20_000)[0] == [] == residue("{" * 20_000)[0] == residue('"' * 20_001)[0]
 
 
+LONG = {
+    "error": ("404 Not Found|The page you asked for could not be found.|Go back;Home;", "Fehler 503;Der Server antwortet nicht.Bitte später erneut versuchen • "),
+    "notice": ("Please enable JavaScript to view this page|", "Veuillez activer JavaScript;puis rechargez la page;"),
+    "filler": ("Your text goes here;Replace this paragraph with your own words.", "Dies ist ein Blindtext|Hier steht später der Text|"),
+}
+
+
+@pytest.mark.parametrize(("kind", "unit"), [(k, u) for k, us in LONG.items() for u in us])
+def test_pages_on_one_line(kind, unit):
+    for n in (399, 400, 401, 5_000):
+        kinds, coverage = residue((unit * (n // len(unit) + 1))[:n])
+        assert kinds == [kind] and coverage == 1.0
+
+
+def test_part_of_a_long_line():
+    plain = "the folder was moved and its rows were read again,"
+    page = LONG["error"][0] * 10
+    kinds, coverage = residue(plain * 40 + page + plain * 40)
+    assert kinds == ["error"] and 0.8 < coverage * (80 * len(plain) + len(page)) / len(page) < 1.5
+    assert residue(plain * 80) == ([], 0.0) == residue((plain * 3 + "not found;") * 40)
+
+
 def test_documents(spark):
     rows = [(i, t, "k") for i, (_, t) in enumerate(YES)] + [(1000 + i, t, "k") for i, t in enumerate(NO)] + [(None, "404 Not Found", "k"), (0, YES[0][1], "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kinds string")
