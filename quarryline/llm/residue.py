@@ -66,6 +66,8 @@ LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicing
 # What slots ask for, and what tells a slot from a tag.
 SLOT_NAMES = frozenset("name title date time folder path file user email mail company address city phone count volume number ticket reason recipient sender subject amount price url link id value customer project version datum titel ordner nombre fecha titre dossier nom".split())
 ASKING = r"insert|enter|your|add|fill|choose|select|to follow|to come|here|einf[üu]gen|eintragen|ersetzen|folgt|ausf[üu]llen|ins[ée]rer|[àa] venir|[àa] compl[ée]ter|[àa] remplacer|insertar|pendiente|por completar|rellenar|completar"
+BEGINS = r"insert|enter|add|fill|choose|select|ins[ée]rer|ins[ée]rez|compl[ée]ter|remplacer|insertar|inserte|rellenar|completar"
+ENDS = r"to follow|to come|einf[üu]gen|eintragen|ersetzen|ausf[üu]llen|[àa] venir|[àa] compl[ée]ter|[àa] remplacer|por completar"
 HTML = frozenset("a b i u p s br hr em li ol ul td th tr h1 h2 h3 h4 h5 h6 div img pre sub sup nav svg span code body head html form font main table tbody thead style script strong button input label video audio header footer section article canvas iframe meta".split())
 #: The part of a segment, in letters and digits, that phrases have to cover.
 COVERED = 0.6
@@ -76,14 +78,16 @@ _CODE = re.compile(r"```.*?```|``[^\n]*?``|`[^`\n]*`|<code>.*?</code>|<pre>.*?</
 _QUOTED = re.compile(r"\"[^\"\n]*\"|«[^»]*»|“[^”\n]*”|„[^“”\n]*[“”]|‹[^›\n]*›|(?<!\w)'[^'\n]{2,}'(?!\w)")
 _ID = r"[A-Za-z][\w.]*"
 _SLOTS = re.compile(
-    rf"\{{\{{\{{?\s*[#/^&>]?\s*{_ID}[^{{}}\n]{{0,40}}\}}\}}\}}?|\{{%-?\s*{_ID}[^{{}}\n]{{0,60}}%\}}|<%[=-]?\s*{_ID}[^<>\n]{{0,60}}%>|[$#]\{{\s*{_ID}\s*\}}"
-    rf"|@@\s*{_ID}\s*@@|%\({_ID}\)[sdif]|\[object Object\]|\[\[\s*{_ID}\s*\]\]|<<\s*[A-Za-z][^<>\n]{{0,40}}>>|\b(?:FIXME|TODO|TBD)-[A-Z]+\b|_{{4,}}\s*\([^()\n]{{2,30}}\)"
+    rf"\{{\{{\{{?\s*+(?:[#/^&>]\s*+)?[A-Za-z][^{{}}\n]*+\}}\}}\}}?|\{{%-?\s*[A-Za-z][^{{}}\n]*%\}}|<%[=-]?\s*[A-Za-z][^<>\n]*%>|[$#]\{{\s*{_ID}\s*\}}"
+    rf"|@@\s*{_ID}\s*@@|%\({_ID}\)[sdif]|\[object Object\]|\[\[\s*{_ID}\s*\]\]|<<\s*[A-Za-z][^<>\n]{{0,40}}>>|\b(?:FIXME|TODO|TBD)-[A-Z]+\b|_{{4,}}\s*\([^()\n]{{2,}}\)"
 )
-_MAYBE = re.compile(rf"(?<![\w{{]){{({_ID})}}(?![\w}}])|(?<!\w)%({_ID})%(?!\w)|(?<![\w$])\$({_ID})\$(?!\w)|(?<![\w_])__({_ID}?)__(?![\w_])|(?<!\[)\[([^\[\]\n]{{2,40}})\](?![\](])|(?<!<)<([^<>\n/]{{2,40}})>(?!>)|\b([A-Z]{{4,}}\s*\([^()\n]{{2,40}}\))")
+_MAYBE = re.compile(rf"(?<![\w{{]){{({_ID})}}(?![\w}}])|(?<!\w)%({_ID})%(?!\w)|(?<![\w$])\$({_ID})\$(?!\w)|(?<![\w_])__({_ID}?)__(?![\w_])|(?<!\[)\[([^\[\]\n]{{2,}})\](?![\](])|(?<!<)<([^<>\n/]{{2,}})>(?!>)|\b([A-Z]{{4,}}\s*\([^()\n]{{2,}}\))|<<\s*([A-Za-z][^<>\n]*)>>")
 # What any slot begins with: a text without these needs no closer look.
 _OPENERS = ("{{", "{%", "<%", "${", "#{", "@@", "%(", "[object", "[[", "<<", "FIXME-", "TODO-", "TBD-", "____")
-_CAPS = re.compile(r"[A-Z]{4} *\(")
+_CAPS = re.compile(r"[A-Z]{4}\s*\(")
 _ASKS = re.compile(rf"(?<!\w)(?:{ASKING})(?!\w)", re.I)
+# A sentence in brackets may hold such words too: a longer instruction begins with what it asks or ends with it.
+_INSTRUCTS = re.compile(rf"\s*(?:(?:please|bitte|veuillez|merci de|por favor),?\s+)?(?:{BEGINS})(?!\w)[^=]*|[^=]*(?<!\w)(?:{ENDS})[\s.!]*", re.I)
 _SEGMENT = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\s+[-–—]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,13 +97,16 @@ _LONG_LATIN = frozenset(w for w in LATIN if len(w) > 3)
 
 
 def _is_slot(m: re.Match) -> bool:
-    curly, percent, dollar, under, square, angle, caps = m.groups()
+    curly, percent, dollar, under, square, angle, caps, double = m.groups()
     if caps:
-        return bool(_ASKS.search(caps))
+        inner = caps[caps.index("(") + 1 : -1]
+        return bool(_ASKS.search(caps) if len(inner) <= 40 else _INSTRUCTS.fullmatch(inner))
+    if double:  # what _SLOTS takes no longer may be a quotation
+        return bool(_INSTRUCTS.fullmatch(double))
     inner = next(x for x in m.groups() if x is not None).strip()
     plain = re.fullmatch(_ID, inner)
     if not plain:
-        return bool(_ASKS.search(inner)) and len(inner.split()) <= 6
+        return bool(_ASKS.search(inner) if len(inner.split()) <= 6 else _INSTRUCTS.fullmatch(inner))
     if curly or percent or dollar:
         return len(inner) > 1
     low = inner.lower()
@@ -110,7 +117,8 @@ def _is_slot(m: re.Match) -> bool:
 
 
 def slots(text: str) -> list[tuple[int, int]]:
-    """Where unfilled slots stand in a text without its quoted parts."""
+    """Where unfilled slots stand in a text without its quoted parts. A slot ends with its closing sign, in
+    its line. In [..], <..>, <<..>> and after capitals, long ones are slots if they begin or end as instructions."""
     out = [m.span() for m in _SLOTS.finditer(text)] if any(o in text for o in _OPENERS) else []
     if any(o in text for o in "{%$[<") or "__" in text or _CAPS.search(text):
         out += [m.span() for m in _MAYBE.finditer(text) if _is_slot(m)]

@@ -66,6 +66,28 @@ def test_part_of_a_long_line():
     assert residue(plain * 80) == ([], 0.0) == residue((plain * 3 + "not found;") * 40)
 
 
+LONG_SLOTS = [
+    "To {{ customer.address.street | default(config.fallback.street) | upper }} today.", "To {{#each " + "customer.orders.lines " * 20 + "}} today.", "{% if customer.address.street and config.fallback.street and customer.is_known and lang %} here", "Hello <%= user.full_name or user.short_name or config.fallback.name or config.default.name %>!",
+    "Sent by [Please insert the full name of the responsible person here] today.", "Sent by <Bitte den vollen Namen der für den Ordner zuständigen Person eintragen> heute.", "Due << add the date on which the whole volume has to be scanned again >> at noon.", "XXXX\t(fill in) is missing.", "XXXX (please enter the name of the person who is responsible) is missing.", "_____ (full name of the person who asked for it) asked", "[Bezeichnung der zuständigen Organisationseinheit eintragen] fehlt.",
+]
+LONG_PROSE = ["It moved [as the team wrote here last year, the old folder was kept for your reports] again.", "NASA (whose files were added here by the team that kept your folder last year) wrote.", "<<Die Datei wurde im letzten Jahr hierher verschoben und seitdem nicht geändert>>, sagte Team Reiher.", "<select id=a name=b class=c size=1 multiple required disabled hidden>", "a < b and your c here is more than the old d, then e > f"]
+
+
+@pytest.mark.parametrize("text", LONG_SLOTS)
+def test_slots_of_any_length(text):
+    assert residue(text)[0] == ["slot"]
+
+
+@pytest.mark.parametrize("text", LONG_PROSE)
+def test_long_brackets_of_prose(text):
+    assert residue(text) == ([], 0.0)
+
+
+def test_slots_without_end():
+    for opener in ("{{a ", "{% a ", "<% a ", "<< a ", "[a ", "<a ", "XXXX (a ", "{{ "):
+        assert residue(opener * 20_000)[0] == [] == residue(opener + "x" * 200_000)[0]
+
+
 def test_documents(spark):
     rows = [(i, t, "k") for i, (_, t) in enumerate(YES)] + [(1000 + i, t, "k") for i, t in enumerate(NO)] + [(None, "404 Not Found", "k"), (0, YES[0][1], "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kinds string")
