@@ -10,7 +10,7 @@ against all documents, so any number of items works, and no document text is eve
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,6 +46,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_TAG.sub(" ", fold_long(text)).lower()) if text else []
 
 
+def joined_pairs(texts: Iterable[str | None]) -> set[tuple[str, str]]:
+    """Adjacent words that a text joins by a hyphen."""
+    return {p for t in texts if t for p in _PAIR.findall(_TAG.sub(" ", fold_long(t)).lower())}
+
+
 def _seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows whose unmasked words are all known (id > 0), and where they start."""
     n = len(ids) - len(mask) + 1
@@ -63,13 +68,14 @@ def _seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of evaluation items, ready to be looked for."""
+    """A block of evaluation items, ready to be looked for. `joined` are the pairs of words that count as one:
+    those of all items, of which these may be a part; without it, those of `texts`."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], joined: Iterable[tuple[str, str]] | None = None):
         self.ids, self.vocabulary, self.words = ids, {}, []
         split = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64) for t in texts]
-        # Two words that an item joins by a hyphen count as one, however a document parts them.
-        pairs = {(self.vocabulary[a], self.vocabulary[b]) for t in texts if t for a, b in _PAIR.findall(_TAG.sub(" ", fold_long(t)).lower()) if a in self.vocabulary and b in self.vocabulary}
+        # Two words that an item joins by a hyphen count as one, however a document or another item parts them.
+        pairs = {(self.vocabulary[a], self.vocabulary[b]) for a, b in (joined_pairs(texts) if joined is None else joined) if a in self.vocabulary and b in self.vocabulary}
         self.base = len(self.vocabulary) + 1
         self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), np.int64)
         self.words = [self._joined(w) for w in split]
@@ -177,7 +183,13 @@ def _align(parts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _finder(blob: tuple[list[int], list[str | None]], doc_id: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _joined_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = sorted(joined_pairs(b["t"].to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["a", "b"])
+
+
+def _finder(blob: tuple[list[int], list[str | None], list[tuple[str, str]] | None], doc_id: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*blob)
         for b in batches:
@@ -192,13 +204,18 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, score): documents with a stretch of an item, each pair once with its best score.
 
     Null and empty texts hold nothing and aren't held. Items of fewer words than SCORE can't leak. The
-    driver reads items block by block, BLOCK_CHARS each; each block is one pass over the documents.
+    driver reads items block by block, BLOCK_CHARS each; each block is one pass over the documents. With several
+    blocks it also reads the distinct pairs of words that items join by a hyphen, and each block gets those of
+    its own words, so scores don't depend on the blocks.
     """
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks, out = max(1, -(-chars // BLOCK_CHARS)), []
     docs = spread(documents.where(F.col(doc_id).isNotNull())).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    joined = [tuple(r) for r in wanted.select("t").mapInArrow(_joined_in, "a string, b string").distinct().collect()] if blocks > 1 else None
     for k in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i").collect()
-        out.append(docs.mapInArrow(_finder(([r["i"] for r in rows], [r["t"] for r in rows]), "doc_id", "text"), "doc_id bigint, item_id bigint, score double"))
+        known = joined and {w for r in rows for w in words(r["t"])}
+        own = joined and [(a, b) for a, b in joined if a in known and b in known]
+        out.append(docs.mapInArrow(_finder(([r["i"] for r in rows], [r["t"] for r in rows], own), "doc_id", "text"), "doc_id bigint, item_id bigint, score double"))
     return reduce(DataFrame.unionAll, out).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

@@ -109,6 +109,15 @@ def test_joined_words_count_once():
     assert it.found_in(text) == [(1, 14.0)]
 
 
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    plain = "red sun sixty three low hill " * 5
+    wanted = spark.createDataFrame([(i, f"other words {i} " + ("with sixty-three rows" if i else plain)) for i in range(12)], "item_id bigint, text string")
+    documents = spark.createDataFrame([(1, plain)], "doc_id bigint, text string")
+    for block in (10**6, 200, 20):
+        monkeypatch.setattr(leakage, "BLOCK_CHARS", block)
+        assert [tuple(r) for r in leaked_items(documents, wanted).collect()] == [(1, 0, 25.0)]
+
+
 def test_candidates_lose_nothing():
     """Seeds and alignment against alignment of everything."""
     docs, items, _ = cases(8)
