@@ -26,18 +26,19 @@ from quarryline.common import current_rows
 
 # Letters with the shape of a basic Latin letter, by script.
 SHAPES = {
-    "Cyrl": {"a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у",
-             "A": "А", "B": "В", "C": "С", "E": "Е", "G": "Ԍ", "H": "Н", "I": "ІӀ", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "Q": "Ԛ", "S": "Ѕ", "T": "Т", "W": "Ԝ", "X": "Х", "Y": "УҮ"},
-    "Grek": {"c": "ϲ", "j": "ϳ", "o": "ο", "p": "ρ", "v": "ν",
+    "Cyrl": {"a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "уү",
+             "A": "А", "B": "В", "C": "С", "E": "Е", "G": "Ԍ", "H": "Н", "I": "ІӀ", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "Q": "Ԛ", "S": "Ѕ", "T": "Т", "V": "Ѵ", "W": "Ԝ", "X": "Х", "Y": "УҮ"},
+    "Grek": {"a": "α", "c": "ϲ", "i": "ι", "j": "ϳ", "o": "ο", "p": "ρ", "u": "υ", "v": "ν",
              "A": "Α", "B": "Β", "C": "Ϲ", "E": "Ε", "F": "Ϝ", "H": "Η", "I": "Ι", "J": "Ϳ", "K": "Κ", "M": "ΜϺ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ"},
     "Armn": {"g": "ց", "h": "հ", "n": "ո", "o": "օ", "q": "զ", "u": "ս", "L": "Լ", "O": "Օ", "S": "Տ", "U": "Ս"},
     "Copt": {"o": "ⲟ", "p": "ⲣ", "c": "ⲥ", "C": "Ⲥ", "H": "Ⲏ", "I": "Ⲓ", "K": "Ⲕ", "M": "Ⲙ", "N": "Ⲛ", "O": "Ⲟ", "P": "Ⲣ", "T": "Ⲧ", "X": "Ⲭ", "Y": "Ⲩ"},
     "Cher": {"A": "Ꭺ", "B": "Ᏼ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꭱ", "S": "Ꮪ", "T": "Ꭲ", "V": "Ꮩ", "W": "Ꮃ", "Y": "Ꮍ", "Z": "Ꮓ"},
+    "Lisu": {"A": "ꓮ", "B": "ꓐ", "C": "ꓚ", "D": "ꓓ", "E": "ꓰ", "F": "ꓝ", "G": "ꓖ", "H": "ꓧ", "I": "ꓲ", "J": "ꓙ", "K": "ꓗ", "L": "ꓡ", "M": "ꓟ", "N": "ꓠ", "O": "ꓳ", "P": "ꓑ", "R": "ꓣ", "S": "ꓢ", "T": "ꓔ", "U": "ꓴ", "V": "ꓦ", "W": "ꓪ", "X": "ꓫ", "Y": "ꓬ", "Z": "ꓜ"},
 }
 # Hyphens of the shape of '-'.
 HYPHENS = "‐‑﹣"
 # Scripts told apart, and the writing systems that join several of them.
-SCRIPTS = "Latn Cyrl Grek Armn Hebr Arab Syrc Thaa Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh Thai Laoo Tibt Mymr Geor Ethi Cher Khmr Mong Copt Goth Hani Hira Kana Hang Bopo".split()
+SCRIPTS = "Latn Cyrl Grek Armn Hebr Arab Syrc Thaa Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh Thai Laoo Tibt Mymr Geor Ethi Cher Lisu Khmr Mong Copt Goth Hani Hira Kana Hang Bopo".split()
 SYSTEMS = {"Hani": ("Jpan", "Kore", "Hanb"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
 
 _SHAPE_OF = {ch: latin for forms in SHAPES.values() for latin, chars in forms.items() for ch in chars}

@@ -81,3 +81,8 @@ def test_pairs_against_brute_force(spark):
     assert same_look_pairs(df.limit(0)).collect() == []
     for r in respelled(df).collect():
         assert r.consistent_path == fold(r.path) != r.path
+
+
+@pytest.mark.parametrize(("a", "b"), [("nүm", "nym"), ("ѵalue", "value"), ("Ѵalue", "Value"), ("pαth", "path"), ("fιle", "file"), ("oυt", "out"), ("ꓐꓮꓔ", "BAT"), ("REꓑORꓔ", "REPORT")])
+def test_letters_added_to_the_table(a, b):
+    assert fold(a) == b == fold_long(a)
