@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.common import materialize, shuffle_width
 from quarryline.functions.text import fold_column, nfc_column
 from quarryline.plans.model import parent_path
 
@@ -37,8 +40,15 @@ def rename_plan(selection: DataFrame, position: str = "position", search: str =
 
 
 def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """0-based `position` in a user's selection (at most 100,000 rows, as the preview's limit has it)."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1)
+    """0-based `position` of each row in the order. The rows are written to the shared folder in ranges of it;
+    each range is numbered by itself, from the count of rows in those before."""
+    ranges = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    ranges = materialize(ranges, "positions")
+    counts = sorted(map(tuple, ranges.groupBy("_range").count().collect()))
+    before = accumulate((n for _, n in counts), initial=0)
+    offsets = rows.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(counts, before)], "_range int, _before bigint")
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_at", at).join(F.broadcast(offsets), "_range").withColumn("position", F.col("_before") + F.col("_at") - 1).drop("_range", "_at", "_before")
 
 
 def rename_conflicts(plan: DataFrame, files: DataFrame, case_sensitive: bool = False) -> DataFrame:

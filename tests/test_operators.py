@@ -52,6 +52,14 @@ def test_duplicates(spark):
         duplicates.duplicate_groups(files, "colour")
 
 
+def test_positions_in_ranges(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id"), F.lit("x").alias("path"))
+    placed = renames.positions(rows, [F.col("path"), F.col("id").desc()])
+    assert {(r.id, r.position) for r in placed.collect()} == {(i, 999 - i) for i in range(1000)}
+    assert "SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert renames.positions(rows.limit(0), [F.col("id")]).collect() == []
+
+
 def test_renames(spark):
     files = entries(spark, [(1, "/d/report.pdf", 1, {}), (2, "/d/report", 1, {"is_dir": True}), (3, "/d/.report", 1, {}), (4, "/d/x.tar.gz", 1, {}), (5, "/d/report/in.txt", 1, {}), (6, "/d/plan.pdf", 1, {})])
     chosen = renames.positions(files.where("id < 6"), [F.col("id")])
