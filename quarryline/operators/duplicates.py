@@ -19,13 +19,22 @@ def _object() -> Column:
     return F.when(F.col("file_id").isNotNull(), F.concat_ws(":", F.coalesce("volume_id", F.lit("")), "file_id")).otherwise(F.concat(F.lit("row:"), "id"))
 
 
+def _keyed(rows: DataFrame, key: Column) -> DataFrame:
+    return rows.select(key.alias("group_key"), "path", "id", "object").where(F.col("group_key").isNotNull())
+
+
+def _hashed(rows: DataFrame, content: DataFrame | None) -> DataFrame:
+    return _keyed(rows if content is None else rows.drop("body").join(content.select("path", "body"), "path"), F.sha2("body", 256))
+
+
 def duplicate_groups(files: DataFrame, mode: str, content: DataFrame | None = None) -> DataFrame:
     """(group_key, path, id, object, distinct_files, member) of groups with more than one object.
 
     name: the folded name, accents kept; size: the size as text, so groups sort as text; content: the
     SHA-256 of `body` (of `content` (path, body), or a column of `files`), looked at only where a size has
-    several objects. Hard links are one object, and each of their paths is listed. `member` numbers a
-    group's rows by path. Rows whose key is null are in no group.
+    several objects. Rows of unknown size are looked at too, and if there are any (asked at once), so is a
+    size's only object: it is in a group if one of unknown size has its content. Hard links are one object,
+    and each of their paths is listed. `member` numbers a group's rows by path. Rows whose key is null are in no group.
     """
     if mode not in MODES:
         raise ValueError(f"mode: {mode}")
@@ -33,13 +42,13 @@ def duplicate_groups(files: DataFrame, mode: str, content: DataFrame | None = No
     if mode == "content":
         # min and max tell one object from several with map-side combining, however many paths share a size.
         sizes = rows.where(F.col("size").isNotNull()).groupBy("size").agg(F.min("object").alias("lo"), F.max("object").alias("hi")).where("lo <> hi").select("size")
-        rows = rows.join(sizes, "size", "left_semi")
-        if content is not None:
-            rows = rows.drop("body").join(content.select("path", "body"), "path")
-        key = F.sha2("body", 256)
+        keyed = _hashed(rows.join(sizes, "size", "left_semi"), content)
+        if not rows.where(F.col("size").isNull()).select("size").isEmpty():
+            unknown = _hashed(rows.where(F.col("size").isNull()), content)
+            lone = _hashed(rows.where(F.col("size").isNotNull()).join(sizes, "size", "left_anti"), content)
+            keyed = keyed.unionByName(unknown).unionByName(lone.join(unknown.select("group_key").distinct(), "group_key", "left_semi"))
     else:
-        key = derived(rows, "folded_name") if mode == "name" else F.col("size").cast("string")
-    keyed = rows.select(key.alias("group_key"), "path", "id", "object").where(F.col("group_key").isNotNull())
+        keyed = _keyed(rows, derived(rows, "folded_name") if mode == "name" else F.col("size").cast("string"))
     several = keyed.groupBy("group_key", "object").agg(F.lit(1).alias("one")).groupBy("group_key").agg(F.count("one").alias("distinct_files")).where("distinct_files > 1")
     return keyed.join(several, "group_key")
 

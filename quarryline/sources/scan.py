@@ -131,5 +131,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_bodies(spark: SparkSession, glob: str) -> DataFrame:
     """(path, body) of the files below `glob`; body is null where there is no text or the file is too large."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob).where(F.col("length") <= MAX_BODY)
-    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content").mapInArrow(_extract, "path string, body string")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
+    path = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    read = raw.where(F.col("length") <= MAX_BODY).select(path, "content").mapInArrow(_extract, "path string, body string")
+    return read.unionByName(raw.where(F.col("length") > MAX_BODY).select(path, F.lit(None).cast("string").alias("body")))

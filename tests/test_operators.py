@@ -52,6 +52,13 @@ def test_duplicates(spark):
         duplicates.duplicate_groups(files, "colour")
 
 
+def test_content_of_unknown_size(spark):
+    files = entries(spark, [(1, "/a", None, {}), (2, "/b", None, {}), (3, "/c", 9, {}), (4, "/d", 7, {}), (5, "/e", 6, {})])
+    bodies = spark.createDataFrame([("/a", "one"), ("/b", "one"), ("/c", "one"), ("/d", "two")], "path string, body string")
+    found = duplicates.duplicate_groups(files, "content", bodies).collect()
+    assert {(r.path, r.distinct_files) for r in found} == {("/a", 3), ("/b", 3), ("/c", 3)}
+
+
 def test_positions_in_ranges(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id"), F.lit("x").alias("path"))
     placed = renames.positions(rows, [F.col("path"), F.col("id").desc()])
@@ -134,6 +141,13 @@ def test_scan_and_extraction(spark, tmp_path):
     assert bodies["w.docx"].split("\n")[:2] == ["one & two", "three"]
 
 
+def test_long_files_have_null_bodies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "MAX_BODY", 4)
+    (tmp_path / "short.txt").write_text("four")
+    (tmp_path / "long.txt").write_text("longer")
+    assert {r.path.rsplit("/", 1)[1]: r.body for r in scan.extract_bodies(spark, str(tmp_path)).collect()} == {"short.txt": "four", "long.txt": None}
+
+
 def test_reconcile_plan(spark):
     ev = lambda rows: spark.createDataFrame(rows, E.EVENT_SCHEMA)
     plan = lambda rows, roots=("/r",): {r.path: r.action for r in E.reconcile_plan(ev(rows), list(roots)).collect()}
