@@ -1,213 +1,272 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants, cycles.
 
-Level-wise frontier joins extend the paths from the roots downwards. Only folders take part in the
-levels; every other entry hangs below a folder and is joined once, at the end. Several levels are one
-query of as many shuffles, its result is written to the shared folder, and the next batch starts from
-there, so lineage stays short at any depth. Chains whose top is missing are walked the same way from
-their tops. What neither walk reaches lies on or below a loop; repeated squaring of the parent map
-tells the two apart. Once few folders are left, which the count proves, one task walks the remaining
-levels in memory: a chain hundreds of levels deep then costs no query for each level.
+Only folders take part in the walk; every other entry hangs below a folder and is joined once, at the end.
+Level-wise frontier joins from the roots (and from the tops of chains whose parent is missing) settle the
+upper levels. Below them every folder learns the run of names up to an ancestor, and the frontier then
+advances over such runs: the run is twice as long in every round, so a chain of n levels takes log n joins,
+all of them distributed. A round that settles nothing leaves exactly the folders on and below loops; the
+ancestors they still reach shrink to the loops themselves, which tells the two apart.
+
+What a run carries is chosen by the caller. Findings need a digest only, of fixed width and composable
+(digest of a path = digest of the upper part * weight of the lower part + digest of the lower part), so even
+a chain of many thousand levels moves no path text. Every join splits parents of very many children.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.common import current_rows, materialize, shuffle_width
 
-#: Levels of one query.
+#: Levels settled one by one, all in one query.
 LEVELS = 4
-#: With at most so many folders left, one task walks the rest (their rows, with paths, take some 50 MB).
-TAIL_ROWS = 50_000
-#: A folder's children are split from this part of a task's fair share on.
-HOT_SHARE = 0.25
+#: A parent's children are split from this part of a task's fair share on, and from this many rows on.
+HOT_SHARE, HOT_ROWS = 0.25, 1000
 REACHED, ORPHAN, CYCLE, BELOW = "reached", "orphan", "cycle", "below_cycle"
+#: Moduli and bases of the two halves of a path digest; products of two residues fit into 64 bits.
+_HALVES = ((2147483647, 1181783497), (2147483629, 1540483477))
 
 
-def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[l] == b[r] for l, r in pairs])
+def path_digest(text: Column, half: int) -> Column:
+    """Of the parts of `text` between its slashes; null of null."""
+    p, b = _HALVES[half]
+    return F.aggregate(F.split(text, "/", -1), F.lit(0).cast("bigint"), lambda acc, x: (acc * b + F.pmod(F.xxhash64(F.lit(half), x), F.lit(p))) % p)
+
+
+def path_weight(text: Column, half: int) -> Column:
+    p, b = _HALVES[half]
+    return F.aggregate(F.split(text, "/", -1), F.lit(1).cast("bigint"), lambda acc, _: (acc * b) % p)
+
+
+class _Path:
+    """The path as text; a run is its names joined by '/'."""
+
+    top = {"path": lambda: F.concat("mount", F.lit("/"), "name")}
+    root = {"path": lambda mount: mount}
+    run = {"s_path": lambda: F.col("name")}
+    settle = {"path": lambda p, c: F.concat(p["path"], F.lit("/"), c["s_path"])}
+    extend = {"s_path": lambda p, c: F.concat(p["s_path"], F.lit("/"), c["s_path"])}
+
+
+class _Digest:
+    """Two residues for the path, and for a run the weights of its parts beside them."""
+
+    @staticmethod
+    def _below(high: Column, low: Column, weight: Column, i: int) -> Column:
+        return (high * weight + low) % _HALVES[i][0]
+
+    top = {f"d{i}": lambda i=i: _Digest._below(path_digest(F.col("mount"), i), path_digest(F.col("name"), i), path_weight(F.col("name"), i), i) for i in (0, 1)}
+    root = {f"d{i}": lambda mount, i=i: path_digest(mount, i) for i in (0, 1)}
+    run = {f"s_d{i}": lambda i=i: path_digest(F.col("name"), i) for i in (0, 1)} | {f"s_w{i}": lambda i=i: path_weight(F.col("name"), i) for i in (0, 1)}
+    settle = {f"d{i}": lambda p, c, i=i: _Digest._below(p[f"d{i}"], c[f"s_d{i}"], c[f"s_w{i}"], i) for i in (0, 1)}
+    extend = {f"s_d{i}": lambda p, c, i=i: _Digest._below(p[f"s_d{i}"], c[f"s_d{i}"], c[f"s_w{i}"], i) for i in (0, 1)} | {f"s_w{i}": lambda p, c, i=i: p[f"s_w{i}"] * c[f"s_w{i}"] % _HALVES[i][0] for i in (0, 1)}
+
+
+class _Ancestors:
+    """Ids of the folders above, topmost first; a run has those between its two ends."""
+
+    _none = staticmethod(lambda: F.array().cast("array<bigint>"))
+    top = {"ancestors": _none}
+    root = {"ancestors": lambda mount: F.array().cast("array<bigint>")}
+    run = {"s_between": _none}
+    settle = {"ancestors": lambda p, c: F.concat(p["ancestors"], F.array(p["id"]), c["s_between"])}
+    extend = {"s_between": lambda p, c: F.concat(p["s_between"], F.array(p["id"]), c["s_between"])}
+
+
+_CARRIES = {"path": _Path, "digest": _Digest, "ancestors": _Ancestors}
+
+
+class _Load:
+    """What the walk carries along."""
+
+    def __init__(self, names: tuple[str, ...]):
+        self.kinds = [_CARRIES[n] for n in names]
+        self.settled = [c for k in self.kinds for c in k.settle]
+        self.runs = [c for k in self.kinds for c in k.run]
+
+    def top(self, sound: Column) -> list[Column]:
+        return [F.when(sound, f()).alias(c) for k in self.kinds for c, f in k.top.items()]
+
+    def root(self, mount: Column) -> list[Column]:
+        return [f(mount).alias(c) for k in self.kinds for c, f in k.root.items()]
+
+    def run(self) -> list[Column]:
+        return [f().alias(c) for k in self.kinds for c, f in k.run.items()]
+
+    def settle(self, p: DataFrame, c: DataFrame) -> dict[str, Column]:
+        return {n: f(p, c) for k in self.kinds for n, f in k.settle.items()}
+
+    def extend(self, p: DataFrame, c: DataFrame) -> dict[str, Column]:
+        return {n: f(p, c) for k in self.kinds for n, f in k.extend.items()}
+
+
+def _shards(rows: DataFrame, key: str, count: int, width: int) -> DataFrame | None:
+    """(volume_id, _key, shards) of `key`s with very many rows: at most width / HOT_SHARE of them. None if so
+    few rows are there that no key can have enough."""
+    limit = max(HOT_ROWS, int(count / width * HOT_SHARE))
+    if count <= limit:
+        return None
+    counts = rows.groupBy("volume_id", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > limit).select("volume_id", "_key", F.ceil(F.col("_n") / limit).cast("int").alias("shards"))
+
+
+def split_join(kids: DataFrame, key: str, parents: DataFrame, count: int, how: str = "inner") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Joins `kids` (`count` rows) with `parents` on volume_id and `key` = file_id. Kids of a hot key are spread over
+    shards by id and its parent row, one a key, is copied to each. Returns the join and both sides' columns."""
+    shards = _shards(kids, key, count, shuffle_width(kids.sparkSession))
+    if shards is None:
+        k, p = kids.alias("k"), parents.alias("p")
+        return k.join(p, (F.col("k.volume_id") == F.col("p.volume_id")) & (F.col(f"k.{key}") == F.col("p.file_id")), how), _Side("k"), _Side("p")
+    hot = F.broadcast(shards)
+    k = kids.join(hot.withColumnRenamed("_key", key), ["volume_id", key], "left").withColumn("_salt", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("shards"))).cast("int")).drop("shards").alias("k")
+    p = parents.join(hot.withColumnRenamed("_key", "file_id"), ["volume_id", "file_id"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards"), F.lit(1)) - 1))).drop("shards").alias("p")
+    on = (F.col("k.volume_id") == F.col("p.volume_id")) & (F.col(f"k.{key}") == F.col("p.file_id")) & (F.col("k._salt") == F.col("p._salt"))
+    return k.join(p, on, how), _Side("k"), _Side("p")
+
+
+class _Side:
+    """Columns of one side of a join, by name."""
+
+    def __init__(self, alias: str):
+        self.alias = alias
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"{self.alias}.{name}")
 
 
 def prepare(files: DataFrame, with_names: bool = False) -> DataFrame:
     """Current rows as the walk needs them, written once.
 
-    Instead of its path each row carries whether the path ends in '/' and its name, and the digest of
-    what stands before that; compared with the digest of the parent's rebuilt path this decides whether
-    the two agree, without moving the paths. Names are kept for folders, or for all rows if asked.
+    Instead of its path each row carries the digest of what stands in it before '/' and its name (null if it
+    doesn't end so); compared with the digest of the parent's rebuilt path this decides whether the two agree,
+    without moving the paths. Names are kept for folders, or for all rows if asked.
     """
     path, name = F.col("path"), F.col("name")
     ends = F.coalesce(path.endswith(F.concat(F.lit("/"), name)), F.lit(False))
-    before = F.substring(path, F.lit(1), F.length(path) - F.length(name) - 1)
+    before = F.when(ends, F.substring(path, F.lit(1), F.length(path) - F.length(name) - 1))
     is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
     kept = name if with_names else F.when(is_dir, name)
-    values = ["volume_id", "file_id", "parent_id", is_dir.alias("is_dir"), kept.alias("name"), F.when(ends, F.unhex(F.md5(before))).alias("before")]
-    return materialize(current_rows(files, values), "entries")
-
-
-def _shards(rows: DataFrame, width: int) -> DataFrame:
-    """(volume_id, parent_id, shards) of parents with very many children: at most width / HOT_SHARE rows."""
-    counts = rows.groupBy("volume_id", "parent_id").agg(F.count(F.lit(1)).alias("_n"))
-    limit = max(1000, int(rows.count() / width * HOT_SHARE))
-    return counts.where(F.col("_n") > limit).select("volume_id", "parent_id", F.ceil(F.col("_n") / limit).cast("int").alias("shards"))
-
-
-def _salted(rows: DataFrame, shards: DataFrame, by: str) -> DataFrame:
-    with_shards = rows.join(F.broadcast(shards), ["volume_id", "parent_id"], "left")
-    return with_shards.withColumn("_salt", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("shards"))).cast("int")).drop("shards")
+    rows = current_rows(files, ["volume_id", "file_id", "parent_id", is_dir.alias("is_dir"), kept.alias("name"), before.alias("before")])
+    return materialize(rows.select("id", "volume_id", "file_id", "parent_id", "is_dir", "name", path_digest(F.col("before"), 0).alias("before0"), path_digest(F.col("before"), 1).alias("before1")), "entries")
 
 
-def _copied(parents: DataFrame, shards: DataFrame) -> DataFrame:
-    """`parents` (volume_id, file_id, ...) with `_salt`, once for each shard of its children."""
-    s = shards.withColumnRenamed("parent_id", "file_id")
-    return parents.join(F.broadcast(s), ["volume_id", "file_id"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards"), F.lit(1)) - 1))).drop("shards")
+def _mounts(volumes: DataFrame) -> DataFrame:
+    """(volume_id, root_file_id, mount), one row a volume; of a volume named twice the least path counts."""
+    return volumes.where("volume_id IS NOT NULL").groupBy("volume_id").agg(F.min(F.struct("path", "root_file_id")).alias("r")).select("volume_id", F.col("r.root_file_id").alias("root_file_id"), F.when(F.col("r.path") == "/", "").otherwise(F.col("r.path")).alias("mount"))
 
 
-def walk(entries: DataFrame, volumes: DataFrame, with_ancestors: bool = False, tail_rows: int = TAIL_ROWS) -> DataFrame:
-    """All folders: (volume_id, file_id, id, state, path, depth[, ancestors]).
+def walk(entries: DataFrame, volumes: DataFrame, carry: tuple[str, ...] = ("digest",)) -> DataFrame:
+    """All folders: (volume_id, file_id, parent_id, id, state, depth, and by `carry` path, d0 and d1, ancestors).
 
     `entries` are rows of `prepare`. Two folder rows with one file_id on one volume count as one folder,
-    that of the smaller id. `path` and `depth` are null unless the root is reached; depth is 1 directly
-    below a root. `ancestors` has the ids of the folders above, topmost first.
+    that of the smaller id. All but the state is null unless the root is reached; depth is 1 directly below
+    a root. `ancestors` has the ids of the folders above, topmost first.
     """
-    spark = entries.sparkSession
-    width = shuffle_width(spark)
-    cols = ["volume_id", "file_id", "id", "state", "path", "depth"] + ["ancestors"] * with_ancestors
+    load = _Load(carry)
+    cols = ["volume_id", "file_id", "parent_id", "id", "state", "depth", *load.settled]
     folders = entries.where("is_dir").groupBy("volume_id", "file_id").agg(F.min(F.struct("id", "parent_id", "name")).alias("r")).select("volume_id", "file_id", "r.*")
-    roots = volumes.groupBy("volume_id").agg(F.min(F.struct("path", "root_file_id")).alias("r")).select("volume_id", F.when(F.col("r.path") == "/", "").otherwise(F.col("r.path")).alias("mount"), F.col("r.root_file_id").alias("root_file_id"))
-    linked = folders.join(roots, "volume_id", "left").withColumn("at_root", F.coalesce(F.col("parent_id") == F.col("root_file_id"), F.lit(False)))
-    above = folders.select("volume_id", F.col("file_id").alias("parent_id"), F.lit(True).alias("has_parent"))
-    linked = materialize(linked.join(above, ["volume_id", "parent_id"], "left").select("volume_id", "file_id", "parent_id", "id", "name", "mount", "at_root", F.coalesce(F.col("has_parent"), F.lit(False)).alias("has_parent")), "folders")
-
-    none = F.array().cast("array<bigint>").alias("ancestors")
-    top = linked.where("at_root OR NOT has_parent").select(
-        "volume_id", "file_id", "id", F.when(F.col("at_root"), REACHED).otherwise(ORPHAN).alias("state"), F.when(F.col("at_root"), F.concat("mount", F.lit("/"), "name")).alias("path"), F.when(F.col("at_root"), 1).alias("depth"), *[none] * with_ancestors)
-    edges = linked.where("NOT at_root AND has_parent").select("volume_id", "parent_id", "file_id", "id", "name")
-    shards = materialize(_shards(edges, width), "shards")
-    edges = _salted(edges, shards, "file_id").repartition(width, "volume_id", "parent_id", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def below(f: DataFrame) -> DataFrame:
-        p, c = _copied(f, shards).alias("p"), edges.alias("c")
-        on = (F.col("c.volume_id") == F.col("p.volume_id")) & (F.col("c.parent_id") == F.col("p.file_id")) & (F.col("c._salt") == F.col("p._salt"))
-        more = [F.concat("p.ancestors", F.array("p.id")).alias("ancestors")] * with_ancestors
-        return p.join(c, on).select("c.volume_id", "c.file_id", "c.id", "p.state", F.concat("p.path", F.lit("/"), "c.name").alias("path"), (F.col("p.depth") + 1).alias("depth"), *more)
-
-    done, frontier, left = [], top, linked.count()
-    batch = materialize(top, "levels")
-    while True:
-        done.append(batch.select(cols))
-        left -= batch.count()
-        frontier = batch.where(F.col("_level") == LEVELS).select(cols) if "_level" in batch.columns else batch
-        if left <= tail_rows or frontier.isEmpty():
+    # Where a folder has the number of its volume's root, the root comes first.
+    linked = folders.join(_mounts(volumes), "volume_id", "left").withColumn("at_root", F.coalesce(F.col("parent_id") == F.col("root_file_id"), F.lit(False)))
+    total = entries.where("is_dir").count()
+    j, k, p = split_join(linked, "parent_id", folders.select("volume_id", "file_id", F.lit(True).alias("is_there")), total, "left")
+    linked = materialize(j.select(*[k[c] for c in ("volume_id", "file_id", "parent_id", "id", "name", "mount", "at_root")], (~k["at_root"] & p["is_there"].isNotNull()).alias("hangs")), "folders")
+
+    sound = F.col("at_root")
+    level = linked.where("NOT hangs").select("volume_id", "file_id", "parent_id", "id", F.when(sound, REACHED).otherwise(ORPHAN).alias("state"), F.when(sound, 1).alias("depth"), *load.top(sound))
+    edges = linked.where("hangs").select("volume_id", "file_id", "parent_id", "id", *load.run())
+    levels = [level.withColumn("_level", F.lit(1))]
+    for n in range(2, LEVELS + 1):
+        j, k, p = split_join(edges, "parent_id", level, total)
+        more = load.settle(p, k)
+        level = j.select(*[k[c] for c in ("volume_id", "file_id", "parent_id", "id")], p["state"].alias("state"), (p["depth"] + 1).alias("depth"), *[more[c].alias(c) for c in load.settled])
+        levels.append(level.withColumn("_level", F.lit(n)))
+    upper = materialize(reduce(DataFrame.unionAll, levels), "levels")
+    frontier = upper.where(F.col("_level") == LEVELS).select(cols)
+    rest = materialize(edges.join(upper.select("id"), "id", "left_anti").select(edges.columns), "rest")
+
+    def runs_of(rows: DataFrame, what: _Load) -> DataFrame:
+        return rows.select("volume_id", "file_id", "parent_id", "id", F.col("parent_id").alias("to"), F.lit(1).alias("len"), *what.runs)
+
+    if set(carry) <= {"digest"}:
+        done, loose = _strides(runs_of(rest, load), frontier, load)
+    else:
+        # Text and lists would grow without end on a loop, so loops are told first, by numbers alone.
+        bare = _Load(())
+        _, loose = _strides(runs_of(rest, bare), frontier, bare)
+        done, _ = _strides(runs_of(rest.join(loose.select("id"), "id", "left_anti"), load), frontier, load)
+    parts = [upper.select(cols), *[d.select(cols) for d in done]]
+    blank = [F.lit(None).cast(upper.schema[c].dataType).alias(c) for c in ("depth", *load.settled)]
+    return reduce(DataFrame.unionAll, [*parts, _loops(loose).select("volume_id", "file_id", "parent_id", "id", "state", *blank)])
+
+
+def _strides(rest: DataFrame, frontier: DataFrame, load: _Load) -> tuple[list[DataFrame], DataFrame]:
+    """Settles `rest` from `frontier`, the last level above it, by runs that double; returns what was settled
+    and the folders that hang from no top. A folder's run ends (`to`) at a settled folder or at one of rest."""
+    ids = ["volume_id", "file_id", "parent_id", "id"]
+    done, count = [], rest.count()
+    while count:
+        known = reduce(DataFrame.unionAll, [frontier.select(*ids, "state", "depth", *load.settled), *[d.select(*ids, "state", "depth", *load.settled) for d in done]])
+        ends = known.unionByName(rest.select(*ids, "to", "len", *load.runs), allowMissingColumns=True)
+        j, k, p = split_join(rest, "to", ends, count)
+        settled, longer = load.settle(p, k), load.extend(p, k)
+        on = p["state"].isNotNull()
+        out = j.select(
+            *[k[c] for c in ids], p["state"].alias("state"), F.when(on, p["depth"] + k["len"]).alias("depth"), *[F.when(on, settled[c]).alias(c) for c in load.settled],
+            p["to"].alias("to"), F.when(~on, p["len"] + k["len"]).alias("len"), *[F.when(~on, longer[c]).alias(c) for c in load.runs])
+        out = materialize(out, "strides")
+        left = out.where("state IS NULL").count()
+        if left == count:
+            return done, out.select(*ids, "to")
+        done.append(out.where("state IS NOT NULL"))
+        rest, count = out.where("state IS NULL").select(*ids, "to", "len", *load.runs), left
+    return done, rest.select(*ids, "to")
+
+
+def _loops(loose: DataFrame) -> DataFrame:
+    """Tells folders on loops from those below. `to` maps the folders into themselves; composed with itself the map
+    reaches fewer and fewer of them, and as soon as twice the steps reach as many, exactly those of loops."""
+    count = loose.count()
+    jump = loose.select("volume_id", "file_id", "id", "to")
+    reach = jump.select("volume_id", "to").distinct()
+    stood = reach.count() if count else 0
+    while count:
+        j, k, p = split_join(jump, "to", jump.select("volume_id", "file_id", F.col("to").alias("next")), count)
+        jump = materialize(j.select(k["volume_id"].alias("volume_id"), k["file_id"].alias("file_id"), k["id"].alias("id"), p["next"].alias("to")), "jumps")
+        reach = jump.select("volume_id", "to").distinct()
+        stood, before = reach.count(), stood
+        if stood == before:
             break
-        level, levels = frontier, []
-        for k in range(1, LEVELS + 1):
-            level = below(level).repartition(width, "volume_id", "file_id")
-            levels.append(level.withColumn("_level", F.lit(k)))
-        batch = materialize(reduce(DataFrame.unionAll, levels), "levels")
-    edges.unpersist()
-    reached = reduce(DataFrame.unionAll, done)
-    if not left:
-        return reached
-    rest = materialize(linked.join(reached.select("volume_id", "file_id"), ["volume_id", "file_id"], "left_anti").select("volume_id", "file_id", "parent_id", "id", "name"), "rest")
-    blank = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), *[F.lit(None).cast("array<bigint>").alias("ancestors")] * with_ancestors]
-    if left > tail_rows:
-        return reached.unionAll(_loops(rest).select("volume_id", "file_id", "id", "state", *blank))
-    parents = rest.select("volume_id", F.col("parent_id").alias("file_id")).distinct()
-    known = frontier.join(parents, ["volume_id", "file_id"], "left_semi").select(*cols, F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("string").alias("name"))
-    asked = rest.select("volume_id", "file_id", "id", F.lit(None).cast("string").alias("state"), *blank, "parent_id", "name")
-    return reached.unionAll(materialize(known.unionAll(asked).repartition(1).mapInArrow(_tail, reached.schema), "tail"))
-
-
-def _tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The remaining levels where few folders are left: the same frontier walk, in one task, from the rows
-    that have a state. Rows never reached are peeled from the leaves upwards; what can't be peeled is a loop."""
-    schema, rows = None, []
-    for b in batches:
-        schema, rows = b.schema, rows + b.to_pylist()
-    if schema is None:
-        return
-    frontier = [r for r in rows if r["state"]]
-    kids: dict[tuple, list[dict]] = {}
-    for r in rows:
-        if not r["state"]:
-            kids.setdefault((r["volume_id"], r["parent_id"]), []).append(r)
-    out = []
-    while frontier:
-        level = []
-        for p in frontier:
-            for c in kids.get((p["volume_id"], p["file_id"]), ()):
-                c["state"], c["depth"] = p["state"], None if p["depth"] is None else p["depth"] + 1
-                c["path"] = None if p["path"] is None or c["name"] is None else f"{p['path']}/{c['name']}"
-                if "ancestors" in c:
-                    c["ancestors"] = [*p["ancestors"], p["id"]]
-                level.append(c)
-        out += level
-        frontier = level
-    loose = {(r["volume_id"], r["file_id"]): r for r in rows if not r["state"]}
-    pending = Counter((r["volume_id"], r["parent_id"]) for r in loose.values())
-    leaves = [k for k in loose if not pending[k]]
-    while leaves:
-        r = loose[leaves.pop()]
-        r["state"] = BELOW
-        up = (r["volume_id"], r["parent_id"])
-        pending[up] -= 1
-        if not pending[up] and up in loose:
-            leaves.append(up)
-    for r in loose.values():
-        r["state"] = r["state"] or CYCLE
-    keep = [f for f in schema if f.name not in ("parent_id", "name")]
-    yield pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in keep} for r in [*out, *loose.values()]], schema=pa.schema(keep))
-
-
-def _loops(rest: DataFrame) -> DataFrame:
-    """Splits folders that no walk reached: `parent_id` maps each into the set, so after as many steps as
-    there are folders every one stands on its loop, and the folders stood on are exactly those of loops."""
-    left = rest.count()
-    jump = rest.select("volume_id", "file_id", F.col("parent_id").alias("to"))
-    steps = 1
-    while steps < left:
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, (F.col("a.volume_id") == F.col("b.volume_id")) & (F.col("a.to") == F.col("b.file_id"))).select("a.volume_id", "a.file_id", "b.to")
-        jump, steps = materialize(jump, "jumps"), steps * 2
-    on = jump.select("volume_id", F.col("to").alias("file_id"), F.lit(CYCLE).alias("on")).distinct()
-    return rest.join(on, ["volume_id", "file_id"], "left").withColumn("state", F.coalesce("on", F.lit(BELOW))).drop("on")
+    on = reach.select("volume_id", F.col("to").alias("file_id"), F.lit(CYCLE).alias("on"))
+    return loose.join(on, ["volume_id", "file_id"], "left").withColumn("state", F.coalesce("on", F.lit(BELOW))).drop("on")
 
 
 def place(entries: DataFrame, folders: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Every entry with `finding`, `parent_path`, `depth` and, if walked with them, `ancestors`.
+    """Every entry with `finding`, `depth` and, by what the walk carried, `parent_path` and `ancestors`.
 
-    Findings: null (sound), cycle, below_cycle, orphan, path_mismatch. A volume that is unknown has no
-    root, so its entries are orphans or on loops; a null parent or path makes an orphan or a mismatch.
+    Findings: null (sound), cycle, below_cycle, orphan and, if digests were carried, path_mismatch. A volume
+    that is unknown has no root, so its entries are orphans or on loops; a null parent or path makes an orphan
+    or a mismatch.
     """
-    width = shuffle_width(entries.sparkSession)
-    more = [c for c in folders.columns if c == "ancestors"]
+    load = _Load(tuple(n for n, c in (("path", "path"), ("digest", "d0"), ("ancestors", "ancestors")) if c in folders.columns))
     # The root of a volume is a parent like any folder, and comes before a folder that has its number.
-    roots = volumes.groupBy("volume_id").agg(F.min(F.struct("path", "root_file_id")).alias("r")).select(
-        "volume_id", F.col("r.root_file_id").alias("file_id"), F.lit(None).cast("bigint").alias("p_id"), F.lit(REACHED).alias("p_state"), F.when(F.col("r.path") == "/", "").otherwise(F.col("r.path")).alias("p_path"), F.lit(0).alias("p_depth"), F.lit(None).cast("bigint").alias("loop_child"), *[F.array().cast("array<bigint>").alias(c) for c in more])
+    roots = _mounts(volumes).select("volume_id", F.col("root_file_id").alias("file_id"), F.lit(None).cast("bigint").alias("p_id"), F.lit(REACHED).alias("p_state"), F.lit(0).alias("p_depth"), F.lit(None).cast("bigint").alias("loop_child"), *load.root(F.col("mount")))
     # On a loop each folder has one child folder that is on it too, so the parent can tell which.
-    on_loop = folders.where(F.col("state") == CYCLE).select("id").join(entries.where("is_dir"), "id").select("volume_id", F.col("parent_id").alias("file_id"), F.col("file_id").alias("loop_child"))
-    known = folders.join(on_loop, ["volume_id", "file_id"], "left").select("volume_id", "file_id", F.col("id").alias("p_id"), F.col("state").alias("p_state"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), "loop_child", *more)
-    parents = known.join(F.broadcast(roots.select("volume_id", "file_id")), ["volume_id", "file_id"], "left_anti").unionAll(roots)
-    shards = materialize(_shards(entries, width), "shards")
-    kids = _salted(entries, shards, "id").alias("e")
-    ps = _copied(parents, shards).alias("p")
-    on = (F.col("e.volume_id") == F.col("p.volume_id")) & (F.col("e.parent_id") == F.col("p.file_id")) & (F.col("e._salt") == F.col("p._salt"))
-    joined = kids.join(ps, on, "left").select("e.*", "p_id", "p_state", "p_path", "p_depth", "loop_child", *more)
-    agrees = F.coalesce(F.col("before") == F.unhex(F.md5("p_path")), F.lit(False))
+    on_loop = folders.where(F.col("state") == CYCLE).select("volume_id", F.col("parent_id").alias("file_id"), F.col("file_id").alias("loop_child"))
+    known = folders.join(on_loop, ["volume_id", "file_id"], "left").select("volume_id", "file_id", F.col("id").alias("p_id"), F.col("state").alias("p_state"), F.col("depth").alias("p_depth"), "loop_child", *load.settled)
+    parents = known.join(roots.select("volume_id", "file_id"), ["volume_id", "file_id"], "left_anti").unionAll(roots)
+    joined, e, p = split_join(entries, "parent_id", parents, entries.count(), "left")
     finding = (
-        F.when(F.col("is_dir") & (F.col("p_state") == CYCLE) & (F.col("file_id") == F.col("loop_child")), CYCLE)
-        .when(F.col("p_state").isNull() | (F.col("p_state") == ORPHAN), ORPHAN)
-        .when(F.col("p_state").isin(CYCLE, BELOW), BELOW)
-        .when(~agrees, "path_mismatch")
+        F.when(e["is_dir"] & (p["p_state"] == CYCLE) & (e["file_id"] == p["loop_child"]), CYCLE)
+        .when(p["p_state"].isNull() | (p["p_state"] == ORPHAN), ORPHAN)
+        .when(p["p_state"].isin(CYCLE, BELOW), BELOW)
     )
-    return joined.select("id", "volume_id", "file_id", "parent_id", "is_dir", "name", finding.alias("finding"), F.col("p_id").alias("folder_id"), F.col("p_path").alias("parent_path"), (F.col("p_depth") + 1).alias("depth"), *more)
+    if "d0" in load.settled:
+        finding = finding.when(~F.coalesce((e["before0"] == p["d0"]) & (e["before1"] == p["d1"]), F.lit(False)), "path_mismatch")
+    more = [p[c].alias({"path": "parent_path"}.get(c, c)) for c in load.settled if c in ("path", "ancestors")]
+    return joined.select(*[e[c] for c in ("id", "volume_id", "file_id", "parent_id", "is_dir", "name")], finding.alias("finding"), p["p_id"].alias("folder_id"), (p["p_depth"] + 1).alias("depth"), *more)
 
 
 def findings(files: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -219,14 +278,14 @@ def findings(files: DataFrame, volumes: DataFrame) -> DataFrame:
 def full_paths(files: DataFrame, volumes: DataFrame) -> DataFrame:
     """(id, volume_id, full_path, depth) of every current row that reaches its root."""
     entries = prepare(files, with_names=True)
-    placed = place(entries, walk(entries, volumes), volumes)
+    placed = place(entries, walk(entries, volumes, ("path",)), volumes)
     return placed.where("depth IS NOT NULL").select("id", "volume_id", F.concat("parent_path", F.lit("/"), "name").alias("full_path"), "depth")
 
 
 def descendants(files: DataFrame, volumes: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance) for every folder and each entry below it, root reached."""
     entries = prepare(files)
-    placed = place(entries, walk(entries, volumes, with_ancestors=True), volumes)
+    placed = place(entries, walk(entries, volumes, ("ancestors",)), volumes)
     above = F.when(F.col("folder_id").isNull(), F.array().cast("array<bigint>")).otherwise(F.concat("ancestors", F.array("folder_id")))
     pairs = placed.where("depth IS NOT NULL").select(F.col("id").alias("descendant_id"), F.size(above).alias("_n"), F.posexplode(above).alias("_i", "ancestor_id"))
     return pairs.select("ancestor_id", "descendant_id", (F.col("_n") - F.col("_i")).alias("distance"))

@@ -92,9 +92,9 @@ UNION ALL SELECT 'volume_id', f.volume_id, count(*), CAST(sum(f.size) AS VARCHAR
     "p4_found": _TREE + """,
 folder AS (SELECT DISTINCT volume_id, file_id, parent_id, id FROM cur WHERE is_dir),
 up AS (
-  SELECT c.id, c.volume_id, c.parent_id AS stop, c.file_id AS own, c.is_dir, 0 AS steps FROM cur c WHERE c.id NOT IN (SELECT id FROM down)
+  SELECT c.id, c.volume_id, c.parent_id AS stop, c.file_id AS own, c.is_dir FROM cur c WHERE c.id NOT IN (SELECT id FROM down)
   UNION
-  SELECT u.id, u.volume_id, f.parent_id, u.own, u.is_dir, u.steps + 1 FROM up u JOIN folder f ON u.volume_id = f.volume_id AND u.stop = f.file_id WHERE u.steps < 400),
+  SELECT u.id, u.volume_id, f.parent_id, u.own, u.is_dir FROM up u JOIN folder f ON u.volume_id = f.volume_id AND u.stop = f.file_id),
 ended AS (SELECT DISTINCT u.id FROM up u LEFT JOIN folder f ON u.volume_id = f.volume_id AND u.stop = f.file_id WHERE f.id IS NULL),
 looped AS (SELECT id, bool_or(is_dir AND stop = own) AS on_loop FROM up WHERE id NOT IN (SELECT id FROM ended) GROUP BY id)
 SELECT id, 'path_mismatch' AS finding FROM down WHERE path IS DISTINCT FROM full_path

@@ -152,27 +152,40 @@ def brute(rows):
     return found, paths, kids
 
 
-@pytest.mark.parametrize("tail", [10**6, 0, 40])
-def test_hierarchy(spark, tail):
+def test_hierarchy(spark):
     rows = tree_rows(5)
     files = spark.createDataFrame(rows, FILES)
     volumes = spark.createDataFrame(VOLUMES, "volume_id string, path string, root_file_id bigint")
     found, paths, kids = brute(rows)
     entries = hierarchy.prepare(files, with_names=True)
-    folders = hierarchy.walk(entries, volumes, with_ancestors=True, tail_rows=tail)
+    folders = hierarchy.walk(entries, volumes, ("path", "digest"))
     placed = hierarchy.place(entries, folders, volumes)
     assert {r.id: r.finding for r in placed.where("finding IS NOT NULL").collect()} == found
     assert {r.id: (None if r.parent_path is None or r.name is None else f"{r.parent_path}/{r.name}", r.depth) for r in placed.where("depth IS NOT NULL").collect()} == paths
-    if tail:
-        assert {(r.ancestor_id, r.descendant_id, r.distance) for r in hierarchy.descendants(files, volumes).collect()} == kids
+    assert {r.id: r.finding for r in hierarchy.findings(files, volumes).collect()} == found
+    assert {r.id: (r.full_path, r.depth) for r in hierarchy.full_paths(files, volumes).collect()} == paths
+    assert {(r.ancestor_id, r.descendant_id, r.distance) for r in hierarchy.descendants(files, volumes).collect()} == kids
 
 
 def test_hot_folder_is_split(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "_shards", lambda rows, width: rows.groupBy("volume_id", "parent_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("volume_id", "parent_id", F.lit(3).alias("shards")))
+    monkeypatch.setattr(hierarchy, "HOT_ROWS", 3)
     rows = tree_rows(6)
     volumes = spark.createDataFrame(VOLUMES, "volume_id string, path string, root_file_id bigint")
-    got = hierarchy.findings(spark.createDataFrame(rows, FILES), volumes)
-    assert {r.id: r.finding for r in got.collect()} == brute(rows)[0]
+    files = spark.createDataFrame(rows, FILES)
+    assert {r.id: r.finding for r in hierarchy.findings(files, volumes).collect()} == brute(rows)[0]
+    assert {r.id: (r.full_path, r.depth) for r in hierarchy.full_paths(files, volumes).collect()} == brute(rows)[1]
+
+
+def test_long_chain_and_long_loop(spark):
+    """A chain of 20,000 folders, a loop of 3,000 with a tail of 5,000 below it: log of the length joins, no text."""
+    n = 20_000
+    chain = spark.range(n).select(F.col("id"), F.lit("x").alias("path"), F.concat(F.lit("d"), "id").alias("name"), F.lit(1).cast("bigint").alias("changed_ns"), F.lit(True).alias("is_dir"), (F.col("id") + 10).alias("file_id"), F.when(F.col("id") == 0, 2).otherwise(F.col("id") + 9).alias("parent_id"), F.lit("v").alias("volume_id"), F.lit("").alias("finding"))
+    up = F.when(F.col("id") == 0, 2999).when(F.col("id") == 3000, 7).otherwise(F.col("id") - 1)
+    loop = spark.range(8000).select((F.col("id") + n).alias("id"), F.lit("x").alias("path"), F.concat(F.lit("l"), "id").alias("name"), F.lit(1).cast("bigint").alias("changed_ns"), F.lit(True).alias("is_dir"), F.col("id").alias("file_id"), up.alias("parent_id"), F.lit("w").alias("volume_id"), F.lit("").alias("finding"))
+    # The number of a volume's root lies outside the loop here.
+    volumes = spark.createDataFrame([("v", "/", 2), ("w", "/mnt/w", 10**9)], "volume_id string, path string, root_file_id bigint")
+    got = Counter(r.finding for r in hierarchy.findings(chain.unionByName(loop), volumes).collect())
+    assert got == {"path_mismatch": n, "cycle": 3000, "below_cycle": 5000}
 
 
 def test_no_files(spark):
