@@ -49,7 +49,7 @@ class Catalog:
 
     def tree(self, text: str) -> A.Node:
         if len(text.encode("utf-8", "surrogatepass")) > MAX_QUERY:
-            raise QueryError("Query exceeds 16 KiB")
+            raise QueryError(f"The search is longer than {MAX_QUERY} bytes")
         return parse(text, self.macros, self._clock())
 
     def _kept(self, node: A.Node, df: DataFrame, candidates: bool = False) -> tuple[F.Column, DataFrame]:
@@ -128,7 +128,7 @@ class Catalog:
         """One row for each asked path, in order and with repeats: (position, path, complete, recursive_size,
         indexed_logical_size, child_count, descendant_count, reason). recursive_size is null if incomplete."""
         if len(paths) > MAX_INFO:
-            raise QueryError("directory_info accepts at most 200 paths")
+            raise QueryError(f"More than {MAX_INFO} paths asked at once")
         asked = self.rows.sparkSession.createDataFrame(list(enumerate(paths)), "position int, path string")
         known = folder_metrics(self.rows)
         j = asked.join(known.select("path", "foldersize", "childcount", "descendantcount", F.lit(True).alias("_is")), "path", "left")
