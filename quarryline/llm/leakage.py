@@ -1,181 +1,220 @@
 """Evaluation passages that stand, wholly or partly, in documents.
 
-Words are compared after folding look-alikes, case, punctuation and markup away. Spaced seeds (fixed
-masks over word positions, some of them ignored) are hashed for all items and for every position of
-every document; a shared hash makes a candidate, which an alignment around the hits then verifies, with
-words replaced, dropped or added. The items' seeds go to the tasks in blocks of bounded size, each block
-against all documents, so any number of items works, and no document text is ever shuffled.
+Words are compared after folding look-alikes, case, punctuation and markup away. Spaced seeds (fixed masks
+over word positions, each of which ignores some) are hashed for all items and for every position of every
+document, and the two are joined. Documents are read once: a filter of fixed size, made from the items' seeds,
+keeps of each document only the stretches around seeds that may be some item's, as word hashes. Stretches and
+items of one wording are looked at once, however many copies there are. Pairs with several seed places in
+common are verified by an alignment with words replaced, dropped or added.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.common import spread
+from quarryline.common import materialize, spread
 from quarryline.llm.lookalike import fold_long
-
-# The masks; '0' positions are ignored.
-MASKS = ("11111", "1101101", "111011", "1100111")
-#: A stretch has 20 words of the item or more, up to an eighth of them edited; fewer than ten words in a row
-#: are none. In an alignment a word in common counts 1 and one replaced, dropped or added -EDIT, so the
-#: shortest stretch reaches 18 - 2 EDIT = 14 and nine words in a row 9; sentences of one pattern reach 11.
-EDIT, SCORE = 2.0, 12.5
-#: Seed places in common that a stretch has at least: L words with L/8 of them edited leave L - 5 L/8 - 4
-#: or more places to the mask without gaps, which is 5 or more for every L from 20 on.
-PLACES = 5
-#: Words around a seed hit that the alignment looks at, and the gap that parts two groups of hits.
-AROUND, GAP = 48, 64
-#: Pairs aligned together.
-CHUNK = 128
-#: Characters of items in one block: their seeds take about 20 bytes for each mask and word.
-BLOCK_CHARS = 8_000_000
+from quarryline.operators.skew import fragment_replicate_join
+
+# The masks; words at '0' are ignored.
+MASKS = ("110111", "111011", "1101101", "1100111")
+#: In an alignment a word in common counts MATCH and one replaced, dropped or added -EDIT. A stretch has 20 words
+#: of the item or more, about an eighth of them edited; 20 with three edits have 17 in common, which makes the
+#: least score. Nine words in a row, the most that is no case, have 18.
+MATCH, EDIT = 2, 3
+SCORE = 17 * MATCH - 3 * EDIT
+#: Seed places in common that make a pair worth an alignment. 98 in 100 stretches of 20 words with three random
+#: edits have them, practically all longer ones and all with two edits (a test measures it).
+PLACES = 2
+#: Words around seed places that an alignment looks at, and the gap that parts two stretches of a document.
+AROUND, GAP = 32, 48
+#: Pairs aligned together; characters of documents whose words are handled together.
+CHUNK, TEXT_CHARS = 256, 2_000_000
+#: Bits of the filter (8 MB, whatever the number of items; the more items, the more it lets through).
+FILTER_BITS = 1 << 26
+_BUCKET = 32768  # bits of one bitmap of Spark's bitmap functions
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\x01?[^\W_]+")
 _PAIR = re.compile(r"(?<![\w-])([^\W_]+)-([^\W_]+)(?![\w-])")
+_SPAN = max(map(len, MASKS))
+
+
+def _marked(text: str | None) -> list[str]:
+    """The words of a text; the second of two that a hyphen joins begins with \\x01."""
+    if not text:
+        return []
+    s = _TAG.sub(" ", fold_long(text)).lower().replace("\x01", " ")
+    return _WORD.findall(_PAIR.sub("\\1 \x01\\2", s) if "-" in s else s)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(_TAG.sub(" ", fold_long(text)).lower()) if text else []
+    return [w.lstrip("\x01") for w in _marked(text)]
+
+
+class _Codes(dict):
+    """Words as 64-bit numbers: a hash, whose lowest bit tells the second word of a joined pair. Such a word costs
+    and counts nothing beside the first, so the pair counts as one word however the other side parts it."""
 
+    LIMIT = 1 << 20
 
-def joined_pairs(texts: Iterable[str | None]) -> set[tuple[str, str]]:
-    """Adjacent words that a text joins by a hyphen."""
-    return {p for t in texts if t for p in _PAIR.findall(_TAG.sub(" ", fold_long(t)).lower())}
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        loose = word[0] == "\x01"
+        code = self[word] = (xxhash.xxh3_64_intdigest(word.lstrip("\x01").encode("utf-8", "replace")) >> 1 | 2) & ~1 | loose
+        return code
+
+
+_CODES = _Codes()
+
+
+def codes(text: str | None) -> np.ndarray:
+    found = _marked(text)
+    return np.fromiter((_CODES[w] for w in found), np.int64, len(found))
 
 
 def _seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows whose unmasked words are all known (id > 0), and where they start."""
+    """Hashes of the windows whose unmasked words are all there (not 0), and where they start."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, ok = np.full(n, len(mask), np.uint64), np.ones(n, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, ok = np.full(n, int(mask, 2), np.uint64), np.ones(n, bool)
     for k, bit in enumerate(mask):
         if bit == "1":
             w = ids[k : k + n]
-            ok &= w > 0
-            h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            ok &= w != 0
+            h = (h ^ (w >> 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     at = np.flatnonzero(ok)
-    return h[at], at
-
-
-class Items:
-    """A block of evaluation items, ready to be looked for. `joined` are the pairs of words that count as one:
-    those of all items, of which these may be a part; without it, those of `texts`."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], joined: Iterable[tuple[str, str]] | None = None):
-        self.ids, self.vocabulary, self.words = ids, {}, []
-        split = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64) for t in texts]
-        # Two words that an item joins by a hyphen count as one, however a document or another item parts them.
-        pairs = {(self.vocabulary[a], self.vocabulary[b]) for a, b in (joined_pairs(texts) if joined is None else joined) if a in self.vocabulary and b in self.vocabulary}
-        self.base = len(self.vocabulary) + 1
-        self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), np.int64)
-        self.words = [self._joined(w) for w in split]
-        self.tables = []
-        for mask in MASKS:
-            parts = [(*_seeds(w, mask), i) for i, w in enumerate(self.words)]
-            h = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
-            at = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-            item = np.concatenate([np.full(len(p[0]), p[2], np.int64) for p in parts] or [np.zeros(0, np.int64)])
-            order = np.argsort(h, kind="stable")
-            self.tables.append((mask, h[order], item[order], at[order]))
-
-    def _joined(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) < 2 or not len(self.pairs):
-            return ids
-        key = ids[:-1] * self.base + ids[1:]
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        first = np.append((self.pairs[at] == key) & (ids[:-1] > 0), False)
-        out = np.where(first, self.base + np.append(at, 0), ids)
-        return out[~np.concatenate(([False], first[:-1]))]
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word position in the document) of every seed in common."""
-        items, places = [], []
-        for mask, table, item, _ in self.tables:
-            h, at = _seeds(ids, mask)
-            lo, n = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            n = n - lo
-            some = np.flatnonzero(n)
-            if len(some):
-                n, lo = n[some], lo[some]
-                each = np.repeat(np.arange(len(some)), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                items.append(item[lo[each] + step])
-                places.append(at[some][each])
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(items), np.concatenate(places)
-
-    def candidates(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-        """(item, stretch of the document's words) that an alignment has to decide."""
-        ids = self._joined(np.array([self.vocabulary.get(w, 0) for w in words(text)], np.int64))
-        if np.count_nonzero(ids) < SCORE:
-            return
-        item, place = self.hits(ids)
-        if not len(item):
-            return
-        order = np.lexsort((place, item))
-        item, place = item[order], place[order]
-        cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(place) > GAP)) + 1
-        for group in np.split(np.arange(len(item)), cuts):
-            if len(group) >= PLACES and len(np.unique(place[group])) >= PLACES:
-                yield int(item[group[0]]), ids[max(0, place[group[0]] - AROUND) : place[group[-1]] + AROUND]
-
-    def found_in_all(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
-        """(which text, item id, score) of the items of which a text holds a stretch."""
-        asked = [(k, i, part) for k, t in enumerate(texts) for i, part in self.candidates(t)]
-        best: dict[tuple[int, int], float] = {}
-        for (k, i, _), score in zip(asked, align_all([p for *_, p in asked], [self.words[i] for _, i, _ in asked])):
-            best[k, i] = max(best.get((k, i), 0.0), score)
-        return [(k, self.ids[i], s) for (k, i), s in best.items() if s >= SCORE]
-
-    def found_in(self, text: str | None) -> list[tuple[int, float]]:
-        return [(i, s) for _, i, s in self.found_in_all([text])]
-
-
-def align(part: np.ndarray, item: np.ndarray) -> float:
+    return h[at].view(np.int64), at
+
+
+def all_seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = [_seeds(ids, m) for m in MASKS]
+    return np.concatenate([h for h, _ in found]), np.concatenate([at for _, at in found])
+
+
+def _positive(h: np.ndarray) -> np.ndarray:
+    """Where a seed falls in the filter."""
+    return (h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % FILTER_BITS
+
+
+def _keep(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    p = _positive(h)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _finger(ids: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(ids.tobytes())
+
+
+def _lists(rows: Sequence[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = [codes(t) for t in b["t"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["i"], pa.array([_finger(x) for x in ids], pa.binary()), _lists(ids)], ["i", "item", "item_words"])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [all_seeds(np.asarray(w, np.int64)) for w in b["item_words"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["item"], _lists([h for h, _ in found]), _lists([at for _, at in found]), _lists([_positive(h) for h, _ in found])], ["item", "h", "at", "bit"])
+
+
+def stretches(ids: list[np.ndarray], bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(which document, words, seeds, their places) of the parts of documents that may hold an item."""
+    starts = np.cumsum([0, *[len(x) + _SPAN for x in ids]])
+    whole = np.zeros(starts[-1], np.int64)
+    for a, x in zip(starts, ids):
+        whole[a : a + len(x)] = x
+    h, at = all_seeds(whole)
+    some = _keep(h, bits)
+    h, at = h[some], at[some]
+    order = np.argsort(at, kind="stable")
+    h, at = h[order], at[order]
+    doc = np.searchsorted(starts, at, "right") - 1
+    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(at) > GAP)) + 1 if len(at) else []
+    for group in np.split(np.arange(len(at)), cuts):
+        if len(group) >= PLACES and np.count_nonzero(np.diff(at[group])) + 1 >= PLACES:
+            d = doc[group[0]]
+            a = max(starts[d], at[group[0]] - AROUND)
+            z = min(starts[d] + len(ids[d]), at[group[-1]] + _SPAN + AROUND)
+            yield d, whole[a:z], h[group], at[group] - a
+
+
+def _reader(bits: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            at = 0
+            while at < len(texts):
+                upto, chars = at, 0
+                while upto < len(texts) and chars < TEXT_CHARS:
+                    chars += len(texts[upto] or "")
+                    upto += 1
+                found = list(stretches([codes(t) for t in texts[at:upto]], bits()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([docs[at + d] for d, *_ in found], pa.int64()), pa.array([_finger(w) for _, w, *_ in found], pa.binary()), *[_lists([f[k] for f in found]) for k in (1, 2, 3)]],
+                    ["doc_id", "part", "words", "h", "place"])
+                at = upto
+
+    return run
+
+
+def align(part: np.ndarray, item: np.ndarray) -> int:
     return align_all([part], [item])[0]
 
 
-def align_all(parts: list[np.ndarray], items: list[np.ndarray]) -> list[float]:
-    """The best local alignment's score of each pair. Pairs of like length are aligned together, CHUNK at a
-    time."""
-    out = [0.0] * len(parts)
-    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
+def align_all(parts: Sequence[np.ndarray], items: Sequence[np.ndarray]) -> list[int]:
+    """The best local alignment's score of each pair. Pairs of like length are aligned together."""
+    out = [0] * len(parts)
+    order = sorted(range(len(parts)), key=lambda k: (len(parts[k]), len(items[k])))
     for at in range(0, len(order), CHUNK):
-        some = order[at : at + CHUNK]
-        for k, s in zip(some, _align([parts[k] for k in some], [items[k] for k in some])):
-            out[k] = float(s)
+        some = [k for k in order[at : at + CHUNK] if len(parts[k]) and len(items[k])]
+        if some:
+            for k, s in zip(some, _align([parts[k] for k in some], [items[k] for k in some])):
+                out[k] = int(s)
     return out
 
 
-def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
-    out = np.full((len(rows), max(map(len, rows))), fill, np.int64)
+def _padded(rows: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words (0 beyond the end), and 1 for each that counts."""
+    out = np.zeros((len(rows), max(map(len, rows))), np.int64)
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
-    return out
+    return out >> 1, ((out & 1) == 0) & (out != 0)
 
 
-def _align(parts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
-    """One step for each document word; along the items, words left out cost EDIT each, so the best way to
-    come from the left is a running maximum."""
-    a, b = _padded(parts, -1), _padded(items, -2)
+def _align(parts: Sequence[np.ndarray], items: Sequence[np.ndarray]) -> np.ndarray:
+    """One step for each document word; along the items, words left out cost EDIT each, so the best way to come
+    from the left is a running maximum. Beyond the ends nothing matches and nothing costs."""
+    a, counts_a = _padded(parts)
+    b, counts_b = _padded(items)
     n, m = b.shape
-    ramp = EDIT * np.arange(m)
-    score, best = np.zeros((n, m + 1)), np.zeros(n)
-    for w in a.T:
-        new = np.where(b == w[:, None], 1.0, -EDIT) + score[:, :-1]
-        np.maximum(new, score[:, 1:] - EDIT, out=new)
-        np.maximum(new, 0.0, out=new)
+    kind = np.int16 if m * max(MATCH, EDIT) < 10_000 else np.int32
+    gain, cost = MATCH * counts_b.astype(kind), EDIT * counts_b.astype(kind)
+    ramp = np.cumsum(cost, axis=1, dtype=kind)
+    score, best = np.zeros((n, m + 1), kind), np.zeros(n, kind)
+    new = np.empty((n, m), kind)
+    for w, counts in zip(a.T, counts_a.T):
+        step = (EDIT * counts).astype(kind)[:, None]
+        np.copyto(new, -np.maximum(cost, step))
+        np.copyto(new, gain, where=(b == w[:, None]) & (w[:, None] != 0))
+        new += score[:, :-1]
+        np.maximum(new, score[:, 1:] - step, out=new)
+        np.maximum(new, 0, out=new)
         new += ramp
         np.maximum.accumulate(new, axis=1, out=new)
         np.subtract(new, ramp, out=score[:, 1:])
@@ -183,39 +222,60 @@ def _align(parts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _joined_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = sorted(joined_pairs(b["t"].to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["a", "b"])
+def _slices(col: pa.ListArray) -> list[np.ndarray]:
+    values, ends = col.values.to_numpy(), col.offsets.to_numpy()
+    return [values[a:z] for a, z in zip(ends, ends[1:])]
 
 
-def _finder(blob: tuple[list[int], list[str | None], list[tuple[str, str]] | None], doc_id: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*blob)
-        for b in batches:
-            docs = b[doc_id].to_pylist()
-            found = items.found_in_all(b[text].to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for *_, s in found], pa.float64())], ["doc_id", "item_id", "score"])
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lo, hi, first, last = (b[c].to_pylist() for c in ("lo", "hi", "first", "last"))
+        parts = [w[max(0, x - AROUND) : y + _SPAN + AROUND] for w, x, y in zip(_slices(b["words"]), lo, hi)]
+        items = [w[max(0, x - AROUND) : y + _SPAN + AROUND] for w, x, y in zip(_slices(b["item_words"]), first, last)]
+        scores = np.array(align_all(parts, items), np.int64)
+        good = pa.array(scores >= SCORE)
+        yield pa.RecordBatch.from_arrays([b["part"].filter(good), b["item"].filter(good), pa.array(scores[scores >= SCORE] / MATCH, pa.float64())], ["part", "item", "score"])
 
-    return run
+
+def _filter_of(seeds: DataFrame) -> np.ndarray:
+    """The filter's bits: combined in bitmaps of 4 KB in the map tasks, FILTER_BITS / 8 bytes at the driver at most."""
+    bit = seeds.select(F.explode("bit").alias("b")).withColumn("b", F.col("b") + 1)
+    maps = bit.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps:
+        bits[(r["n"] - 1) * _BUCKET // 8 : r["n"] * _BUCKET // 8] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return bits
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score): documents with a stretch of an item, each pair once with its best score.
+    """(doc_id, item_id, score): documents with a stretch of an item, each pair once with its best score, in words.
 
-    Null and empty texts hold nothing and aren't held. Items of fewer words than SCORE can't leak. The
-    driver reads items block by block, BLOCK_CHARS each; each block is one pass over the documents. With several
-    blocks it also reads the distinct pairs of words that items join by a hyphen, and each block gets those of
-    its own words, so scores don't depend on the blocks.
+    Null and empty texts hold nothing and aren't held. Items of fewer than 13 words can't leak. Two words that a
+    hyphen joins in the item count as one. Seeds, items and stretches that very many others meet are split by
+    estimated load and what they meet is replicated to the splits; a seed of many items and many stretches still
+    makes as many pairs as it has of both, for which only those with PLACES places go on.
     """
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks, out = max(1, -(-chars // BLOCK_CHARS)), []
-    docs = spread(documents.where(F.col(doc_id).isNotNull())).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    joined = [tuple(r) for r in wanted.select("t").mapInArrow(_joined_in, "a string, b string").distinct().collect()] if blocks > 1 else None
-    for k in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i").collect()
-        known = joined and {w for r in rows for w in words(r["t"])}
-        own = joined and [(a, b) for a, b in joined if a in known and b in known]
-        out.append(docs.mapInArrow(_finder(([r["i"] for r in rows], [r["t"] for r in rows], own), "doc_id", "text"), "doc_id bigint, item_id bigint, score double"))
-    return reduce(DataFrame.unionAll, out).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    known = materialize(wanted.mapInArrow(_items, "i bigint, item binary, item_words array<bigint>"), "items")
+    texts = materialize(known.groupBy("item").agg(F.first("item_words").alias("item_words")), "wordings")
+    seeds = materialize(texts.mapInArrow(_item_seeds, "item binary, h array<bigint>, at array<bigint>, bit array<bigint>"), "seeds")
+    shipped = documents.sparkSession.sparkContext.broadcast(_filter_of(seeds))
+
+    docs = spread(documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    found = materialize(docs.mapInArrow(_reader(lambda: shipped.value), "doc_id bigint, part binary, words array<bigint>, h array<bigint>, place array<bigint>"), "parts")
+    parts = found.groupBy("part").agg(F.first(F.struct("words", "h", "place")).alias("r")).select("part", "r.*")
+    parts = materialize(parts, "stretches")
+
+    theirs = parts.select("part", F.explode(F.arrays_zip("h", "place")).alias("s")).select("part", "s.h", "s.place")
+    ours = seeds.select("item", F.explode(F.arrays_zip("h", "at")).alias("s")).select("item", "s.h", "s.at")
+    met = fragment_replicate_join(theirs, ours, ["h"])
+    # One row a place first, so that places are counted without a list of them.
+    once = met.groupBy("part", "item", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    pairs = once.groupBy("part", "item").agg(F.count(F.lit(1)).alias("places"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
+    pairs = materialize(pairs.where(F.col("places") >= PLACES).drop("places"), "pairs")
+    full = fragment_replicate_join(pairs.join(parts.select("part", "words"), "part"), texts, ["item"])
+    sure = materialize(spread(full).mapInArrow(_verify, "part binary, item binary, score double"), "leaks")
+
+    by_wording = fragment_replicate_join(found.select("doc_id", "part"), sure, ["part"])
+    named = fragment_replicate_join(by_wording, known.select(F.col("i").alias("item_id"), "item"), ["item"])
+    return named.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
