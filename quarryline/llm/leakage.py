@@ -30,6 +30,10 @@ MASKS = ("110111", "111011", "1101101", "1100111")
 #: least score. Nine words in a row, the most that is no case, have 18.
 MATCH, EDIT = 2, 3
 SCORE = 17 * MATCH - 3 * EDIT
+#: Words of the shortest stretch, and how many of them may be edited. Sentences of one pattern with other words in
+#: its places reach scores of little more than SCORE; below CLEAR a pair must also show such a stretch exactly.
+WORDS, EDITS = 20, 3
+CLEAR = WORDS * MATCH
 #: Seed places in common that make a pair worth an alignment. 98 in 100 stretches of 20 words with three random
 #: edits have them, practically all longer ones and all with two edits (a test measures it).
 PLACES = 2
@@ -45,6 +49,8 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _WORD = re.compile(r"\x01?[^\W_]+")
 _PAIR = re.compile(r"(?<![\w-])([^\W_]+)-([^\W_]+)(?![\w-])")
 _SPAN = max(map(len, MASKS))
+#: ASCII with everything but letters, digits and the mark of joined words as spaces.
+_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum() and c != 1}
 
 
 def _marked(text: str | None) -> list[str]:
@@ -52,7 +58,8 @@ def _marked(text: str | None) -> list[str]:
     if not text:
         return []
     s = _TAG.sub(" ", fold_long(text)).lower().replace("\x01", " ")
-    return _WORD.findall(_PAIR.sub("\\1 \x01\\2", s) if "-" in s else s)
+    s = _PAIR.sub("\\1 \x01\\2", s) if "-" in s else s
+    return s.translate(_PLAIN).split() if s.isascii() else _WORD.findall(s)
 
 
 def words(text: str | None) -> list[str]:
@@ -222,6 +229,39 @@ def _align(parts: Sequence[np.ndarray], items: Sequence[np.ndarray]) -> np.ndarr
     return best
 
 
+def _windows(item: np.ndarray) -> list[np.ndarray]:
+    """All runs of WORDS words that count, with the others among and right behind them."""
+    at = np.flatnonzero((item & 1) == 0)
+    ends = np.append(at, len(item))
+    return [item[a:z] for a, z in zip(at, ends[WORDS:])]
+
+
+def holds_stretch(part: np.ndarray, item: np.ndarray) -> bool:
+    """Whether WORDS words of the item stand in `part` with at most EDITS of them replaced, dropped or added."""
+    found = _windows(item)
+    if not found or not len(part):
+        return False
+    b, counts = _padded(found)
+    cost = counts.astype(np.int32)
+    ramp = np.cumsum(cost, axis=1)
+    edits = np.concatenate([np.zeros((len(b), 1), np.int32), ramp], axis=1)
+    for w in part:
+        step = 1 - (int(w) & 1)
+        new = np.minimum(edits[:, :-1] + np.where((b == w >> 1) & (b != 0), 0, np.maximum(cost, step)), edits[:, 1:] + step)
+        new = np.minimum(np.minimum.accumulate(new - ramp, axis=1), 0) + ramp
+        edits[:, 1:] = new
+        if edits[:, -1].min() <= EDITS:
+            return True
+    return False
+
+
+def may_hold(part: np.ndarray, item: np.ndarray) -> bool:
+    """False if no WORDS words of the item in a row have all but EDITS of them anywhere in `part`, as a stretch has."""
+    there = set((part >> 1).tolist())
+    run = np.cumsum([0, *[(w >> 1) in there for w in item.tolist() if not w & 1]])
+    return len(run) > WORDS and (run[WORDS:] - run[:-WORDS]).max() >= WORDS - EDITS
+
+
 def _slices(col: pa.ListArray) -> list[np.ndarray]:
     values, ends = col.values.to_numpy(), col.offsets.to_numpy()
     return [values[a:z] for a, z in zip(ends, ends[1:])]
@@ -232,9 +272,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, first, last = (b[c].to_pylist() for c in ("lo", "hi", "first", "last"))
         parts = [w[max(0, x - AROUND) : y + _SPAN + AROUND] for w, x, y in zip(_slices(b["words"]), lo, hi)]
         items = [w[max(0, x - AROUND) : y + _SPAN + AROUND] for w, x, y in zip(_slices(b["item_words"]), first, last)]
-        scores = np.array(align_all(parts, items), np.int64)
-        good = pa.array(scores >= SCORE)
-        yield pa.RecordBatch.from_arrays([b["part"].filter(good), b["item"].filter(good), pa.array(scores[scores >= SCORE] / MATCH, pa.float64())], ["part", "item", "score"])
+        asked = [k for k, (p, i) in enumerate(zip(parts, items)) if may_hold(p, i)]
+        scores = np.zeros(len(parts), np.int64)
+        scores[asked] = align_all([parts[k] for k in asked], [items[k] for k in asked])
+        good = np.array([s >= CLEAR or s >= SCORE and holds_stretch(p, i) for s, p, i in zip(scores, parts, items)], bool)
+        yield pa.RecordBatch.from_arrays([b["part"].filter(pa.array(good)), b["item"].filter(pa.array(good)), pa.array(scores[good] / MATCH, pa.float64())], ["part", "item", "score"])
 
 
 def _filter_of(seeds: DataFrame) -> np.ndarray:
@@ -250,7 +292,7 @@ def _filter_of(seeds: DataFrame) -> np.ndarray:
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score): documents with a stretch of an item, each pair once with its best score, in words.
 
-    Null and empty texts hold nothing and aren't held. Items of fewer than 13 words can't leak. Two words that a
+    Null and empty texts hold nothing and aren't held. Items of fewer than 20 words can't leak. Two words that a
     hyphen joins in the item count as one. Seeds, items and stretches that very many others meet are split by
     estimated load and what they meet is replicated to the splits; a seed of many items and many stretches still
     makes as many pairs as it has of both, for which only those with PLACES places go on.
@@ -276,6 +318,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     full = fragment_replicate_join(pairs.join(parts.select("part", "words"), "part"), texts, ["item"])
     sure = materialize(spread(full).mapInArrow(_verify, "part binary, item binary, score double"), "leaks")
 
-    by_wording = fragment_replicate_join(found.select("doc_id", "part"), sure, ["part"])
-    named = fragment_replicate_join(by_wording, known.select(F.col("i").alias("item_id"), "item"), ["item"])
-    return named.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    named = sure.join(known.select(F.col("i").alias("item_id"), "item"), "item").select("part", "item_id", "score")
+    return fragment_replicate_join(found.select("doc_id", "part"), named, ["part"]).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quarryline.llm import leakage
-from quarryline.llm.leakage import MATCH, SCORE, align, codes, leaked_items, words
+from quarryline.llm.leakage import MATCH, SCORE, align, codes, holds_stretch, leaked_items, words
 
 VOCAB = [f"{a}{b}" for a in "ka lo mi nu re so ta vu".split() for b in "bar den fil gor hum jad kel".split()]
 
@@ -123,7 +123,7 @@ def bits_of(items):
     return bits
 
 
-@pytest.mark.parametrize(("size", "edits", "least"), [(20, 2, 0.99), (20, 3, 0.97), (21, 3, 0.97), (22, 3, 0.98), (24, 3, 0.99), (24, 4, 0.97), (28, 3, 0.99), (32, 4, 0.99), (48, 6, 0.99)])
+@pytest.mark.parametrize(("size", "edits", "least"), [(20, 2, 0.99), (20, 3, 0.97), (21, 3, 0.97), (22, 3, 0.98), (24, 3, 0.99), (24, 4, 0.85), (28, 3, 0.99), (32, 4, 0.99), (48, 6, 0.99)])
 def test_recall_by_length_and_edits(size, edits, least):
     """Of fresh items, stretches with words replaced, dropped and added anywhere, between other words."""
     rnd, items = random.Random(size * 100 + edits), passages(11)
@@ -134,10 +134,22 @@ def test_recall_by_length_and_edits(size, edits, least):
         ws = items[i].split()
         at = rnd.randrange(len(ws) - size)
         text = " ".join([f"w{j}" for j in range(30)] + edit_at_random(ws[at : at + size], edits, rnd) + [f"v{j}" for j in range(30)])
-        found += any(align(w, known[i]) >= SCORE for _, w, _, _ in leakage.stretches([codes(text)], bits))
+        found += any(align(w, known[i]) >= SCORE and holds_stretch(w, known[i]) for _, w, _, _ in leakage.stretches([codes(text)], bits))
     assert found >= least * n
 
 
+def test_exact_stretches():
+    item = 2 * np.arange(100, 160)
+    cut = np.concatenate
+    assert holds_stretch(item[10:30], item) and holds_stretch(item[10:27], item) and not holds_stretch(item[10:26], item)
+    assert holds_stretch(cut([item[10:15], [2], item[16:22], [4], item[22:28], item[29:31]]), item)
+    assert not holds_stretch(cut([item[10:15], [2], item[16:20], [4], item[21:25], [6], item[26:29], [8], item[30:32]]), item)
+    assert not holds_stretch(item[:19], item[:19]) and not holds_stretch(item[:0], item)
+    # 15 words and one edit, as sentences of one pattern have them, score enough but are no stretch.
+    pattern = cut([[4], item[5:13], [2], item[14:20], [6]])
+    assert align(pattern, item) >= SCORE and not holds_stretch(pattern, item)
+
+
 def test_nine_words_in_a_row_are_no_case():
     rnd, items = random.Random(5), passages(12)
     known = [codes(t) for t in items]
@@ -184,4 +196,4 @@ def test_joins_lose_nothing(spark):
     wanted = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     want = {(d, i): align(codes(t), codes(x)) / MATCH for d, t, _ in docs for i, x in enumerate(items)}
     got = {(r.doc_id, r.item_id): r.score for r in leaked_items(documents, wanted).collect()}
-    assert got == {k: s for k, s in want.items() if s * MATCH >= SCORE}
+    assert got == {k: s for k, s in want.items() if s * MATCH >= leakage.CLEAR or s * MATCH >= SCORE and holds_stretch(codes(docs[k[0]][1]), codes(items[k[1]]))}
