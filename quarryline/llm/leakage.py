@@ -30,10 +30,11 @@ MASKS = ("110111", "111011", "1101101", "1100111")
 #: least score. Nine words in a row, the most that is no case, have 18.
 MATCH, EDIT = 2, 3
 SCORE = 17 * MATCH - 3 * EDIT
-#: Words of the shortest stretch, and how many of them may be edited. Sentences of one pattern with other words in
-#: its places reach scores of little more than SCORE; below CLEAR a pair must also show such a stretch exactly.
-WORDS, EDITS = 20, 3
-CLEAR = WORDS * MATCH
+#: Words of the shortest stretches, and how many of them may be edited ("about one in eight", taken generously).
+#: Sentences of one pattern with other words in its places reach scores of little more than SCORE; below CLEAR a
+#: pair must also show such a stretch exactly.
+SHORTEST = ((20, 3), (24, 4))
+CLEAR = 20 * MATCH
 #: Seed places in common that make a pair worth an alignment. 98 in 100 stretches of 20 words with three random
 #: edits have them, practically all longer ones and all with two edits (a test measures it).
 PLACES = 2
@@ -229,16 +230,20 @@ def _align(parts: Sequence[np.ndarray], items: Sequence[np.ndarray]) -> np.ndarr
     return best
 
 
-def _windows(item: np.ndarray) -> list[np.ndarray]:
-    """All runs of WORDS words that count, with the others among and right behind them."""
+def _windows(item: np.ndarray, words: int) -> list[np.ndarray]:
+    """All runs of so many words that count, with the others among and right behind them."""
     at = np.flatnonzero((item & 1) == 0)
     ends = np.append(at, len(item))
-    return [item[a:z] for a, z in zip(at, ends[WORDS:])]
+    return [item[a:z] for a, z in zip(at, ends[words:])]
 
 
 def holds_stretch(part: np.ndarray, item: np.ndarray) -> bool:
-    """Whether WORDS words of the item stand in `part` with at most EDITS of them replaced, dropped or added."""
-    found = _windows(item)
+    """Whether one of the SHORTEST stretches of the item stands in `part` with no more than its words replaced,
+    dropped or added."""
+    return any(_least_edits(part, _windows(item, n), most) for n, most in SHORTEST)
+
+
+def _least_edits(part: np.ndarray, found: list[np.ndarray], most: int) -> bool:
     if not found or not len(part):
         return False
     b, counts = _padded(found)
@@ -250,16 +255,16 @@ def holds_stretch(part: np.ndarray, item: np.ndarray) -> bool:
         new = np.minimum(edits[:, :-1] + np.where((b == w >> 1) & (b != 0), 0, np.maximum(cost, step)), edits[:, 1:] + step)
         new = np.minimum(np.minimum.accumulate(new - ramp, axis=1), 0) + ramp
         edits[:, 1:] = new
-        if edits[:, -1].min() <= EDITS:
+        if edits[:, -1].min() <= most:
             return True
     return False
 
 
 def may_hold(part: np.ndarray, item: np.ndarray) -> bool:
-    """False if no WORDS words of the item in a row have all but EDITS of them anywhere in `part`, as a stretch has."""
+    """False if no words of the item in a row have all but a few of them anywhere in `part`, as a stretch has."""
     there = set((part >> 1).tolist())
     run = np.cumsum([0, *[(w >> 1) in there for w in item.tolist() if not w & 1]])
-    return len(run) > WORDS and (run[WORDS:] - run[:-WORDS]).max() >= WORDS - EDITS
+    return any(len(run) > n and (run[n:] - run[:-n]).max() >= n - most for n, most in SHORTEST)
 
 
 def _slices(col: pa.ListArray) -> list[np.ndarray]:
