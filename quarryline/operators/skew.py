@@ -1,11 +1,12 @@
 """Per-key work without a few tasks carrying it: fragment and replicate by estimated load.
 
-The plan is made from the keys' loads. Keys that carry more than a fraction of a task's fair share
-are *heavy*; there are at most `tasks / HEAVY_SHARE` of them, whatever the data, so the driver may
-hold them. All other keys fall into a fixed number of hash bins. Heavy keys are split into
-proportionate shards, shards and bins are packed onto tasks (largest first, onto the least loaded
-task), and every row goes straight to its task by partition id. A matching side is replicated to the
-shards of a heavy key only; its rows for light keys go to one task each.
+Keys' loads are estimated from a sample, read in one pass. Keys that carry more than a fraction of a task's
+fair share are *heavy*; there are at most `tasks / HEAVY_SHARE` of them, whatever the data, so the driver may
+hold them. All other keys fall into a fixed number of hash bins. Heavy keys are split into proportionate
+shards, shards and bins are packed onto tasks (largest first, onto the least loaded task), and every row goes
+straight to its task by partition id. A matching side is replicated to the shards of a heavy key only; its
+rows for light keys go to one task each. An estimate that is off costs balance, never rows: every row finds
+its task by the plan, and so do the rows it has to meet.
 """
 
 from __future__ import annotations
@@ -15,46 +16,51 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.common import shuffle_width
+from quarryline.common import materialize, shuffle_width
 
 #: A key is heavy from this part of a task's fair share on, and its shards are about this large.
 HEAVY_SHARE = 0.25
 #: Hash bins for light keys, for each task.
 BINS_PER_TASK = 16
+#: The part of the rows that loads are estimated from. A key of a quarter of one of 10,000 tasks' shares still has
+#: thousands of sampled rows once the table has a billion.
+SAMPLE = 1 / 16
 
 
 @dataclass(frozen=True)
 class LoadPlan:
-    """Where rows go: `heavy` has a row for each heavy key with its tasks; `bin_tasks` the task of each bin."""
+    """Where rows go: `heavy` has a row for each heavy key with its tasks, `light` (bin, task) one for each bin.
+    Both are tables of bounded size, at most tasks / HEAVY_SHARE and tasks * BINS_PER_TASK rows."""
 
     keys: tuple[str, ...]
     tasks: int
     heavy: DataFrame
-    bin_tasks: tuple[int, ...]
+    light: DataFrame
     task_loads: tuple[int, ...]
 
-    def bin_of(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in self.keys]), F.lit(len(self.bin_tasks))).cast("int")
-
-    def _light_task(self) -> Column:
-        return F.element_at(F.array(*map(F.lit, self.bin_tasks)), self.bin_of() + 1)
-
     def _with_tasks(self, df: DataFrame) -> DataFrame:
+        """Adds `_tasks` (null for light keys) and `_light`, the task of the key's bin."""
         same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(self.heavy[f"_k{i}"]) for i, k in enumerate(self.keys)])
-        return df.join(F.broadcast(self.heavy), same, "left").drop(*[f"_k{i}" for i in range(len(self.keys))])
+        found = df.join(F.broadcast(self.heavy), same, "left").drop(*[f"_k{i}" for i in range(len(self.keys))])
+        return found.withColumn("_bin", _bin(self.keys, self.tasks)).join(F.broadcast(self.light), "_bin", "left").drop("_bin")
 
     def scatter(self, df: DataFrame, spread: list[Column] | None = None) -> DataFrame:
         """Adds `_task`: for rows of a heavy key one of its tasks, chosen by the row's content."""
         spread = spread or [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c, t in df.dtypes if not t.startswith("map")]
         shard = F.pmod(F.xxhash64(F.lit(7), *spread), F.size("_tasks")).cast("int") + 1
-        return self._with_tasks(df).withColumn("_task", F.when(F.col("_tasks").isNotNull(), F.element_at("_tasks", shard)).otherwise(self._light_task())).drop("_tasks")
+        return self._with_tasks(df).withColumn("_task", F.when(F.col("_tasks").isNotNull(), F.element_at("_tasks", shard)).otherwise(F.col("_light"))).drop("_tasks", "_light")
 
     def replicate(self, df: DataFrame) -> DataFrame:
         """Adds `_task`: rows of a heavy key once for each of its tasks, all others once."""
-        return self._with_tasks(df).withColumn("_task", F.explode(F.coalesce(F.array_distinct("_tasks"), F.array(self._light_task())))).drop("_tasks")
+        return self._with_tasks(df).withColumn("_task", F.explode(F.coalesce(F.array_distinct("_tasks"), F.array("_light")))).drop("_tasks", "_light")
+
+
+def _bin(keys: tuple[str, ...], tasks: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in keys]), F.lit(tasks * BINS_PER_TASK)).cast("int")
 
 
 def pack(loads: list[int], tasks: int) -> tuple[list[int], list[int]]:
@@ -67,22 +73,18 @@ def pack(loads: list[int], tasks: int) -> tuple[list[int], list[int]]:
     return where, total
 
 
-def plan_by_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadPlan:
-    """Loads are exact row counts, combined in the map tasks before the shuffle. Null is a key like any other."""
-    spark, tasks = df.sparkSession, tasks or shuffle_width(df.sparkSession)
-    loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    empty = LoadPlan(tuple(keys), tasks, df, (0,) * (tasks * BINS_PER_TASK), ())
-    # One pass over the loads: the bins' sums, and of each bin the keys that may turn out heavy. A bin's
-    # total bounds how many of its keys can exceed a given part of the whole, so k keys a bin suffice.
-    binned = loads.withColumn("_bin", empty.bin_of())
-    bins = {r["_bin"]: r["_s"] for r in binned.groupBy("_bin").agg(F.sum("_n").alias("_s")).collect()}
-    total = sum(bins.values())
-    limit = max(1, int(total / tasks * HEAVY_SHARE))
-    heavy_rows = binned.where(F.col("_n") > limit).collect() if any(v > limit for v in bins.values()) else []
-    for r in heavy_rows:
-        bins[r["_bin"]] -= r["_n"]
+def plan_by_load(df: DataFrame, keys: list[str], tasks: int | None = None, sample: float | None = None) -> LoadPlan:
+    """Loads are row counts of a sample, combined in the map tasks before the shuffle. Null is a key like any other."""
+    spark, tasks, sample = df.sparkSession, tasks or shuffle_width(df.sparkSession), SAMPLE if sample is None else sample
+    seen = df.select(*keys) if sample >= 1 else df.select(*keys).sample(False, sample, 11)
+    loads = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", _bin(tuple(keys), tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+    bins = {r["_bin"]: r["_s"] for r in loads.groupBy("_bin").agg(F.sum("_n").alias("_s")).collect()}
+    limit = max(1, int(sum(bins.values()) / tasks * HEAVY_SHARE))
+    heavy_rows = loads.where(F.col("_n") > limit).collect() if any(v > limit for v in bins.values()) else []
+    loads.unpersist()
     items, owner = [], []
     for i, r in enumerate(heavy_rows):
+        bins[r["_bin"]] -= r["_n"]
         shards = min(tasks, -(-r["_n"] // limit))
         items += [-(-r["_n"] // shards)] * shards
         owner += [i] * shards
@@ -93,7 +95,8 @@ def plan_by_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> Lo
         of_key.setdefault(o, []).append(t)
     schema = ", ".join(f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)) + ", _tasks array<int>"
     heavy = spark.createDataFrame([(*[r[k] for k in keys], of_key[i]) for i, r in enumerate(heavy_rows)], schema)
-    return LoadPlan(tuple(keys), tasks, heavy, tuple(where[len(items) :]), tuple(task_loads))
+    light = spark.createDataFrame(list(enumerate(where[len(items) :])), "_bin int, _light int")
+    return LoadPlan(tuple(keys), tasks, heavy, light, tuple(task_loads))
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", tasks: int | None = None) -> DataFrame:
@@ -122,7 +125,8 @@ def fragment_totals(df: DataFrame, keys: list[str], sums: list[str], matching: D
     """
     plan = plan_by_load(df, keys, tasks)
     parts = [F.count(F.lit(1)).alias("entries"), *[F.sum(F.col(c).cast("decimal(20,0)")).alias(f"total_{c}") for c in sums]]
-    partial = plan.scatter(df.select(*keys, *sums, *[F.col(c).alias(f"_s_{c}") for c in df.columns if c == "id"])).groupBy(*keys, "_task").agg(*parts)
+    rows = df.select(*keys, *sums, *[c for c in df.columns if c in ("id", "_spread") and c not in (*keys, *sums)])
+    partial = plan.scatter(rows).groupBy(*keys, "_task").agg(*parts)
     extra: list[str] = []
     placed = partial.repartitionById(plan.tasks, F.col("_task"))
     if matching is not None:
@@ -132,11 +136,21 @@ def fragment_totals(df: DataFrame, keys: list[str], sums: list[str], matching: D
     return placed.groupBy(*keys).agg(*merged, *[F.first(c, ignorenulls=True).alias(c) for c in extra])
 
 
-def hot_values(df: DataFrame, fields: list[str], share: Fraction = Fraction(1, 20), tasks: int | None = None) -> DataFrame:
-    """(key_field, key_value, entries) of the values that at least `share` of all rows hold; null is no value."""
-    rows, out = df.count(), []
-    for f in fields:
-        totals = fragment_totals(df.select(f, *[c for c in ("id",) if c in df.columns and c != f]), [f], [], tasks=tasks)
-        hot = totals.where(F.col(f).isNotNull() & (F.col("entries") * share.denominator >= rows * share.numerator))
-        out.append(hot.select(F.lit(f).alias("key_field"), F.col(f).cast("string").alias("key_value"), "entries"))
-    return reduce(DataFrame.unionAll, out)
+def totals_by_field(df: DataFrame, fields: list[str], sums: list[str], matching: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """(key_field, key_value, entries, total_<column>, and what `matching` has) for every value of every field.
+
+    All fields are one set of keys, so the table is read once for the loads' sample and once for the totals.
+    `matching` has key_field, key_value (strings) and what is to be known of a key, at most one row a key.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).cast("string").alias("key_value")) for f in fields]))
+    apart = [c for c in ("id",) if c in df.columns]
+    long = df.select(*{*fields, *sums, *apart}).withColumn("_p", pairs).select("_p.key_field", "_p.key_value", *sums, *[F.col(c).alias("_spread") for c in apart])
+    return fragment_totals(long, ["key_field", "key_value"], sums, matching, tasks)
+
+
+def hot_values(df: DataFrame, fields: list[str], share: Fraction = Fraction(1, 20), matching: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """(key_field, key_value, entries, and what `matching` has) of the values that at least `share` of all rows
+    hold; null is no value. The driver gets the number of rows, which is that of any one field's entries."""
+    totals = materialize(totals_by_field(df, fields, [], matching, tasks), "totals")
+    rows = totals.where(F.col("key_field") == fields[0]).agg(F.sum("entries")).first()[0] or 0
+    return totals.where(F.col("key_value").isNotNull() & (F.col("entries") * share.denominator >= rows * share.numerator))

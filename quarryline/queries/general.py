@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.common import read, scratch_path
+from quarryline.engine.search import BUILT_IN
 from quarryline.operators import hierarchy, skew, snapshot_diff
 from quarryline.operators.incremental import ChangeLedger
 
 CHANGE_VALUES = ["size", "modified", "changed"]
 
 
+def _known_keys(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of keys: of volumes their file system, of extensions the kind of file."""
+    kinds = [("extension", e, kind) for kind, text in BUILT_IN.items() if text.startswith("ext:") for e in text[4:].split(";")]
+    volumes = read(spark, d, "volumes").select(F.lit("volume_id").alias("key_field"), F.col("volume_id").alias("key_value"), F.col("filesystem").alias("about"))
+    return volumes.unionByName(spark.createDataFrame(kinds, "key_field string, key_value string, about string"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.hot_values(read(spark, d, "files"), ["extension", "volume_id"]).select("key_field", "key_value")
+    return skew.hot_values(read(spark, d, "files"), ["extension", "volume_id"], matching=_known_keys(spark, d)).select("key_field", "key_value")
 
 
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     """Entries and total size of every extension and every volume, the latter with their file system."""
-    files = read(spark, d, "files")
-    by_ext = skew.fragment_totals(files.select("id", "extension", "size"), ["extension"], ["size"])
-    by_vol = skew.fragment_totals(files.select("id", "volume_id", "size"), ["volume_id"], ["size"], matching=read(spark, d, "volumes").select("volume_id", "filesystem"))
-    a = by_ext.select(F.lit("extension").alias("key_field"), F.col("extension").alias("key_value"), "entries", F.col("total_size").cast("string").alias("total_size"), F.lit(None).cast("string").alias("filesystem"))
-    b = by_vol.select(F.lit("volume_id").alias("key_field"), F.col("volume_id").alias("key_value"), "entries", F.col("total_size").cast("string").alias("total_size"), "filesystem")
-    return a.unionAll(b)
+    totals = skew.totals_by_field(read(spark, d, "files"), ["extension", "volume_id"], ["size"], _known_keys(spark, d))
+    return totals.select("key_field", "key_value", "entries", F.col("total_size").cast("string").alias("total_size"), F.when(F.col("key_field") == "volume_id", F.col("about")).alias("filesystem"))
 
 
 def p2_joined_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_packing_balances():
 
 def test_plan_splits_only_heavy_keys(spark):
     rows, df = skewed(spark)
-    plan = skew.plan_by_load(df, ["key"], 8)
+    plan = skew.plan_by_load(df, ["key"], 8, sample=1)
     heavy = {r["_k0"]: r["_tasks"] for r in plan.heavy.collect()}
     assert len(heavy["hot"]) > 4 and set(heavy["hot"]) == set(range(8))
     assert max(plan.task_loads) < 1.5 * len(rows) / 8
@@ -39,6 +39,24 @@ def test_plan_splits_only_heavy_keys(spark):
     assert {r.key: r["count"] for r in copies} == {"hot": 8, "k1": 1, "other": 1}
 
 
+def test_plan_from_a_sample(spark):
+    """Loads are estimated from some of the rows; the plan stays a few small tables and the rows stay balanced."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("key"))
+    plan = skew.plan_by_load(df, ["key"], 12)
+    assert plan.light.count() == 12 * skew.BINS_PER_TASK and plan.heavy.count() <= 12 / skew.HEAVY_SHARE
+    sizes = Counter(r["_task"] for r in plan.scatter(df).select("_task").collect())
+    assert sum(sizes.values()) == 40_000 and max(sizes.values()) < 1.6 * 40_000 / 12
+
+
+def test_totals_of_several_fields(spark):
+    rows, df = skewed(spark)
+    known = spark.createDataFrame([("key", "hot", "H"), ("size", "5", "five")], "key_field string, key_value string, about string")
+    got = {(r.key_field, r.key_value): (r.entries, r.about) for r in skew.totals_by_field(df, ["key", "size"], [], known, tasks=5).collect()}
+    want = Counter(("key", k) for _, k, _ in rows) + Counter(("size", None if s is None else str(s)) for *_, s in rows)
+    about = {("key", "hot"): "H", ("size", "5"): "five"}
+    assert got == {k: (n, about.get(k)) for k, n in want.items()}
+
+
 def test_totals(spark):
     rows, df = skewed(spark)
     match = spark.createDataFrame([("hot", "H"), ("k1", "one"), (None, "none")], "key string, label string")
