@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,57 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class SmallFiles:
+    """Small JSON files below `root` through the cluster's file system. Each is replaced or created by one rename,
+    so a reader never sees half of one."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.path(name))
+
+    def list(self, folder: str = "") -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.path(folder))) if self.exists(folder) else []
+
+    def read(self, name: str) -> dict:
+        """What a file holds; nothing if there is none."""
+        if not self.exists(name):
+            return {}
+        stream = self.fs.open(self.path(name))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def write(self, name: str, value: dict, replace: bool = True) -> bool:
+        """False, and nothing written, if the file is there already and isn't to be replaced."""
+        folder, _, own = name.rpartition("/")
+        tmp = self.path(f"{folder}/.{own}-{uuid.uuid4().hex}" if folder else f".{own}-{uuid.uuid4().hex}")
+        out = self.fs.create(tmp, True)
+        out.write(json.dumps(value).encode())
+        out.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = SparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE if replace else rename.NONE
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(tmp, self.path(name), options)
+        except Py4JJavaError as e:
+            self.fs.delete(tmp, True)
+            if replace or "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; results read from there end with it."""
     jvm = spark._jvm
@@ -74,12 +128,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Operators of a plan whose rows stay in the partitions they were read in.
+_IN_PLACE, _READ = {"Project", "Filter", "Generate"}, {"LogicalRelation", "LogicalRDD"}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` in at least as many partitions as the cluster runs tasks: for work whose cost lies in Python, not
     in reading. Input in enough splits stays where it is and isn't shuffled, nor is what comes out of a join
     or an aggregate, whose partitions aren't known before it runs."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Distinct", "Limit")):
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in _IN_PLACE:
+            return df
+        plan = plan.children().apply(0)
+    if plan.nodeName() not in _READ:
         return df
     parts, slots = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if 0 < parts < slots else df

@@ -48,9 +48,25 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(read(spark, d, "files"), read(spark, d, "volumes"))
 
 
+class Died(Exception):
+    """Ends an attempt in the middle, as the run log says it ended."""
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The run log replayed, run by run: aborted attempts die before they know what is due, failed ones with
+    everything written but the manifest; what later runs find must not depend on it."""
+    log = read(spark, d, "observations")
     ledger = ChangeLedger(scratch_path(spark, "ledger"), "id", ["changed_ns", "seq"], ["modified", "changed_ns", "content_indexed"])
-    ledger.catch_up(read(spark, d, "observations"), read(spark, d, "index_runs"))
+    for r in read(spark, d, "index_runs").where("delivery IS NOT NULL").orderBy("run_id").collect():
+
+        def at(stage: str, end: str | None = {"ok": None, "failed": "commit"}.get(r["run_state"], "due")) -> None:
+            if stage == end:
+                raise Died
+
+        try:
+            ledger.run(log, r["run_id"], r["delivery"], at)
+        except Died:
+            pass
     return ledger.due(spark)
 
 

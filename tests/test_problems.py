@@ -244,8 +244,12 @@ def due(rows, runs):
     return out
 
 
-def ledger(path, parts=8):
-    return ChangeLedger(path, "id", ["changed_ns", "seq"], ["modified", "changed_ns", "content_indexed"], partitions=parts)
+def ledger(path, **more):
+    return ChangeLedger(path, "id", ["changed_ns", "seq"], ["modified", "changed_ns", "content_indexed"], **({"buckets": 4} | more))
+
+
+def found(spark, book):
+    return {(r.run_id, r.id) for r in book.due(spark).collect()}
 
 
 @pytest.mark.parametrize(
@@ -256,49 +260,76 @@ def ledger(path, parts=8):
         [(1, 4, "failed")],
     ],
 )
-def test_runs(spark, tmp_path, runs):
+@pytest.mark.parametrize("merge_after", [2, 100])
+def test_runs(spark, tmp_path, runs, merge_after):
     rows = log_rows(1)
-    book = ledger(str(tmp_path / "l"))
-    replaced = book.catch_up(spark.createDataFrame(rows, LOG), spark.createDataFrame(runs, RUNS))
-    got = {(r.run_id, r.id) for r in book.due(spark).collect()} if replaced else set()
-    assert got == due(rows, runs)
+    book = ledger(str(tmp_path / "l"), merge_after=merge_after)
+    book.catch_up(spark.createDataFrame(rows, LOG), spark.createDataFrame(runs, RUNS))
+    assert found(spark, book) == due(rows, runs)
 
 
-def test_runs_one_by_one_and_after_a_crash(spark, tmp_path):
+class Crash(Exception):
+    pass
+
+
+def test_runs_one_by_one_with_crashes(spark, tmp_path):
+    """Attempts die at every stage, one with half of its partitions written; what later runs find is the same."""
     rows = log_rows(2)
-    runs = [(1, 2, "ok"), (2, 4, "failed"), (3, 5, "ok"), (4, 8, "ok")]
+    runs = [(1, 2, "ok"), (2, 4, "failed"), (3, 5, "ok"), (4, 6, "aborted"), (5, 8, "ok")]
+    book, log = ledger(str(tmp_path / "l")), spark.createDataFrame(rows, LOG)
+
+    def dies(where):
+        def at(stage):
+            if stage == where:
+                raise Crash
+
+        return at
+
+    for run, delivery, state in runs:
+        for stage in ("due", "commit"):
+            with pytest.raises(Crash):
+                book.run(log, run, delivery, dies(stage))
+        written = sorted((tmp_path / "l" / "newest").glob("_d=*/_b=*"))
+        for lost in [p for p in written if int(p.parent.name[3:]) == delivery][::2]:
+            shutil.rmtree(lost)
+        assert found(spark, book) == due(rows, [r for r in runs if r[0] < run])
+        if state == "ok":
+            assert {d for d, _ in book.run(log, run, delivery)} == {delivery}
+            assert book.run(log, run, delivery) == []
+    assert found(spark, book) == due(rows, runs)
+
+
+def test_a_small_delivery_recomputes_a_small_part(spark, tmp_path):
+    rows = [(i, 1 + i // 100, i % 90, 1, 1, True, "x") for i in range(400)]
     book = ledger(str(tmp_path / "l"))
-    log = spark.createDataFrame(rows, LOG)
-    for n in range(1, 5):
-        if n == 4:
-            shutil.copytree(tmp_path / "l", tmp_path / "before")
-        book.catch_up(log, spark.createDataFrame(runs[:n], RUNS))
-    # As if the last attempt had died after half of the partitions: the others still have their old state.
-    for part in sorted((tmp_path / "l").glob("part=*"))[::2]:
-        shutil.rmtree(part)
-        if (tmp_path / "before" / part.name).exists():
-            shutil.copytree(tmp_path / "before" / part.name, part)
-    assert {(r.run_id, r.id) for r in book.due(spark).collect()} != due(rows, runs)
-    assert book.catch_up(log, spark.createDataFrame(runs, RUNS))
-    assert {(r.run_id, r.id) for r in book.due(spark).collect()} == due(rows, runs)
-    assert book.catch_up(log, spark.createDataFrame(runs, RUNS)) == []
-
-
-def test_only_changed_partitions_are_replaced(spark, tmp_path):
-    rows = [(i, 1, i, 1, 1, True, "x") for i in range(200)]
-    book = ledger(str(tmp_path / "l"), parts=16)
-    book.catch_up(spark.createDataFrame(rows, LOG), spark.createDataFrame([(1, 1, "ok")], RUNS))
-    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "l").rglob("*.parquet")}
+    book.catch_up(spark.createDataFrame(rows, LOG), spark.createDataFrame([(1, 4, "ok")], RUNS))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "l" / "newest").rglob("*.parquet")}
     before = files()
-    late = rows + [(500, 2, 3, 9, 9, True, "x")]
-    replaced = book.catch_up(spark.createDataFrame(late, LOG), spark.createDataFrame([(1, 1, "ok"), (2, 2, "ok")], RUNS))
-    assert len(replaced) == 1
-    assert len(set(before.items()) & set(files().items())) == len(before) - 1
-    assert {(r.run_id, r.id) for r in book.due(spark).where("run_id = 2").collect()} == {(2, 3)}
+    late = rows + [(500, 5, 3, 9, 9, True, "x")]
+    replaced = book.run(spark.createDataFrame(late, LOG), 2, 5)
+    assert len(replaced) == 1 and replaced[0][0] == 5
+    assert before.items() <= files().items() and len(files()) == len(before) + 1
+    assert {x for x in found(spark, book) if x[0] == 2} == {(2, 3)}
+
+
+def test_audit_finds_what_was_altered(spark, tmp_path):
+    rows = log_rows(3)
+    runs = [(1, 2, "ok"), (2, 5, "ok"), (3, 8, "ok")]
+    book, log = ledger(str(tmp_path / "l"), merge_after=3), spark.createDataFrame(rows, LOG)
+    book.catch_up(log, spark.createDataFrame(runs, RUNS))
+    assert book.audit(log) == []
+    # A row appears in an old delivery, and all rows of one partition are gone.
+    bucket = {r.id: r.b for r in log.select("id", F.pmod(F.xxhash64("id"), F.lit(4)).alias("b")).distinct().collect()}
+    other = [r for r in rows if not (r[1] == 3 and r[2] is not None and bucket[r[2]] == 2)] + [(9999, 4, 7, 9, 9, True, "x")]
+    replaced = book.audit(spark.createDataFrame(other, LOG))
+    assert set(replaced) == {(3, 2), (4, bucket[7])}
+    assert found(spark, book) == due(other, runs)
 
 
 def test_empty_log(spark, tmp_path):
-    assert ledger(str(tmp_path / "l")).catch_up(spark.createDataFrame([], LOG), spark.createDataFrame([(1, 1, "ok")], RUNS)) == []
+    book = ledger(str(tmp_path / "l"))
+    assert book.catch_up(spark.createDataFrame([], LOG), spark.createDataFrame([(1, 1, "ok")], RUNS)) == []
+    assert book.due(spark).collect() == []
 
 
 # --- snapshots
