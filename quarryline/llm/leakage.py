@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.common import materialize, spread
-from quarryline.llm.lookalike import fold_long
+from quarryline.llm.lookalike import adopt, confusables, fold_long
 from quarryline.operators.skew import fragment_replicate_join
 
 # The masks; words at '0' are ignored.
@@ -129,10 +129,14 @@ def _lists(rows: Sequence[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = [codes(t) for t in b["t"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["i"], pa.array([_finger(x) for x in ids], pa.binary()), _lists(ids)], ["i", "item", "item_words"])
+def _items(shapes: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adopt(shapes)
+        for b in batches:
+            ids = [codes(t) for t in b["t"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["i"], pa.array([_finger(x) for x in ids], pa.binary()), _lists(ids)], ["i", "item", "item_words"])
+
+    return run
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +166,9 @@ def stretches(ids: list[np.ndarray], bits: np.ndarray) -> Iterator[tuple[int, np
             yield d, whole[a:z], h[group], at[group] - a
 
 
-def _reader(bits: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reader(bits: Callable[[], np.ndarray], shapes: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adopt(shapes)
         for b in batches:
             docs, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             at = 0
@@ -303,13 +308,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     makes as many pairs as it has of both, for which only those with PLACES places go on.
     """
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    known = materialize(wanted.mapInArrow(_items, "i bigint, item binary, item_words array<bigint>"), "items")
+    shapes = confusables(documents.sparkSession)
+    known = materialize(wanted.mapInArrow(_items(shapes), "i bigint, item binary, item_words array<bigint>"), "items")
     texts = materialize(known.groupBy("item").agg(F.first("item_words").alias("item_words")), "wordings")
     seeds = materialize(texts.mapInArrow(_item_seeds, "item binary, h array<bigint>, at array<bigint>, bit array<bigint>"), "seeds")
     shipped = documents.sparkSession.sparkContext.broadcast(_filter_of(seeds))
 
     docs = spread(documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
-    found = materialize(docs.mapInArrow(_reader(lambda: shipped.value), "doc_id bigint, part binary, words array<bigint>, h array<bigint>, place array<bigint>"), "parts")
+    found = materialize(docs.mapInArrow(_reader(lambda: shipped.value, shapes), "doc_id bigint, part binary, words array<bigint>, h array<bigint>, place array<bigint>"), "parts")
     parts = found.groupBy("part").agg(F.first(F.struct("words", "h", "place")).alias("r")).select("part", "r.*")
     parts = materialize(parts, "stretches")
 

@@ -8,21 +8,26 @@ remains, the token is spelled in Latin (a token wholly in another script that co
 whole-script confusable); else in the script that remains; if none does, the token really mixes scripts,
 and every such letter takes its Latin shape. The choice depends on shapes only, so two strings of the
 same look always get the same spelling.
+
+Shapes of widespread scripts are a fixed table; those of all other letters are taken, when a query starts, from
+the Unicode confusables that the JVM's Unicode library has, and go to the tasks with the code.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from string import ascii_letters
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.common import current_rows
+from quarryline.common import current_rows, materialize
+from quarryline.operators.skew import fragment_replicate_join
 
 # Letters with the shape of a basic Latin letter, by script.
 SHAPES = {
@@ -41,11 +46,11 @@ HYPHENS = "‐‑﹣"
 SCRIPTS = "Latn Cyrl Grek Armn Hebr Arab Syrc Thaa Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh Thai Laoo Tibt Mymr Geor Ethi Cher Lisu Khmr Mong Copt Goth Hani Hira Kana Hang Bopo".split()
 SYSTEMS = {"Hani": ("Jpan", "Kore", "Hanb"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
 
-_SHAPE_OF = {ch: latin for forms in SHAPES.values() for latin, chars in forms.items() for ch in chars}
+#: The tables in use: the Latin shape of a letter, the scripts that have a shape, and a script's letters by shape.
+_SHAPE_OF: dict[str, str] = {}
 _OFFERS: dict[str, frozenset[str]] = {}
-for _script, _forms in SHAPES.items():
-    for _latin in _forms:
-        _OFFERS[_latin] = _OFFERS.get(_latin, frozenset({"Latn"})) | {_script}
+_BY_SHAPE: dict[str, dict[str, str]] = {}
+_ADOPTED: tuple | None = None
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 _BY_SCRIPT = [(s, regex.compile(rf"\p{{scx={s}}}")) for s in SCRIPTS]
 _COMMON = regex.compile(r"[\p{scx=Common}\p{scx=Inherited}]")
@@ -83,6 +88,40 @@ def scripts(ch: str) -> frozenset[str] | None:
     return frozenset(found | {w for s in found for w in SYSTEMS.get(s, ())})
 
 
+def adopt(more: tuple[tuple[str, str], ...] = ()) -> None:
+    """From now on this process takes the letters of `more` (letter, Latin letter) for look-alikes, beside the table's."""
+    global _ADOPTED
+    if more == _ADOPTED:
+        return
+    for table in (_SHAPE_OF, _OFFERS, _BY_SHAPE):
+        table.clear()
+    fixed = [(script, c, latin) for script, forms in SHAPES.items() for latin, chars in forms.items() for c in chars]
+    known = {c for _, c, _ in fixed}
+    for script, c, latin in [*fixed, *((s, c, latin) for c, latin in more if c not in known for s in sorted(scripts(c) or ()))]:
+        _SHAPE_OF[c] = latin
+        _OFFERS[latin] = _OFFERS.get(latin, frozenset({"Latn"})) | {script}
+        _BY_SHAPE.setdefault(script, {}).setdefault(latin, c)
+    _fold.cache_clear()
+    _ADOPTED = more
+
+
+@lru_cache(maxsize=1)
+def confusables(spark: SparkSession) -> tuple[tuple[str, str], ...]:
+    """(letter, basic Latin letter of its shape), some hundreds, for letters of all other scripts, by the Unicode
+    library's skeletons of confusables. Where it takes l and I for one, capitals become I and others l."""
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    latin = {}
+    for c, skeleton in zip(ascii_letters, checker.getSkeleton("\n".join(ascii_letters)).split("\n")):
+        latin.setdefault(skeleton, []).append(c)
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(c)]
+    out = []
+    for c, skeleton in zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")):
+        found = latin.get(skeleton)
+        if found and "Latn" not in (scripts(c) or ()):
+            out.append((c, found[0] if len(found) == 1 or unicodedata.category(c) != "Lu" else found[1]))
+    return tuple(out)
+
+
 def resolve(token: str) -> tuple[str, str]:
     """(consistent spelling, finding) of a token; findings: single, mixed, whole_script, unresolved.
 
@@ -104,10 +143,10 @@ def resolve(token: str) -> tuple[str, str]:
     if "Latn" in can:
         spelled = "".join(shapes)
         return spelled, "single" if own and "Latn" in own else "whole_script" if own else "mixed"
-    target = next((s for s in sorted(can) if s in SHAPES), None)
+    target = next((s for s in sorted(can) if s in _BY_SHAPE), None)
     if target is None:
         return ("".join(shapes), "unresolved") if not can else (token, "single" if own else "mixed")
-    return "".join(SHAPES[target].get(s, s)[0] if s in _OFFERS else c for c, s in zip(token, shapes)), "single" if own else "mixed"
+    return "".join(_BY_SHAPE[target].get(s, c) if s in _OFFERS else c for c, s in zip(token, shapes)), "single" if own else "mixed"
 
 
 @lru_cache(maxsize=100_000)
@@ -140,20 +179,25 @@ def findings(text: str) -> Iterable[str]:
     return sorted({f for m in _TOKEN.finditer(s) if not m[0].isascii() and (f := resolve(m[0])[1]) != "single"})
 
 
-@F.pandas_udf(T.StringType())
-def fold_column(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else fold(x) for x in s], dtype=object)
+adopt()
+
 
+def _on_strings(f: Callable[[str], object], kind: T.DataType, spark: SparkSession) -> Callable[[Column | str], Column]:
+    """`f` as a function of columns, whatever process it runs in; null stays null."""
+    more = confusables(spark)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def findings_column(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else findings(x) for x in s], dtype=object)
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        adopt(more)
+        return pd.Series([None if x is None else f(x) for x in s], dtype=object)
 
+    return run
 
-def consistent(column: str) -> F.Column:
+
+def consistent(column: str, spark: SparkSession) -> Column:
     """The consistent spelling of a column; plain ASCII never leaves the JVM. Null stays null."""
     plain = ~F.col(column).rlike(r"[^\x00-\x7f]")
-    return F.when(plain, F.col(column)).otherwise(fold_column(F.when(~plain, F.col(column))))
+    return F.when(plain, F.col(column)).otherwise(_on_strings(fold, T.StringType(), spark)(F.when(~plain, F.col(column))))
 
 
 def _digest(c: F.Column) -> F.Column:
@@ -161,28 +205,48 @@ def _digest(c: F.Column) -> F.Column:
     return F.unhex(F.md5(c))
 
 
+def _members(files: DataFrame) -> DataFrame:
+    """(volume_id, look, own, id) of current rows whose look several paths of the volume share, written once. Rows meet
+    by the digest of their consistent spelling; repeats of a path fold together in the map tasks."""
+    rows = files.where(F.col("path").isNotNull())
+    keyed = current_rows(rows, [F.coalesce("volume_id", F.lit("")).alias("volume_id"), _digest(consistent("path", files.sparkSession)).alias("look"), _digest(F.col("path")).alias("own")])
+    several = keyed.groupBy("volume_id", "look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("volume_id", "look")
+    return materialize(keyed.join(several, ["volume_id", "look"], "left_semi").select("volume_id", "look", "own", "id"), "members")
+
+
 def same_look_pairs(files: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: current rows of one volume whose paths look the same but differ.
 
-    Rows without a path or id are left out; the same path twice is no pair. Rows meet by the digest of
-    their consistent spelling; only spellings that stand for several paths go on, those paths are paired,
-    and the pairs expand to ids, so nothing larger than the result is formed.
+    Rows without a path or id are left out; the same path twice is no pair. Only looks of several paths go on,
+    their paths are paired, and the pairs expand to ids, so nothing larger than the result is formed; looks and
+    paths of very many rows are split by load. Where k paths look the same the result is of the order of k squared;
+    `same_look_classes` says the same in k rows.
     """
-    rows = files.where(F.col("path").isNotNull())
-    keyed = current_rows(rows, ["volume_id", _digest(consistent("path")).alias("look"), _digest(F.col("path")).alias("own")])
-    keyed = keyed.withColumn("volume_id", F.coalesce("volume_id", F.lit("")))
-    several = keyed.groupBy("volume_id", "look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("volume_id", "look")
-    members = keyed.join(several, ["volume_id", "look"], "left_semi")
+    members = _members(files)
     paths = members.select("volume_id", "look", "own").distinct()
-    two = paths.withColumnRenamed("own", "own_a").join(paths.withColumnRenamed("own", "own_b"), ["volume_id", "look"]).where("own_a < own_b")
+    two = fragment_replicate_join(paths.withColumnRenamed("own", "own_a"), paths.withColumnRenamed("own", "own_b"), ["volume_id", "look"]).where("own_a < own_b")
     at_a = members.select("volume_id", "look", F.col("own").alias("own_a"), F.col("id").alias("a"))
     at_b = members.select("volume_id", "look", F.col("own").alias("own_b"), F.col("id").alias("b"))
-    ids = two.join(at_a, ["volume_id", "look", "own_a"]).join(at_b, ["volume_id", "look", "own_b"])
+    half = fragment_replicate_join(at_a, materialize(two, "two"), ["volume_id", "look", "own_a"])
+    ids = fragment_replicate_join(at_b, half, ["volume_id", "look", "own_b"])
     return ids.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
+def same_look_classes(files: DataFrame) -> DataFrame:
+    """(id, class_id, class_size, links): each current row whose path has look-alikes, the least id of those that look
+    the same, how many they are, and how many of them have another path."""
+    members = _members(files)
+    own = members.groupBy("volume_id", "look", "own").agg(F.count(F.lit(1)).alias("same"), F.min("id").alias("least"))
+    whole = own.groupBy("volume_id", "look").agg(F.sum("same").alias("class_size"), F.min("least").alias("class_id"))
+    known = fragment_replicate_join(own.drop("least"), whole, ["volume_id", "look"])
+    rows = fragment_replicate_join(members, known, ["volume_id", "look", "own"])
+    return rows.select("id", "class_id", "class_size", (F.col("class_size") - F.col("same")).alias("links"))
+
+
 def respelled(files: DataFrame) -> DataFrame:
     """(id, path, consistent_path, consistent_name, findings) of current rows whose path changes."""
+    spark = files.sparkSession
+    fold_of = _on_strings(fold, T.StringType(), spark)
     rows = current_rows(files.where(F.col("path").isNotNull()), ["path", "name"]).where(F.col("path").rlike(r"[^\x00-\x7f]"))
-    out = rows.select("id", "path", fold_column("path").alias("consistent_path"), fold_column("name").alias("consistent_name"), findings_column("path").alias("findings"))
+    out = rows.select("id", "path", fold_of("path").alias("consistent_path"), fold_of("name").alias("consistent_name"), _on_strings(findings, T.ArrayType(T.StringType()), spark)("path").alias("findings"))
     return out.where(F.col("consistent_path") != F.col("path")).withColumn("findings", F.array_join("findings", ","))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarryline.common import read
 from quarryline.llm import leakage, lookalike, mixing, residue, topn
@@ -12,6 +13,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(read(spark, d, "files"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as classes: a row for each entry that has look-alikes, with their number."""
+    return lookalike.same_look_classes(read(spark, d, "files"))
+
+
 def p1_spellings(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.respelled(read(spark, d, "files"))
 
@@ -29,12 +35,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(read(spark, d, "documents"), read(spark, d, "source_targets"))
+    """The largest mixture in which every source with documents has its share."""
+    return mixing.mixture(read(spark, d, "documents"), read(spark, d, "source_targets"), mixing.SHARES)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = read(spark, d, "source_targets")
-    return mixing.shares(mixing.mixture(read(spark, d, "documents"), targets), targets)
+    """Actual shares of the mixture that meets all shares, and of that as large as its sources, whose small ones reach
+    their caps."""
+    targets, counted = read(spark, d, "source_targets"), mixing.token_counts(read(spark, d, "documents"))
+    both = [mixing.shares(mixing.mix_counted(counted, targets, size), targets).withColumn("size_rule", F.lit(name)) for name, size in (("shares", mixing.SHARES), ("sources", None))]
+    return both[0].unionByName(both[1])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +55,7 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_spellings, p3_found, p3_ranked, p7_found, p8_mixture, p8_shares, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_spellings, p3_found, p3_ranked, p7_found, p8_mixture, p8_shares, p9_found, p9_coverage)}
 
 _RANKED = """SELECT volume_id, parent_id, rn AS rank, size, path, id FROM (
   SELECT *, row_number() OVER (PARTITION BY volume_id, parent_id ORDER BY size DESC, path, id) AS rn FROM (

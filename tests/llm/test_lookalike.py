@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarryline.llm.lookalike import SHAPES, findings, fold, fold_long, resolve, respelled, same_look_pairs
+from quarryline.llm.lookalike import SHAPES, adopt, confusables, findings, fold, fold_long, resolve, respelled, same_look_classes, same_look_pairs
 
 SAME = [
     ("ＡＢｃ１（２）", "ABc1(2)"), ("Café", "Café"), ("ệ", "ệ"), ("ệ", "ệ"), ("ab​c­", "abc"), ("﻿x⁠y", "xy"), ("a b　c d", "a b c d"),
@@ -79,6 +80,13 @@ def test_pairs_against_brute_force(spark):
     got = [tuple(r) for r in same_look_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
     assert same_look_pairs(df.limit(0)).collect() == []
+    links = Counter(i for pair in want for i in pair)
+    classes = {r.id: r for r in same_look_classes(df).collect()}
+    assert {i: r.links for i, r in classes.items()} == links
+    for a, b in want:
+        assert classes[a].class_id == classes[b].class_id <= a
+    assert all(r.class_size == sum(o.class_id == r.class_id for o in classes.values()) for r in classes.values())
+    assert same_look_classes(df.limit(0)).collect() == []
     for r in respelled(df).collect():
         assert r.consistent_path == fold(r.path) != r.path
 
@@ -86,3 +94,22 @@ def test_pairs_against_brute_force(spark):
 @pytest.mark.parametrize(("a", "b"), [("nүm", "nym"), ("ѵalue", "value"), ("Ѵalue", "Value"), ("pαth", "path"), ("fιle", "file"), ("oυt", "out"), ("ꓐꓮꓔ", "BAT"), ("REꓑORꓔ", "REPORT")])
 def test_letters_added_to_the_table(a, b):
     assert fold(a) == b == fold_long(a)
+
+
+def test_shapes_of_all_scripts(spark):
+    """Letters of scripts without a table of their own, by the Unicode library's confusables."""
+    more = confusables(spark)
+    assert 200 < len(more) < 1000 and all(b in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for _, b in more)
+    assert fold("ᗪisk") == "ᗪisk"
+    rows = [(1, "/ᗪisk"), (2, "/Disk"), (3, "/𐊠lpha"), (4, "/Alpha"), (5, "/архив"), (6, "/apхив"), (7, "/disk")]
+    df = spark.createDataFrame([(i, p, p, "v", 1, "", "") for i, p in rows], DDL)
+    assert {tuple(r) for r in same_look_pairs(df).collect()} == {(1, 2), (3, 4), (5, 6)}
+    try:
+        adopt(more)
+        assert fold("ᗪisk") == "Disk" and fold("apхив") == "архив" and fold(fold("ᕼ𐊠")) == fold("ᕼ𐊠") == "HA"
+        fixed = {c for forms in SHAPES.values() for chars in forms.values() for c in chars}
+        for c, latin in more:
+            assert c in fixed or fold(f"{c}{latin}") == fold(latin * 2)
+    finally:
+        adopt()
+    assert fold("ᗪisk") == "ᗪisk"

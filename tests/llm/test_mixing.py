@@ -31,6 +31,37 @@ def test_budgets():
     assert budgets({}, [("a", 1.0, 1)]) == {}
 
 
+def test_budgets_that_meet_all_shares():
+    b = budgets({"a": 1000, "b": 10, "c": 50}, [("a", 0.6, 1), ("b", 0.1, 3), ("c", 0.2, 2), ("none", 0.1, 1)], mixing.SHARES)
+    assert b == pytest.approx({"a": 180, "b": 30, "c": 60})
+    assert budgets({}, [("a", 1.0, 1)], mixing.SHARES) == {}
+
+
+@pytest.mark.parametrize("weight", [1e-6, 0.05, 0.3, 1.0, 1000.0])
+def test_no_bin_holds_a_hundredth_of_a_source(spark, weight):
+    """Whatever the scale of the weights, so that the bin a budget ends in stays small."""
+    u = (F.pmod(F.xxhash64(F.lit(1), "id", F.lit(7)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    at = F.floor(F.log2(-F.log(u) / weight) * mixing.BINS)
+    sizes = spark.range(200_000).groupBy(at.alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < 0.006 * 200_000 and len(sizes) < 64 * mixing.BINS
+
+
+def test_quality_weight(spark):
+    prose = " ".join(f"Sentence {'abcdefgh'[i % 8]} tells of quarries near rivers.\n" for i in range(30))
+    texts = [prose, "line again\n" * 60, "1234 5678 !!! " * 40, "short text", "", None, "x" * 400]
+    got = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", mixing.quality_weight().alias("w")).orderBy("i").collect()]
+    assert got[0] > 0.2 and all(g <= got[0] / 3 for g in got[1:]) and got[4] == got[5] == 0.05 and all(0.05 <= g <= 1 for g in got)
+
+
+def test_mixture_that_meets_all_shares(spark):
+    rows, df = corpus(spark, 3000)
+    targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    said = {r.source: r for r in shares(mixture(df, targets, mixing.SHARES), targets).collect()}
+    whole = sum(share for s, share, _ in TARGETS if s != "absent")
+    for s, share, most in TARGETS[:3]:
+        assert said[s].actual_share == pytest.approx(share / whole, rel=0.02) and said[s].most_copies <= most
+
+
 def test_tokens_of_long_texts_are_exact():
     enc = encoder(mixing.TOKENIZER)
     rnd = random.Random(1)
@@ -87,6 +118,8 @@ def test_two_level_sums_equal_one_sort(spark, monkeypatch):
     fine = {(r.doc_id, r.copies) for r in mixture(df, targets, size=3000).collect()}
     monkeypatch.setattr(mixing, "BINS", 1)
     assert fine == {(r.doc_id, r.copies) for r in mixture(df, targets, size=3000).collect()}
+    monkeypatch.setattr(mixing, "PARTS", 1)
+    assert fine == {(r.doc_id, r.copies) for r in mixture(df, targets, size=3000).collect()}
 
 
 def test_nothing_to_mix(spark):
