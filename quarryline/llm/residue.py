@@ -1,8 +1,10 @@
 """Template residue, filler, error-page text and notices that scripts are required.
 
 What a text quotes or shows as code (quotation marks, backticks) is taken out first. The rest falls into
-segments (lines, and sentences in them). A multi-pattern automaton finds the known phrases of several
-languages in each; a segment is residue if phrases that can't stand in real prose alone cover most of it.
+segments (lines, and sentences in them). A multi-pattern automaton finds the known phrases and words of a dozen
+languages in each; a segment is residue if phrases that can't stand in real prose alone cover most of it, or if
+words that only together say such a thing (a page and that it isn't there, scripts and that they are wanted)
+leave next to nothing uncovered.
 Of a long segment (a page on one line) that isn't residue as a whole, overlapping windows are judged so.
 Unfilled slots and filler words have no fixed wording and are found by their form. A document is reported
 if any segment is residue, with the part of it that is, so that a caller may exclude whole documents from
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.common import spread
-from quarryline.llm.lookalike import fold_long
+from quarryline.llm.lookalike import adopt, confusables, fold_long
+from quarryline.llm.phrases import wordings
 
 # Phrases by kind, lower case, '#' for a number. 'error' and 'filler' are residue by
 # themselves, 'around' only beside them. 'notice' needs a word of 'script' in the same segment; 'rest'
@@ -69,8 +72,14 @@ ASKING = r"insert|enter|your|add|fill|choose|select|to follow|to come|here|einf[
 BEGINS = r"insert|enter|add|fill|choose|select|ins[ée]rer|ins[ée]rez|compl[ée]ter|remplacer|insertar|inserte|rellenar|completar"
 ENDS = r"to follow|to come|einf[üu]gen|eintragen|ersetzen|ausf[üu]llen|[àa] venir|[àa] compl[ée]ter|[àa] remplacer|por completar"
 HTML = frozenset("a b i u p s br hr em li ol ul td th tr h1 h2 h3 h4 h5 h6 div img pre sub sup nav svg span code body head html form font main table tbody thead style script strong button input label video audio header footer section article canvas iframe meta".split())
-#: The part of a segment, in letters and digits, that phrases have to cover.
-COVERED = 0.6
+#: The part of a segment, in letters and digits, that phrases have to cover; and words that need each other.
+COVERED, TOLD = 0.6, {"error": 0.9, "notice": 0.8, "filler": 0.85}
+#: What has to be in a segment for its words to count, and which words then cover it.
+TELLING = {
+    "error": ((("thing", "fault"), ("outcry",)), ("thing", "fault", "outcry", "talk", "error", "around")),
+    "notice": ((("script", "demand"),), ("script", "demand", "thing", "talk", "notice", "rest", "around")),
+    "filler": ((("put", "piece", "place"),), ("put", "piece", "place", "talk", "filler")),
+}
 #: Characters of a window in a longer segment, and from one window to the next.
 WINDOW, STEP = 400, 50
 
@@ -89,10 +98,12 @@ _ASKS = re.compile(rf"(?<!\w)(?:{ASKING})(?!\w)", re.I)
 # A sentence in brackets may hold such words too: a longer instruction begins with what it asks or ends with it.
 _INSTRUCTS = re.compile(rf"\s*(?:(?:please|bitte|veuillez|merci de|por favor),?\s+)?(?:{BEGINS})(?!\w)[^=]*|[^=]*(?<!\w)(?:{ENDS})[\s.!]*", re.I)
 _SEGMENT = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\s+[-–—]\s+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\s+[-–—]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"\w+")
 _LIGHT = re.compile(r"[^\w#]+|_+")
+# Letters of scripts that put no spaces between words.
+_UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]").search
 _LONG_LATIN = frozenset(w for w in LATIN if len(w) > 3)
 
 
@@ -127,13 +138,12 @@ def slots(text: str) -> list[tuple[int, int]]:
 
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for kind, block in PHRASES.items():
-        for phrase in block.split("|"):
-            p = " ".join(phrase.split())
-            if p:
-                kinds = (a.get(p)[1] if p in a else ()) + (kind,)
-                a.add_word(p, (len(p), kinds))
+    a, listed = ahocorasick.Automaton(), {k: {" ".join(p.split()) for p in block.split("|")} for k, block in PHRASES.items()}
+    for kind, phrases in [*listed.items(), *((k, {fold_long(w).casefold() for w in ws}) for k, ws in wordings().items())]:
+        for p in sorted(phrases - {""}):
+            kinds = a.get(p)[1] if p in a else ()
+            if kind not in kinds:
+                a.add_word(p, (len(p), (*kinds, kind)))
     a.make_automaton()
     return a
 
@@ -159,7 +169,7 @@ def _phrases(segment: str) -> tuple[str, dict[str, list[tuple[int, int]]]]:
     spans: dict[str, list[tuple[int, int]]] = {}
     for end, (n, kinds) in _automaton().iter(s):
         a, b = end - n + 1, end + 1
-        if not (a and s[a - 1].isalnum() and s[a].isalnum()) and not (b < len(s) and s[b].isalnum() and s[b - 1].isalnum()):
+        if not (a and s[a - 1].isalnum() and s[a].isalnum() and not _UNSPACED(s[a - 1 : a + 1])) and not (b < len(s) and s[b].isalnum() and s[b - 1].isalnum() and not _UNSPACED(s[b - 1 : b + 1])):
             for k in kinds:
                 spans.setdefault(k, []).append((a, b))
     return s, spans
@@ -172,6 +182,12 @@ def _kind(s: str, spans: dict[str, list[tuple[int, int]]]) -> str | None:
             weight = weight or _weight(s)
             if _spread([x for k in (kind, *others) for x in spans.get(k, ())], s) >= COVERED * weight:
                 return kind
+    # Lines of logs and settings say such words too, about their own fields.
+    for kind, (needed, covering) in TELLING.items() if "=" not in s else ():
+        if any(all(k in spans for k in ks) for ks in needed):
+            weight = weight or _weight(s)
+            if _spread([x for k in covering for x in spans.get(k, ())], s) >= TOLD[kind] * weight:
+                return kind
     return None
 
 
@@ -187,7 +203,7 @@ def stretches(segment: str) -> Iterator[tuple[int, int, str]]:
     kind = _kind(s, spans)
     if kind:
         yield 0, len(segment), kind
-    elif len(segment) > WINDOW and spans.keys() & {"error", "filler", "notice"}:
+    elif len(segment) > WINDOW and spans.keys() & {"error", "filler", "notice", "fault", "outcry", "demand", "piece"}:
         runs = [m.span() for m in _RUN.finditer(segment)]
         starts, ends = [a for a, _ in runs], [b for _, b in runs]
         first, last = 0, -1
@@ -251,19 +267,23 @@ def residue(text: str | None) -> tuple[list[str], float]:
     return sorted(kinds), min(1.0, _spread(spans, s) / size) if size else 1.0
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, kinds, parts = [], [], []
-        for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-            k, part = residue(t)
-            if k:
-                ids.append(d)
-                kinds.append(",".join(k))
-                parts.append(part)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(parts, pa.float64())], ["doc_id", "kinds", "coverage"])
+def _scan(shapes: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adopt(shapes)
+        for b in batches:
+            ids, kinds, parts = [], [], []
+            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+                k, part = residue(t)
+                if k:
+                    ids.append(d)
+                    kinds.append(",".join(k))
+                    parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(parts, pa.float64())], ["doc_id", "kinds", "coverage"])
+
+    return run
 
 
 def residue_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kinds, coverage) of documents with residue. Null and empty texts have none. A repeated row
     is reported again. No shuffle: each document is looked at where it is read."""
-    return spread(documents).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan, "doc_id bigint, kinds string, coverage double")
+    return spread(documents).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(confusables(documents.sparkSession)), "doc_id bigint, kinds string, coverage double")
