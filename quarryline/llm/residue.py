@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import eq
 
 import ahocorasick
 import pyarrow as pa
@@ -100,6 +101,7 @@ _INSTRUCTS = re.compile(rf"\s*(?:(?:please|bitte|veuillez|merci de|por favor),?\
 _SEGMENT = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\s+[-–—]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _RUN = re.compile(r"\w+")
 _LIGHT = re.compile(r"[^\w#]+|_+")
 # Letters of scripts that put no spaces between words.
@@ -136,11 +138,16 @@ def slots(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
+#: Without a word of these kinds no segment is residue.
+TRIGGERS = ("error", "filler", "notice", "fault", "outcry", "script", "piece")
+
+
+@lru_cache(maxsize=2)
+def _automaton(kinds_kept: tuple[str, ...] | None = None) -> ahocorasick.Automaton:
+    """Over all phrases and words, or over those of some kinds."""
     a, listed = ahocorasick.Automaton(), {k: {" ".join(p.split()) for p in block.split("|")} for k, block in PHRASES.items()}
     for kind, phrases in [*listed.items(), *((k, {fold_long(w).casefold() for w in ws}) for k, ws in wordings().items())]:
-        for p in sorted(phrases - {""}):
+        for p in sorted(phrases - {""}) if kinds_kept is None or kind in kinds_kept else ():
             kinds = a.get(p)[1] if p in a else ()
             if kind not in kinds:
                 a.add_word(p, (len(p), (*kinds, kind)))
@@ -165,16 +172,27 @@ def _spread(spans: list[tuple[int, int]], text: str) -> int:
 
 def _phrases(segment: str) -> tuple[str, dict[str, list[tuple[int, int]]]]:
     """The segment as phrases are written, and where those of each kind stand in it."""
-    s = " ".join(re.sub(r"\d+", "#", segment.casefold().replace("’", "'")).split())
+    s = _plain(segment)
     spans: dict[str, list[tuple[int, int]]] = {}
-    for end, (n, kinds) in _automaton().iter(s):
-        a, b = end - n + 1, end + 1
-        if not (a and s[a - 1].isalnum() and s[a].isalnum() and not _UNSPACED(s[a - 1 : a + 1])) and not (b < len(s) and s[b].isalnum() and s[b - 1].isalnum() and not _UNSPACED(s[b - 1 : b + 1])):
+    if any(True for _ in _hits(s, TRIGGERS)):
+        for a, b, kinds in _hits(s):
             for k in kinds:
                 spans.setdefault(k, []).append((a, b))
     return s, spans
 
 
+def _plain(text: str) -> str:
+    return " ".join(_DIGITS.sub("#", text.casefold().replace("’", "'")).split())
+
+
+def _hits(s: str, kinds_kept: tuple[str, ...] | None = None) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, kinds) of whole words and phrases."""
+    for end, (n, kinds) in _automaton(kinds_kept).iter(s):
+        a, b = end - n + 1, end + 1
+        if not (a and s[a - 1].isalnum() and s[a].isalnum() and not _UNSPACED(s[a - 1 : a + 1])) and not (b < len(s) and s[b].isalnum() and s[b - 1].isalnum() and not _UNSPACED(s[b - 1 : b + 1])):
+            yield a, b, kinds
+
+
 def _kind(s: str, spans: dict[str, list[tuple[int, int]]]) -> str | None:
     weight = 0
     for kind, others in (("error", ("around",)), ("filler", ("around",)), ("notice", ("script", "rest", "around"))):
@@ -218,7 +236,7 @@ def stretches(segment: str) -> Iterator[tuple[int, int, str]]:
 def _fillers(text: str) -> list[tuple[int, int]]:
     """Runs of five times the same word, or of four and more words of Latin filler."""
     plain = _WORD.findall(text.casefold())
-    if sum(w in _LONG_LATIN for w in plain) < 3 and not any(a == b == c == d == e for a, b, c, d, e in zip(plain, plain[1:], plain[2:], plain[3:], plain[4:])):
+    if sum(map(_LONG_LATIN.__contains__, plain)) < 3 and sum(map(eq, plain, plain[1:])) < 4:
         return []
     out, same, latin = [], [], []
     for m in _WORD.finditer(text):
@@ -254,6 +272,8 @@ def residue(text: str | None) -> tuple[list[str], float]:
             kinds.add(name)
             spans += found
     for line in _SEGMENT.finditer(s):
+        if not any(True for _ in _hits(_plain(line[0]), TRIGGERS)):
+            continue
         at = line.start()
         for part in _SENTENCE.split(line[0]):
             a = s.find(part, at)
