@@ -16,14 +16,17 @@ from quarryline.lang.values import Clock
 from quarryline.plans import ordering
 from quarryline.plans.compiler import Compiler, Mode
 from quarryline.plans.relations import Coverage, folder_metrics, is_folder, resolve
+from quarryline.sources.scan import in_scopes
 
 DEFAULT_LIMIT, MAX_LIMIT, MAX_QUERY, MAX_INFO = 200, 10_000, 16 * 1024, 200
+#: Pages that begin further down are found by ranges of the order instead of a merged top of all tasks.
+DEEP = 50_000
 Sort = Sequence[tuple[str, bool]] | None
 
 # Saved searches that come with the engine.
 BUILT_IN = {
     "all": "", "documents": "ext:pdf;doc;docx;txt;md;rtf;odt;pages", "images": "ext:jpg;jpeg;png;gif;heic;tif;tiff;webp;svg", "audio": "ext:mp3;m4a;wav;flac;aac;ogg",
-    "video": "ext:mp4;mov;mkv;avi;webm", "archives": "ext:zip;gz;tar;7z;rar;bz2;xz", "code": "ext:py;rs;swift;c;cpp;h;js;ts;go;java", "folders": "folder:", "large files": "size:>100mb",
+    "video": "ext:mp4;mov;mkv;avi;webm", "archives": "ext:zip;gz;tar;7z;rar;bz2;xz", "code": "ext:py;rs;swift;c;cpp;h;js;ts;go;java", "folders": "folder:", "large files": "size:>100mb", "recent": "dm:7days",
 }
 
 
@@ -36,7 +39,8 @@ class Page:
 
 @dataclass
 class Catalog:
-    """A catalogue's rows with what every query is read under. `rows` has the columns of plans.model."""
+    """A catalogue's rows with what every query is read under. `rows` has the columns of plans.model. Rows that are
+    known but not `accessible` (in folders that couldn't be read any more) are in no result and no count."""
 
     rows: DataFrame
     macros: Mapping[str, str] = field(default_factory=dict)
@@ -44,6 +48,10 @@ class Catalog:
     coverage: Coverage = Coverage()
     clock: Clock | None = None
 
+    def __post_init__(self) -> None:
+        if "accessible" in self.rows.columns:
+            self.rows = self.rows.where(F.coalesce("accessible", F.lit(True)))
+
     def _clock(self) -> Clock:
         return self.clock or Clock(time.time())
 
@@ -88,34 +96,44 @@ class Catalog:
 
     def query(self, text: str, sort: Sort = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
         """One page of results in order. At most 10,000 rows; `count` has the total."""
-        return ordering.ordered(self.matches(text), sort).offset(max(0, offset)).limit(max(0, min(limit, MAX_LIMIT)))
+        limit, offset = max(0, min(limit, MAX_LIMIT)), max(0, offset)
+        if offset > DEEP:
+            return ordering.deep_page(self.matches(text), sort, offset, limit)
+        return ordering.ordered(self.matches(text), sort).offset(offset).limit(limit)
 
     def ranked(self, text: str, sort: Sort = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
         """A page with each row's 1-based `rank` in the whole result. The numbering sees the page only."""
-        page = self.query(text, sort, limit, offset)
-        keys = ordering.sort_keys(page, sort)
-        w = Window.partitionBy(F.lit(1)).orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, up in keys])
-        return page.withColumn("rank", F.row_number().over(w) + F.lit(max(0, offset)))
+        return self.numbered(self.query(text, sort, limit, offset), sort, max(0, offset))
+
+    @staticmethod
+    def numbered(page: DataFrame, sort: Sort = None, offset: int = 0) -> DataFrame:
+        """A page's rows, at most 10,000, with their `rank`."""
+        w = Window.partitionBy(F.lit(1)).orderBy(*ordering.directed(ordering.sort_keys(page, sort)))
+        return page.withColumn("rank", F.row_number().over(w) + F.lit(offset))
 
     def count(self, text: str) -> int:
         return self.matches(text).count()
 
     def page_at(self, text: str, path: str, row_id: int | None = None, before: int = 0, sort: Sort = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> Page:
         """The page that begins `before` rows ahead of the row at `path`. If that row isn't found any more,
-        the page at `offset`, or the last one. The row is found by its path; `row_id` only breaks ties."""
-        found = self.matches(text)
+        the page at `offset`, or the last one. The row is found by its path; `row_id` only breaks ties. The page is
+        read from the row's keys on, so its cost doesn't depend on how far down it is."""
+        found, limit = self.matches(text), max(0, min(limit, MAX_LIMIT))
         total = found.count()
-        keys = [k for k, _ in ordering.sort_keys(found, sort)]
+        keys = ordering.sort_keys(found, sort)
         same = found.where(F.col("path") == path)
         if row_id is not None:
             same = same.orderBy((F.col("id") != row_id).asc(), "id")
-        anchor = same.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).limit(1).collect()
-        if anchor:
-            rank = found.where(ordering.before(found, list(anchor[0]), sort)).count()
-            at = min(max(rank - before, 0), max(total - 1, 0))
-        else:
+        anchor = same.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]).limit(1).collect()
+        if not anchor:
             at = min(max(offset, 0), max(total - max(limit, 1), 0))
-        return Page(ordering.ordered(found, sort).offset(at).limit(min(limit, MAX_LIMIT)), total, at)
+            return Page(self.query(text, sort, limit, at), total, at)
+        ahead = ordering.before(found, list(anchor[0]), sort)
+        rank = found.where(ahead).count()
+        lead = min(before, rank, MAX_LIMIT)
+        first = found.where(ahead).orderBy(*ordering.directed(keys, backwards=True)).limit(lead)
+        rest = ordering.ordered(found.where(~ahead), sort).limit(limit)
+        return Page(ordering.ordered(first.unionByName(rest), sort).limit(limit), total, rank - lead)
 
     def query_plan(self, text: str) -> dict[str, bool]:
         """What has to be at hand for `text` with its macros and the exclusions."""
@@ -130,7 +148,7 @@ class Catalog:
         if len(paths) > MAX_INFO:
             raise QueryError(f"More than {MAX_INFO} paths asked at once")
         asked = self.rows.sparkSession.createDataFrame(list(enumerate(paths)), "position int, path string")
-        known = folder_metrics(self.rows)
+        known = folder_metrics(self.rows.where(in_scopes(F.col("path"), paths)))
         j = asked.join(known.select("path", "foldersize", "childcount", "descendantcount", F.lit(True).alias("_is")), "path", "left")
         there = F.coalesce("_is", F.lit(False))
         complete = there & self.coverage.covers(F.col("path"))

@@ -145,12 +145,12 @@ class Compiler:
         if o.regex or wild:
             source = X.nfc(node.text) if o.marks else X.strip_marks(node.text)
             source = X.wildcard(source) if wild else X.java_regex(source)
-            return (X.nfc_column(raw) if o.marks else X.stripped_column(raw)).rlike(self._pattern(source, o, X.WORD_REGEX + "_" * content, flags=("" if o.case else "iu") + "dU"))
+            return (X.nfc_column(raw) if o.marks else self._stripped(node, raw)).rlike(self._pattern(source, o, X.WORD_REGEX + "_" * content, flags=("" if o.case else "iu") + "dU"))
         if not o.case:
             value = X.fold_column(raw) if o.marks else searched if searched is not None else X.fold_search_column(raw)
             needle = X.fold(node.text) if o.marks else X.fold_search(node.text)
         else:
-            value = X.nfc_column(raw) if o.marks else X.stripped_column(raw)
+            value = X.nfc_column(raw) if o.marks else self._stripped(node, raw)
             needle = X.nfc(node.text) if o.marks else X.strip_marks(node.text)
         if o.whole:
             return value == needle
@@ -160,6 +160,11 @@ class Compiler:
             return value == needle
         return value.startswith(needle) if o.start else value.endswith(needle) if o.end else value.contains(needle)
 
+    def _stripped(self, node: A.Text, raw: Column) -> Column:
+        """The value without marks, as a generation stores it for names and paths."""
+        stored = f"stripped_{node.target}"
+        return F.col(stored) if stored in self.df.columns else X.stripped_column(raw)
+
     @staticmethod
     def _pattern(source: str, o: A.Options, word: str, flags: str) -> str:
         if o.whole:

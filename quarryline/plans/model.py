@@ -25,6 +25,8 @@ DERIVED = {
     "folded_path": lambda: X.fold_column("path"),
     "search_name": lambda: X.fold_search_column("name"),
     "search_path": lambda: X.fold_search_column("path"),
+    "stripped_name": lambda: X.stripped_column("name"),
+    "stripped_path": lambda: X.stripped_column("path"),
     "search_extension": lambda: X.fold_search_column("extension"),
     "name_key": lambda: X.natural_key(X.fold_column("name")),
     "path_key": lambda: X.natural_key(X.fold_column("path")),
@@ -46,10 +48,11 @@ def derived(df: DataFrame, name: str) -> Column:
 
 
 def prepare(files: DataFrame, content: DataFrame | None = None) -> DataFrame:
-    """Rows ready to be stored: missing columns as nulls, derived columns, and the text body where known."""
-    df = files.select(*[(F.col(f.name) if f.name in files.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA], *[c for c in files.columns if c == "body"])
+    """Rows ready to be stored: missing columns as nulls, derived columns, the text body where known, and whether the
+    entry is accessible, if the rows tell. Of several bodies of one path the greatest (body, properties) counts."""
+    df = files.select(*[(F.col(f.name) if f.name in files.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA], *[c for c in files.columns if c in ("body", "accessible")])
     if content is not None:
-        c = content.select("path", F.col("body").alias("body"), F.col("properties").alias("_props")).dropDuplicates(["path"])
+        c = content.groupBy("path").agg(F.max(F.struct("body", "properties")).alias("_c")).select("path", F.col("_c.body").alias("body"), F.col("_c.properties").alias("_props"))
         df = df.drop("body").join(c, "path", "left").withColumn("properties", F.coalesce("_props", "properties")).drop("_props")
     elif "body" not in df.columns:
         df = df.withColumn("body", F.lit(None).cast("string"))

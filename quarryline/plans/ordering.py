@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.common import materialize, shuffle_width
 from quarryline.lang.ast import QueryError
 from quarryline.plans.model import derived
 
+# The fields that results may be sorted by.
 FIELDS = ("name", "path", "extension", "size", "modified", "created", "is_dir")
 
 
@@ -24,16 +27,55 @@ def sort_keys(df: DataFrame, sort: Sequence[tuple[str, bool]] | None = None) ->
     return [*keys, (F.col("path"), True), (F.col("id"), True)]
 
 
+def directed(keys: Sequence[tuple[Column, bool]], backwards: bool = False) -> list[Column]:
+    """Keys as an order: nulls come first where it ascends; `backwards` turns all of it round."""
+    return [k.asc_nulls_first() if up != backwards else k.desc_nulls_last() for k, up in keys]
+
+
 def ordered(df: DataFrame, sort: Sequence[tuple[str, bool]] | None = None) -> DataFrame:
-    return df.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, up in sort_keys(df, sort)])
+    return df.orderBy(*directed(sort_keys(df, sort)))
 
 
 def before(df: DataFrame, anchor: Sequence[object], sort: Sequence[tuple[str, bool]] | None = None) -> Column:
     """Whether a row sorts before the row whose keys are `anchor`."""
+    return _before(sort_keys(df, sort), anchor)
+
+
+def _before(keys: Sequence[tuple[Column, bool]], anchor: Sequence[object]) -> Column:
     same, out = F.lit(True), []
-    for (k, up), v in zip(sort_keys(df, sort), anchor):
+    for (k, up), v in zip(keys, anchor):
         v = F.lit(v)
         less = F.coalesce(k < v, k.isNull() & v.isNotNull()) if up else F.coalesce(k > v, v.isNull() & k.isNotNull())
         out.append(same & less)
         same = same & k.eqNullSafe(v)
-    return reduce(lambda a, b: a | b, out)
+    return F.coalesce(reduce(lambda a, b: a | b, out), F.lit(False))
+
+
+def after(df: DataFrame, anchor: Sequence[object], sort: Sequence[tuple[str, bool]] | None = None) -> Column:
+    """Whether a row sorts behind the row whose keys are `anchor`."""
+    same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.lit(v)) for (k, _), v in zip(sort_keys(df, sort), anchor)])
+    return ~before(df, anchor, sort) & ~same
+
+
+def deep_page(df: DataFrame, sort: Sequence[tuple[str, bool]] | None, offset: int, limit: int) -> DataFrame:
+    """Rows `offset` to `offset + limit` in order, however far down, without bringing those before to one place.
+
+    The keys alone are spread over ranges of the order and counted; the ranges in which the page lies give its
+    first and last keys, and only rows between these are sorted. The driver holds the page's keys.
+    """
+    keys = sort_keys(df, sort)
+    names = [f"k{i}" for i in range(len(keys))]
+    ups = list(zip([F.col(n) for n in names], [up for _, up in keys]))
+    t = df.select(*[k.alias(n) for (k, _), n in zip(keys, names)]).repartitionByRange(shuffle_width(df.sparkSession), *directed(ups))
+    t = materialize(t.withColumn("_range", F.spark_partition_id()), "order")
+    counts = sorted(map(tuple, t.groupBy("_range").count().collect()))
+    ends = list(accumulate(n for _, n in counts))
+    inside = [i for i, end in enumerate(ends) if end > offset and end - counts[i][1] < offset + limit]
+    if not inside or not limit:
+        return df.limit(0)
+    start = ends[inside[0]] - counts[inside[0]][1]
+    near = t.where(F.col("_range").isin([counts[i][0] for i in inside])).drop("_range")
+    page = near.orderBy(*directed(ups)).offset(offset - start).limit(limit).collect()
+    first, last = list(page[0]), list(page[-1])
+    skipped = offset - start - near.where(_before(ups, first)).count()
+    return ordered(df.where(~before(df, first, sort) & ~after(df, last, sort)), sort).offset(skipped).limit(limit)

@@ -310,7 +310,7 @@ def page_anchor(spark: SparkSession, d: str) -> DataFrame:
     c = _clocked(read(spark, d, "files"))
     anchor = c.matches("ext:pdf").agg(F.max("path")).first()[0] or ""
     at = c.page_at("ext:pdf", anchor, before=10, sort=[("size", False)], limit=50)
-    return c.ranked("ext:pdf", [("size", False)], 50, at.offset).select("id", "path", "rank")
+    return c.numbered(at.rows, [("size", False)], at.offset).select("id", "path", "rank")
 
 
 _REG = "(SELECT *, volume_id || ':' || file_id AS object FROM files WHERE NOT coalesce(is_dir, false) AND NOT coalesce(is_symlink, false))"

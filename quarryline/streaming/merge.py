@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,7 +28,7 @@ def upsert(files: DataFrame, observed: DataFrame) -> DataFrame:
     """`files` with `observed` rows (of the same columns, one a path) put in by path.
 
     A path that is there keeps its id; rows without a difference are kept as they are; a row whose data
-    changed loses `properties` and `content_indexed`. New paths get the observed id.
+    changed loses `properties`, `content_indexed` and, if `files` has bodies, its body. New paths get the observed id.
     """
     new = observed.select(*[F.col(f.name).alias(f"n_{f.name}") for f in SCHEMA])
     j = files.join(new, F.col("path") == F.col("n_path"), "full")
@@ -46,6 +47,8 @@ def upsert(files: DataFrame, observed: DataFrame) -> DataFrame:
         else:
             c = F.when(take, F.col(f"n_{n}")).otherwise(F.col(n))
         out.append(c.cast(f.dataType).alias(n))
+    if "body" in files.columns:
+        out.append(F.when(~stale, F.col("body")).alias("body"))
     return j.select(*out)
 
 
@@ -62,12 +65,17 @@ def deny(files: DataFrame, uncovered: Sequence[str]) -> DataFrame:
     return files.withColumn("accessible", ~in_scopes(F.col("path"), uncovered))
 
 
+def split_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to put in, paths that are gone): the last change of each path by `event_id` wins."""
+    last = latest(changes, ["path"], "event_id")
+    return last.where(~F.coalesce("deleted", F.lit(False))).select([f.name for f in SCHEMA]), last.where("deleted").select("path")
+
+
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """Upserts and tombstones (`deleted`) in one: `changes` has the catalogue's columns, `deleted` and
     `event_id`; the last change of a path wins."""
-    last = latest(changes, ["path"], "event_id")
-    gone = last.where("deleted").select("path")
-    return upsert(files.join(gone, "path", "left_anti"), last.where("NOT deleted").select([f.name for f in SCHEMA]))
+    put, gone = split_changes(changes)
+    return upsert(files.join(gone, "path", "left_anti"), put)
 
 
 def delta(files: DataFrame, journal: DataFrame) -> DataFrame:
@@ -93,12 +101,22 @@ def bounded_journal(changes: DataFrame) -> tuple[DataFrame, bool]:
 def follow(changes: DataFrame, store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Applies a stream of changes to a generation store, a generation for each batch.
 
-    The store remembers the batch a generation came from, so a batch replayed after a crash changes nothing.
+    A batch reads of the catalogue the rows of its own paths and writes only what becomes of them. The store
+    remembers the batch a generation came from, so a batch replayed after a crash changes nothing; it also keeps the
+    last event id as the stream's cursor. Bodies of rows that stay, and what is known not to be covered, stay.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if store.last_batch() >= batch_id:
             return
-        store.publish(apply_changes(store.rows().select([f.name for f in SCHEMA]), df), batch=batch_id)
+        n, rows = store.current(), store.rows()
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            put, gone = split_changes(df)
+            touched = rows.join(put.select("path"), "path", "left_semi").select(*[f.name for f in SCHEMA], "body")
+            upto = df.agg(F.max("event_id")).first()[0]
+            store.publish_changes(upsert(touched, put), gone, batch=batch_id, cursor=None if upto is None else {"event_id": upto}, expect=n)
+        finally:
+            df.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.engine.store import Expired, GenerationStore, Leases, Preferences
+from quarryline.engine.store import Conflict, Expired, GenerationStore, Leases, Preferences
 from quarryline.lang import QueryError
 from quarryline.operators import duplicates, renames
 from quarryline.plans.model import SCHEMA, parent_path
@@ -241,4 +241,73 @@ def test_stream_is_exactly_once(spark, tmp_path):
     assert {r.path for r in store.rows().collect()} == {"/b", "/c"}
     n = store.current()
     run("other")  # a replay: batch 0 again
-    assert store.current() == n
+    assert store.current() == n and store.cursor() == {"event_id": 2}
+
+
+def test_a_stream_keeps_bodies_and_gaps_and_writes_little(spark, tmp_path):
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    files = entries(spark, [(i, f"/f{i}", 1, {}) for i in range(6)]).withColumn("body", F.concat(F.lit("needle "), "id"))
+    store.publish(files, Coverage(True, ("/",), ("/gap",)))
+    schema = entries(spark, []).withColumns({"deleted": F.lit(False), "event_id": F.lit(1).cast("bigint")}).schema
+    source = str(tmp_path / "in")
+    for at, rows in enumerate(([(90, "/new", 5, {}), (91, "/f1", 1, {"file_id": 1})], [(92, "/f2", 7, {"file_id": 2}), (93, "/f3", 1, {"deleted": True})])):
+        changed = entries(spark, [(i, p, s, {k: v for k, v in m.items() if k != "deleted"}) for i, p, s, m in rows])
+        changed.withColumns({"deleted": F.col("path") == "/f3", "event_id": F.lit(at + 1).cast("bigint")}).coalesce(1).write.mode("append").parquet(source)
+        merge.follow(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "cp")).awaitTermination()
+    assert {r.path for r in store.catalog().matches("content:needle").collect()} == {"/f0", "/f1", "/f4", "/f5"}
+    assert {r.path for r in store.rows().collect()} == {"/new", "/f0", "/f1", "/f2", "/f4", "/f5"}
+    assert store.coverage().uncovered == ("/gap",)
+    assert len(list((tmp_path / "s").glob("gen=*"))) == 1 and len(list((tmp_path / "s").glob("delta=*"))) == 2
+    assert store.manifest()["generations"][-1]["changed"] == 4
+    # Content of the current state is taken over, that of an older one isn't.
+    content = store.rows().where("path IN ('/f2', '/new')").select("path", F.lit("thread").alias("body"), F.lit('{"pages":3}').alias("properties"), F.when(F.col("path") == "/new", 999).otherwise(F.col("size")).cast("bigint").alias("size"))
+    store.publish_content(content)
+    assert [r.path for r in store.catalog().matches("content:thread pages:3").collect()] == ["/f2"]
+
+
+def test_deltas_are_written_out_once_they_add_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarryline.engine.store.rewrite_needed", lambda changed, rows: changed > 3)
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    store.publish(entries(spark, [(i, f"/f{i}", 1, {}) for i in range(6)]))
+    for k in range(3):
+        store.publish_changes(entries(spark, [(k, f"/f{k}", 50 + k, {}), (90 + k, f"/n{k}", 1, {})]), spark.createDataFrame([(f"/f{5 - k}",)], "path string") if k == 1 else None)
+    assert {(r.path, r.size) for r in store.rows().collect()} == {("/f0", 50), ("/f1", 51), ("/f2", 52), ("/f3", 1), ("/f5", 1), ("/n0", 1), ("/n1", 1), ("/n2", 1)}
+    assert [len(g["deltas"]) for g in store.manifest()["generations"]] == [1, 0, 1]
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = (GenerationStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    files = entries(spark, [(1, "/a", 1, {})])
+    assert one.publish(files) == 1
+    m = two.manifest()
+    assert one.publish_changes(entries(spark, [(2, "/b", 1, {})])) == 2
+    with pytest.raises(Conflict):
+        two._commit(m, two._generation(m, "gen=none", [], 0, 0, None))
+    with pytest.raises(Conflict):
+        two.publish(files, expect=1)
+    assert two.current() == 2 and {r.path for r in two.rows().collect()} == {"/a", "/b"}
+    version = two.status()["version"]
+    assert two.wait_status(version, seconds=0.0)["version"] == version and two.wait_status(version - 1)["generation"] == 2
+
+
+def test_leases_outlive_a_process(spark, tmp_path):
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    store.publish(entries(spark, [(1, "/a", 1, {})]))
+    key, page = Leases(store).first_page("a")
+    assert [r.path for r in page.collect()] == ["/a"]
+    for n in range(4):
+        store.publish(entries(spark, [(2, f"/b{n}", 1, {})]))
+    again = Leases(GenerationStore(spark, f"file://{tmp_path}/s"))
+    assert [r.path for r in again.get(key).query("").collect()] == ["/a"]
+    assert again.release(key) and not list((tmp_path / "s").glob("gen=1-*"))
+
+
+def test_a_subtree_skips_files(spark, tmp_path):
+    """A generation is sorted by path, so a subtree's range leaves most files out by their statistics."""
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    store.publish(entries(spark, [(i, f"/{'abcdefgh'[i % 8]}/f{i}", 1, {}) for i in range(400)]))
+    some = store.rows().where(scan.in_scopes(F.col("path"), ["/c"]))
+    assert some.count() == 50
+    spans = [spark.read.parquet(str(f)).agg(F.min("path"), F.max("path")).first() for f in (tmp_path / "s").glob("gen=*/*.parquet")]
+    assert len(spans) > 1 and sum(lo < "/c0" and hi >= "/c/" for lo, hi in spans) < len(spans)
+    assert "GreaterThanOrEqual(path,/c/)" in some._jdf.queryExecution().executedPlan().toString()

@@ -220,6 +220,29 @@ def test_order_pages_anchors(spark):
         c.query("", [("color", True)])
 
 
+def test_deep_pages(spark, monkeypatch):
+    """Pages found by ranges of the order, with ties and repeated rows, are those of one sort."""
+    rows = [(i % 90, f"/p{i % 17}", f"n{i % 5}", "", None if i % 7 == 0 else i % 3, 0, 0, False, False, 0, None, None) for i in range(200)]
+    c = Catalog(spark.createDataFrame(rows, DDL).repartition(3))
+    plain = lambda df: [(r.id, r.path, r.name, r.size) for r in df.collect()]
+    for sort in ([("size", False), ("name", True)], [("size", True)], None):
+        want = {(at, n): plain(c.query("", sort, n, at)) for at, n in ((0, 5), (37, 20), (190, 30), (199, 1), (200, 5))}
+        monkeypatch.setattr("quarryline.engine.search.DEEP", -1)
+        for (at, n), rows_ in want.items():
+            got = plain(c.query("", sort, n, at))
+            assert len(got) == len(rows_) and [g[1:] for g in got] == [r[1:] for r in rows_] and sorted(got) == sorted(rows_)
+        monkeypatch.undo()
+
+
+def test_what_is_not_accessible_is_hidden(spark):
+    rows = [(1, "/a", "a", "", 0, 0, 0, True, False, 0, None, None), (2, "/a/x", "x", "", 5, 0, 0, False, False, 0, None, None), (3, "/a/y", "y", "", 7, 0, 0, False, False, 0, None, None)]
+    df = prepare(spark.createDataFrame(rows, DDL).withColumn("accessible", F.when(F.col("id") == 3, False)))
+    c = Catalog(df)
+    assert [r.id for r in c.query("file:").collect()] == [2]
+    assert [r.id for r in c.matches("childcount:=1 foldersize:=5").collect()] == [1]
+    assert [r.recursive_size for r in c.directory_info(["/a"]).collect()] == [5]
+
+
 @pytest.mark.parametrize("a", ["x1", "x01", "x10", "x9", "X9b", "9", "10", "é2", "e10", ""])
 def test_natural_key_in_spark_and_python(spark, a):
     got = spark.createDataFrame([(a,)], "n string").select(X.natural_key(X.fold_column("n"))).first()[0]
