@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.skew import fragment_replicate_join
 from quarryline.plans.model import derived
 
 MODES = ("name", "size", "content")
@@ -28,14 +29,26 @@ def _hashed(rows: DataFrame, content: DataFrame | None) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame, mode: str, content: DataFrame | None = None) -> DataFrame:
-    """(group_key, path, id, object, distinct_files, member) of groups with more than one object.
+    """(group_key, path, id, object, distinct_files, paths, keeper): every row of the groups of `duplicate_summary`.
+    A key that very many rows have is split by load."""
+    keyed = _keyed_by(files, mode, content)
+    return fragment_replicate_join(keyed, _several(keyed), ["group_key"])
+
+
+def duplicate_summary(files: DataFrame, mode: str, content: DataFrame | None = None) -> DataFrame:
+    """(group_key, distinct_files, paths, keeper) of groups with more than one object; the smallest path is kept.
 
     name: the folded name, accents kept; size: the size as text, so groups sort as text; content: the
     SHA-256 of `body` (of `content` (path, body), or a column of `files`), looked at only where a size has
     several objects. Rows of unknown size are looked at too, and if there are any (asked at once), so is a
     size's only object: it is in a group if one of unknown size has its content. Hard links are one object,
-    and each of their paths is listed. `member` numbers a group's rows by path. Rows whose key is null are in no group.
+    and each of their paths counts. Rows whose key is null are in no group. One row a group, combined before the
+    shuffle, so a name that a third of all files have costs no more than any other.
     """
+    return _several(_keyed_by(files, mode, content))
+
+
+def _keyed_by(files: DataFrame, mode: str, content: DataFrame | None) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"mode: {mode}")
     rows = _regular(files).withColumn("object", _object())
@@ -49,8 +62,13 @@ def duplicate_groups(files: DataFrame, mode: str, content: DataFrame | None = No
             keyed = keyed.unionByName(unknown).unionByName(lone.join(unknown.select("group_key").distinct(), "group_key", "left_semi"))
     else:
         keyed = _keyed(rows, derived(rows, "folded_name") if mode == "name" else F.col("size").cast("string"))
-    several = keyed.groupBy("group_key", "object").agg(F.lit(1).alias("one")).groupBy("group_key").agg(F.count("one").alias("distinct_files")).where("distinct_files > 1")
-    return keyed.join(several, "group_key")
+    return keyed
+
+
+def _several(keyed: DataFrame) -> DataFrame:
+    """(group_key, distinct_files, paths, keeper) of keys with several objects, by aggregates alone."""
+    objects = keyed.groupBy("group_key", "object").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("least"))
+    return objects.groupBy("group_key").agg(F.count(F.lit(1)).alias("distinct_files"), F.sum("n").alias("paths"), F.min("least").alias("keeper")).where("distinct_files > 1")
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -58,17 +76,16 @@ def numbered(groups: DataFrame) -> DataFrame:
     return groups.withColumn("member", F.row_number().over(Window.partitionBy("group_key").orderBy("path", "id")))
 
 
-def group_summary(groups: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(group_key, distinct_files, paths, keeper): the smallest path is kept. One row a group, combined before
-    the shuffle, so a name that a third of all files have costs no more than any other."""
+def group_summary(groups: DataFrame) -> DataFrame:
+    """(group_key, distinct_files, paths, keeper) of rows of `duplicate_groups`, one row a group."""
     return groups.groupBy("group_key", "distinct_files").agg(F.count(F.lit(1)).alias("paths"), F.min("path").alias("keeper"))
 
 
 def removable(groups: DataFrame) -> DataFrame:
     """Rows that may go: neither the keeper (smallest path) of the group nor an alias of the keeper's data."""
-    keeper = groups.groupBy("group_key").agg(F.min(F.struct("path", "object")).alias("k")).select("group_key", F.col("k.object").alias("kept"))
-    other = groups.join(keeper, "group_key").where(F.col("object") != F.col("kept"))
-    first = other.groupBy("group_key", "object").agg(F.min(F.struct("path", "id")).alias("f"))
+    objects = groups.groupBy("group_key", "object").agg(F.min(F.struct("path", "id")).alias("f"), F.first("keeper").alias("keeper"))
+    # One row an object by now; an object has the keeper's path as its own first, or another.
+    first = objects.where(F.col("f.path") != F.col("keeper"))
     return first.select("group_key", F.col("f.path").alias("path"), F.col("f.id").alias("id"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.common import materialize, shuffle_width
 from quarryline.functions.text import fold_column, nfc_column
-from quarryline.plans.model import parent_path
+from quarryline.plans.model import ancestors, parent_path
 
 
 def _stem_and_extension() -> tuple[Column, Column]:
@@ -59,10 +59,12 @@ def rename_conflicts(plan: DataFrame, files: DataFrame, case_sensitive: bool = F
     twice = p.groupBy("_target").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_target", F.lit(True).alias("_twice"))
     there = files.select(key("path").alias("_target"), F.col("id").alias("_there")).join(p.select(F.col("id").alias("_there")), "_there", "left_anti").select("_target", F.lit(True).alias("_taken")).distinct()
     above = p.where(F.coalesce("is_dir", F.lit(False))).select(F.col("path").alias("_above")).distinct().withColumn("_under", F.lit(True))
-    parts = F.split("path", "/")
-    ups = p.select("id", F.explode(F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))).alias("_above"))
-    under = ups.join(above, "_above").select("id", "_under").distinct()
-    j = p.join(twice, "_target", "left").join(there, "_target", "left").join(under, "id", "left")
+    # Each folder is looked up once among the folders renamed, however many entries it has.
+    p = p.withColumn("_folder", F.try_element_at(ancestors(F.col("path")), F.lit(-1)))
+    folders = p.select(ancestors(F.col("path")).alias("_ups")).where(F.size("_ups") > 0).distinct()
+    ups = folders.select(F.element_at("_ups", -1).alias("_folder"), F.explode("_ups").alias("_above"))
+    under = ups.join(above, "_above").select("_folder", "_under").distinct()
+    j = p.join(twice, "_target", "left").join(there, "_target", "left").join(under, "_folder", "left")
     inside = F.coalesce("is_dir", F.lit(False)) & F.col("new_path").startswith(F.concat("path", F.lit("/")))
     bad = (F.col("new_name") == "") | F.col("new_name").contains("/") | F.col("new_name").isin(".", "..")
     kind = F.when(bad, "invalid_name").when(F.col("new_path") == F.col("path"), "no_change").when(F.col("_under"), "overlapping_sources").when(F.col("_twice"), "duplicate_target").when(F.col("_taken") & (F.col("_target") != F.col("_source")), "target_exists").when(inside, "inside_itself")

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from quarryline.common import read, scratch_path
 from quarryline.engine.search import Catalog
-from quarryline.engine.store import GenerationStore, Leases
+from quarryline.engine.requests import selected_under
+from quarryline.engine.store import GenerationStore, Leases, Preferences
 from quarryline.functions import text as X
 from quarryline.lang.values import Clock
 from quarryline.operators import duplicates, renames
-from quarryline.plans.model import prepare
+from quarryline.plans.model import SCHEMA, prepare
 from quarryline.plans.relations import METRIC_SUMS, Coverage, folder_metrics
 from quarryline.sources import filelist, scan
 from quarryline.streaming import events as E
@@ -160,6 +161,22 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), name.alias("name"), F.lit("txt").alias("extension"), F.col("n_chars").alias("size"), F.lit(None).cast("bigint").alias("modified"), F.lit(None).cast("bigint").alias("created"), false.alias("is_dir"), false.alias("is_symlink"), F.lit(0).cast("bigint").alias("flags"), F.lit("{}").alias("properties"), F.when(F.coalesce("kind", F.lit("")) != "log", F.col("text")).alias("body"))
 
 
+def json_of(results: DataFrame) -> DataFrame:
+    """`id` and `row`, a JSON object of an entry's fields; properties are the object they hold, null if they hold none."""
+    parts = []
+    for f in SCHEMA:
+        if f.name == "properties":
+            value = F.when(F.try_parse_json(F.col("properties")).isNotNull(), F.trim("properties"))
+        elif f.dataType.simpleString() == "string":
+            # A struct of one field, without its braces and name.
+            value = F.regexp_extract(F.to_json(F.struct(F.col(f.name).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+            value = F.when(F.col(f.name).isNotNull(), value)
+        else:
+            value = F.col(f.name).cast("string")
+        parts.append(F.concat(F.lit(f'"{f.name}":'), F.coalesce(value, F.lit("null"))))
+    return results.select("id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("row"))
+
+
 def _content_search(text: str, spark: SparkSession, d: str) -> DataFrame:
     return _clocked(texts(spark, d)).matches(text).select(F.col("id").alias("doc_id"))
 
@@ -322,12 +339,12 @@ def _groups_sql(key: str, table: str = _REG) -> str:
 
 @_query(_groups_sql(_f("name")))
 def dup_name(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.group_summary(duplicates.duplicate_groups(read(spark, d, "files"), "name"))
+    return duplicates.duplicate_summary(read(spark, d, "files"), "name")
 
 
 @_query(_groups_sql("CAST(size AS VARCHAR)"))
 def dup_size(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.group_summary(duplicates.duplicate_groups(read(spark, d, "files"), "size"))
+    return duplicates.duplicate_summary(read(spark, d, "files"), "size")
 
 
 def _text_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -339,7 +356,7 @@ _CORPUS = "(SELECT *, doc_id AS object, '/corpus/' || coalesce(lang, 'none') ||
 
 @_query(_groups_sql("sha256(text)", _CORPUS))
 def dup_content(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.group_summary(duplicates.duplicate_groups(_text_objects(spark, d), "content"))
+    return duplicates.duplicate_summary(_text_objects(spark, d), "content")
 
 
 @_query(f"""WITH g AS (SELECT sha256(text) AS group_key, path, doc_id FROM {_CORPUS}) SELECT group_key, path, doc_id AS id FROM g WHERE group_key IS NOT NULL
@@ -394,7 +411,20 @@ def rename_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan.select("id", F.col("position").cast("bigint").alias("position"), "new_name")
 
 
-@_query()
+_FOLDED = _f("{0}")
+
+
+@_query(f"""WITH f AS (SELECT id, unnest(arg_max(struct_pack(path := path, name := name, is_dir := is_dir), changed_ns)) FROM files GROUP BY id),
+s AS (SELECT id, path, is_dir, replace({_STEM}, 'report', 'plan') || {_DOT} AS new_name, {_PARENT} AS folder FROM f),
+p AS (SELECT *, CASE WHEN folder = '/' THEN '/' WHEN folder = '' THEN '' ELSE folder || '/' END || new_name AS new_path FROM s),
+k AS (SELECT *, {_FOLDED.format('new_path')} AS target, {_FOLDED.format('path')} AS source FROM p),
+twice AS (SELECT target FROM k GROUP BY target HAVING count(*) > 1),
+dirs AS (SELECT DISTINCT path FROM k WHERE coalesce(is_dir, false)),
+under AS (SELECT DISTINCT a.folder FROM (SELECT DISTINCT folder FROM k) a JOIN dirs d ON a.folder = d.path OR starts_with(a.folder, d.path || '/')),
+found AS (SELECT id, CASE WHEN new_name = '' OR contains(new_name, '/') OR new_name IN ('.', '..') THEN 'invalid_name' WHEN new_path = path THEN 'no_change'
+  WHEN folder IN (SELECT folder FROM under) THEN 'overlapping_sources' WHEN target IN (SELECT target FROM twice) THEN 'duplicate_target'
+  WHEN coalesce(is_dir, false) AND starts_with(new_path, path || '/') THEN 'inside_itself' END AS conflict FROM k)
+SELECT * FROM found WHERE conflict IS NOT NULL""")
 def rename_conflicts(spark: SparkSession, d: str) -> DataFrame:
     files = read(spark, d, "files").groupBy("id").agg(F.max_by(F.struct("path", "name", "is_dir"), "changed_ns").alias("r")).select("id", "r.*")
     return renames.rename_conflicts(renames.rename_plan(files, search="report", replacement="plan"), files)
@@ -494,10 +524,98 @@ def derived_columns(spark: SparkSession, d: str) -> DataFrame:
     return prepare(read(spark, d, "files")).select("id", "search_name", "folded_name", "name_key", parent_path(F.col("path")).alias("parent"))
 
 
-@_query()
+def _json(name: str, kind: str) -> str:
+    """A field of a JSON object in SQL, as Spark writes it."""
+    if name == "properties":
+        value = "CASE WHEN json_valid(properties) THEN trim(properties) ELSE 'null' END"
+    elif kind == "string":
+        value = f"coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"
+    else:
+        value = f"coalesce(CAST({name} AS VARCHAR), 'null')"
+    return f"""'"{name}":' || {value}"""
+
+
+@_query(f"SELECT id, '{{' || {" || ',' || ".join(_json(f.name, f.dataType.simpleString()) for f in SCHEMA)} || '}}' AS \"row\" FROM files WHERE contains({NAME}, 'report')")
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Results as JSON objects of the 18 fields."""
-    return _clocked(read(spark, d, "files")).matches("report").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+    """Results as JSON objects of the 18 fields, properties as the object they are."""
+    return json_of(_clocked(read(spark, d, "files")).matches("report")).select("id", "row")
+
+
+@_query(f"SELECT id FROM files WHERE contains({NAME}, 'report') AND NOT (starts_with(path, '/Volumes/Archive/') OR path = '/Volumes/Archive')")
+def denied_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """Rows below a folder that can't be read any more stay in the catalogue, and no search shows them."""
+    return _clocked(merge.deny(read(spark, d, "files"), ["/Volumes/Archive"])).matches("report").select("id")
+
+
+@_query("SELECT doc_id FROM documents WHERE coalesce(kind, '') <> 'log' AND coalesce(lang, '') <> 'de' AND " + f"contains({TEXT}, 'catalogue')")
+def follow_content(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of changes, of which one deletes the logs and the other alters the German texts, whose bodies are
+    unknown from then on; all other bodies are found afterwards."""
+    store, source, checkpoint = GenerationStore(spark, scratch_path(spark, "store")), scratch_path(spark, "changes"), scratch_path(spark, "checkpoint")
+    rows = prepare(texts(spark, d)).select([f.name for f in SCHEMA] + ["body"])
+    store.publish(rows)
+    lang = F.coalesce(F.element_at(F.split("path", "/"), 3), F.lit(""))
+    logs = read(spark, d, "documents").where("kind = 'log'").select(F.col("doc_id").alias("id"))
+    for k, (part, deleted) in enumerate(((rows.join(logs, "id", "left_semi"), True), (rows.where(lang == "de").withColumn("size", F.col("size") + 1), False))):
+        changes = part.drop("body").withColumns({"deleted": F.lit(deleted), "event_id": F.lit(k + 1).cast("bigint")})
+        changes.write.mode("append").parquet(source)
+        merge.follow(spark.readStream.schema(changes.schema).parquet(source), store, checkpoint).awaitTermination()
+    return store.catalog(clock=NOW).matches("content:catalogue").select(F.col("id").alias("doc_id"))
+
+
+@_query("SELECT 50 AS event_id")
+def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The cursor a generation keeps, after an own change has been left out."""
+    store = GenerationStore(spark, scratch_path(spark, "store"))
+    files = prepare(texts(spark, d)).select([f.name for f in SCHEMA])
+    events = spark.createDataFrame([("/corpus/en", 50, 0), ("/index/own", 99, 0)], E.EVENT_SCHEMA)
+    last = E.cursor(E.without_own(events, "/index")).first()[0]
+    store.publish(files, cursor={"event_id": last, "stream": "s"})
+    return spark.createDataFrame([(E.resume(store.cursor(), "s", 10, 90)[0],)], "event_id int")
+
+
+@_query(f"SELECT id FROM files WHERE contains({NAME}, 'plan') AND NOT contains({PATH}, 'archive')")
+def preferences_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Macros and exclusions that the store keeps take part in every search."""
+    store = GenerationStore(spark, scratch_path(spark, "store"))
+    store.publish(read(spark, d, "files"))
+    store.set_preferences(Preferences(macros={"mine": "plan"}, exclusions=("path:archive",)))
+    return store.catalog(clock=NOW).matches("mine:").select("id")
+
+
+@_query("SELECT true AS requires_content, true AS requires_properties, true AS requires_extraction, true AS requires_relations")
+def query_plan(spark: SparkSession, d: str) -> DataFrame:
+    said = Catalog(read(spark, d, "files"), exclusions=["child:<title:x>"], clock=NOW).query_plan("content:a")
+    return spark.createDataFrame([tuple(said.values())], ", ".join(f"{k} boolean" for k in said))
+
+
+@_query("""WITH t AS (SELECT sha256(text) AS group_key, doc_id, n_chars % 7 AS clone_id FROM documents),
+g AS (SELECT group_key FROM t WHERE group_key IS NOT NULL GROUP BY group_key HAVING count(DISTINCT doc_id) > 1)
+SELECT group_key, 'corpus' AS volume_id, clone_id, count(DISTINCT doc_id) AS files FROM t WHERE group_key IN (SELECT group_key FROM g) AND clone_id IS NOT NULL GROUP BY group_key, clone_id HAVING count(DISTINCT doc_id) > 1""")
+def clone_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Of equal texts those that share storage, which their length stands for here."""
+    clones = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("corpus").alias("volume_id"), (F.col("n_chars") % 7).alias("clone_id"))
+    return duplicates.clone_groups(duplicates.duplicate_groups(_text_objects(spark, d), "content"), clones)
+
+
+@_query("SELECT id, doc_id FROM (SELECT f.id, d.doc_id FROM files f JOIN documents d ON f.id = d.entry_id WHERE contains(" + TEXT.replace("text", "d.text") + ", 'catalogue')) GROUP BY ALL")
+def content_join(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with the texts extracted from them, searched by those."""
+    docs = read(spark, d, "documents").where("entry_id IS NOT NULL").select(F.col("entry_id").alias("id"), "doc_id", "text")
+    files = read(spark, d, "files").select("id", "path", "name", "is_dir").distinct()
+    content = files.join(docs, "id").select(F.concat_ws("#", "path", F.col("doc_id")).alias("path"), F.col("text").alias("body"), F.lit(None).cast("string").alias("properties"))
+    named = files.join(docs.drop("text"), "id").withColumn("path", F.concat_ws("#", "path", F.col("doc_id")))
+    rows = prepare(named.drop("doc_id"), content=content)
+    return _clocked(rows).matches("content:catalogue").select("id", F.substring_index("path", "#", -1).cast("bigint").alias("doc_id")).distinct()
+
+
+@_query(f"SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY size DESC NULLS LAST, path, id) AS rank FROM files WHERE contains({NAME}, 'report')) WHERE rank IN (1, 5, 40)")
+def selected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen ranks of a result, read page by page under a lease."""
+    store = GenerationStore(spark, scratch_path(spark, "store"))
+    store.publish(read(spark, d, "files"))
+    leases = Leases(store)
+    return selected_under(leases, leases.retain(), "report", [40, 1, 5], [("size", False)]).select("id", "rank")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

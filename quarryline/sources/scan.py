@@ -51,7 +51,6 @@ def _entry(path: str, found: os.stat_result) -> dict:
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in SCHEMA] + [("error", pa.string())])
     for b in batches:
         rows = []
         for folder in b["path"].to_pylist():
@@ -62,7 +61,14 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append(_entry(e.path, e.stat(follow_symlinks=False)) | {"parent_id": parent, "error": None})
             except OSError as x:
                 rows.append({"path": folder, "error": x.strerror})
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield pa.RecordBatch.from_pylist(rows, schema=_arrow_schema())
+
+
+_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMA) + ", error string"
+
+
+def _arrow_schema() -> pa.Schema:
+    return pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in SCHEMA] + [("error", pa.string())])
 
 
 def scan(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = (), tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -75,9 +81,8 @@ def scan(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = ()
 
     level = spark.createDataFrame([(r,) for r in compact_scopes(roots)], "path string")
     out: list[DataFrame] = []
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMA) + ", error string"
     while True:
-        listed = materialize(level.repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(_list, ddl), "scan")
+        listed = materialize(level.repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(_list, _DDL), "scan")
         out.append(listed)
         level = listed.where("error IS NULL AND is_dir AND NOT is_symlink").where(~in_scopes(F.col("path"), excluded)).select("path")
         if level.isEmpty():
@@ -87,6 +92,50 @@ def scan(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = ()
     return entries, every.where("error IS NOT NULL").select("path", "error")
 
 
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for path in b["path"].to_pylist():
+            try:
+                rows.append(_entry(path, os.lstat(path)) | {"parent_id": os.lstat(os.path.dirname(path) or "/").st_ino, "error": None})
+            except FileNotFoundError:
+                rows.append({"path": path, "error": GONE})
+            except OSError as x:
+                rows.append({"path": path, "error": x.strerror})
+        yield pa.RecordBatch.from_pylist(rows, schema=_arrow_schema())
+
+
+GONE = "gone"
+
+
+def stat_paths(paths: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, gone, uncovered) of single paths, without listing folders: what a change event asks for.
+
+    `paths` has a `path` column. gone: (path) of what isn't there any more. uncovered: (path, error) of what
+    couldn't be looked at.
+    """
+    from quarryline.common import materialize
+
+    spark = paths.sparkSession
+    seen = materialize(paths.select("path").where("path IS NOT NULL").distinct().repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(_look, _DDL), "stat")
+    entries = seen.where("error IS NULL").drop("error").withColumn("id", F.xxhash64("path").bitwiseAND(F.lit(2**63 - 1)))
+    return entries, seen.where(F.col("error") == GONE).select("path"), seen.where(F.col("error") != GONE).select("path", "error")
+
+
+def carry_out(plan: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, gone, uncovered) of a reconcile plan (path, action): paths to refresh are looked at one by one,
+    subtrees to rescan are listed with all below them. What a rescan no longer finds is left to `delete_missing`
+    over its roots. The driver holds the paths to rescan, which a plan keeps apart from one another."""
+    spark = plan.sparkSession
+    entries, gone, uncovered = stat_paths(plan.where("action <> 'rescan'"), tasks)
+    roots = [r["path"] for r in plan.where("action = 'rescan'").select("path").collect()]
+    if roots:
+        own, lost, failed = stat_paths(spark.createDataFrame([(r,) for r in roots], "path string"), tasks)
+        below, unread = scan(spark, [r for r in roots if os.path.isdir(r)], tasks=tasks)
+        entries, gone, uncovered = entries.unionByName(own).unionByName(below), gone.unionByName(lost), uncovered.unionByName(failed).unionByName(unread)
+    return entries, gone, uncovered
+
+
 def decode(data: bytes) -> str | None:
     """Text of a file: UTF-8, else UTF-16 with a byte order mark; none if it has NULs or neither decodes."""
     for encoding in ("utf-8-sig", "utf-16") if data[:2] not in (b"\xff\xfe", b"\xfe\xff") else ("utf-16",):

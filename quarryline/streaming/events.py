@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.plans.model import parent_path
+from quarryline.plans.model import ancestors, parent_path
 
 EVENT_SCHEMA = "path string, event_id bigint, flags bigint"
 # Bits of event flags, as the operating system numbers them.
@@ -47,24 +47,44 @@ def reconcile_plan(events: DataFrame, roots: list[str]) -> DataFrame:
     # One event that lost history stands for all of them.
     whole = seen.where("lost").limit(1).select(F.explode(F.array(*map(F.lit, roots))).alias("path"))
     subtrees = seen.where("must_rescan").select("path").unionByName(whole).distinct()
-    parts = F.split("path", "/")
-    ups = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
-    above = F.array_union(ups, F.array(F.lit("/")))
-    tops = subtrees.select(F.col("path").alias("_top"))
+    tops = subtrees.select(F.col("path").alias("_top"), F.lit(True).alias("_is"))
 
     def uncovered(df: DataFrame, own: bool) -> DataFrame:
-        places = F.array_remove(F.array_union(above, F.array("path")) if own else above, F.when(F.col("path") == "/", F.lit("/")).otherwise(F.lit("")) if not own else F.lit(""))
-        covered = df.select("path", F.explode(places).alias("_top")).join(tops, "_top", "left_semi").select("path").distinct()
-        return df.join(covered, "path", "left_anti")
+        """Paths that lie in no subtree of the plan. '/' is above all of them: whether it is one is asked once, and no
+        path looks it up. Of the folders above, each is looked up once, however many paths lie below it."""
+        above = ancestors(F.col("path"))
+        mine = df.withColumn("_folder", F.try_element_at(above, F.lit(-1)))
+        folders = df.select(above.alias("_ups")).where(F.size("_ups") > 0).distinct()
+        ups = folders.select(F.element_at("_ups", -1).alias("_folder"), F.explode("_ups").alias("_top"))
+        inside = ups.join(tops, "_top", "left_semi").select("_folder").distinct().withColumn("_in", F.lit(True))
+        rooted = F.broadcast(tops.where("_top = '/'").select(F.col("_is").alias("_rooted")))
+        out = mine.join(inside, "_folder", "left").join(rooted, F.lit(True), "left").where("_in IS NULL AND (_rooted IS NULL OR path = '/')")
+        if own:
+            out = out.join(tops.select(F.col("_top").alias("path")), "path", "left_anti")
+        return out.select(df.columns)
 
     rescan = uncovered(subtrees, own=False)
     rest = seen.where(~F.col("must_rescan")).groupBy("path").agg(F.bool_and(bit(INODE_META) & bit(IS_DIR)).alias("_meta"))
-    parents = rest.select(parent_path(F.col("path")).alias("path")).where(F.col("path") != "").select("path", F.lit(None).cast("boolean").alias("_meta"))
+    parents = rest.select(parent_path(F.col("path")).alias("path")).where(F.col("path") != "").distinct().select("path", F.lit(None).cast("boolean").alias("_meta"))
     paths = rest.unionByName(parents).groupBy("path").agg(F.coalesce(F.bool_or("_meta"), F.lit(False)).alias("_meta"))
     single = uncovered(paths, own=True).select("path", F.when(F.col("_meta"), "check_folder").otherwise("refresh").alias("action"))
     return rescan.select("path", F.lit("rescan").alias("action")).unionByName(single)
 
 
+def resume(saved: dict | None, stream: str, first: int, last: int) -> tuple[int | None, str]:
+    """(event id to go on behind, reason) for a stream that still has the events `first` to `last`; None where all
+    roots have to be scanned anew. `saved` is the cursor a store keeps: {"stream": ..., "event_id": ...}."""
+    if not saved or saved.get("event_id") is None:
+        return None, "no cursor"
+    if saved.get("stream", stream) != stream:
+        return None, "another stream"
+    if saved["event_id"] > last:
+        return None, "ids have wrapped"
+    if saved["event_id"] < first - 1:
+        return None, "history is gone"
+    return saved["event_id"], "replay"
+
+
 def resolve_checks(plan: DataFrame, files: DataFrame) -> DataFrame:
     """A folder to check that is a known folder needs a refresh only; an unknown one is listed anew."""
     known = files.where("is_dir").select("path", F.lit(True).alias("_known"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
+from quarryline.engine.requests import Requests, selected
 from quarryline.engine.store import Conflict, Expired, GenerationStore, Leases, Preferences
 from quarryline.lang import QueryError
 from quarryline.operators import duplicates, renames
@@ -311,3 +314,87 @@ def test_a_subtree_skips_files(spark, tmp_path):
     spans = [spark.read.parquet(str(f)).agg(F.min("path"), F.max("path")).first() for f in (tmp_path / "s").glob("gen=*/*.parquet")]
     assert len(spans) > 1 and sum(lo < "/c0" and hi >= "/c/" for lo, hi in spans) < len(spans)
     assert "GreaterThanOrEqual(path,/c/)" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_are_utf8(spark, tmp_path):
+    (tmp_path / "good.csv").write_bytes("\ufeffFilename,Größe,Size\r\n/é/日記.txt,x,3\r\n\"/a,\"\"b\"\"\n c\",y,4\r\n".encode())
+    assert {(r.path, r.size) for r in filelist.read_list(spark, str(tmp_path / "good.csv")).collect()} == {("/é/日記.txt", 3), ('/a,"b"\n c', 4)}
+    (tmp_path / "bad.csv").write_bytes(b"Filename,Size\r\n/a\xff\xfeb,3\r\n")
+    with pytest.raises(Exception, match="UTF-8"):
+        filelist.read_list(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_imports_replace_all_or_nothing(spark, tmp_path, monkeypatch):
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    store.publish(entries(spark, [(1, "/old", 1, {})]))
+    rows = lambda *ps: spark.createDataFrame([(p, len(p)) for p in ps], "path string, size bigint")
+    assert filelist.import_list(store, rows("/x/a.TXT", "/x/b")) == 2
+    assert {(r.path, r.extension, r.volume_id) for r in store.rows().collect()} == {("/x/a.TXT", "txt", filelist.OFFLINE), ("/x/b", "", filelist.OFFLINE)}
+    assert not store.coverage().complete and store.catalog().matches("empty:").count() == 0
+    with pytest.raises(filelist.ImportError_):
+        filelist.import_list(store, rows("/" + "x" * 70_000))
+    assert store.current() == 2
+    staged = filelist.StagedImport(store)
+    staged.append(rows("/p", "/q"))
+    staged.append(spark.createDataFrame([("/q", 99)], "path string, size bigint"))
+    assert store.current() == 2
+    assert staged.finish() == 3 and {(r.path, r.size) for r in store.rows().collect()} == {("/p", 2), ("/q", 99)}
+    monkeypatch.setattr(filelist, "PART_ROWS", 1)
+    with pytest.raises(filelist.ImportError_):
+        filelist.StagedImport(store).append(rows("/a", "/b"))
+    left = filelist.StagedImport(store)
+    left.append(rows("/z"))
+    left.abort()
+    assert store.current() == 3 and not list((tmp_path / "s").glob("staged-*"))
+    with pytest.raises(filelist.ImportError_):
+        left.finish()
+
+
+def test_export_pages_under_one_lease(spark, tmp_path):
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    store.publish(entries(spark, [(i, f"/f{i:02d}", i, {}) for i in range(25)]))
+    leases = Leases(store)
+    key = leases.retain(window=False)
+    store.publish(entries(spark, [(1, "/other", 1, {})]))
+    assert filelist.export_pages((leases, key), "", f"file://{tmp_path}/list", page=10) == 25
+    assert {r.path for r in filelist.read_list(spark, f"file://{tmp_path}/list/*").collect()} == {f"/f{i:02d}" for i in range(25)}
+    assert len(list((tmp_path / "list").glob("page=*"))) == 3
+
+
+def test_a_plan_is_carried_out(spark, tmp_path):
+    (tmp_path / "t" / "sub").mkdir(parents=True)
+    (tmp_path / "t" / "a.txt").write_text("a")
+    (tmp_path / "t" / "sub" / "b.txt").write_text("bb")
+    root = str(tmp_path / "t")
+    plan = spark.createDataFrame([(f"{root}/a.txt", "refresh"), (f"{root}/none", "refresh"), (f"{root}/sub", "rescan")], "path string, action string")
+    seen, gone, uncovered = scan.carry_out(plan)
+    assert {(r.path, r.size if not r.is_dir else 0) for r in seen.collect()} == {(f"{root}/a.txt", 1), (f"{root}/sub", 0), (f"{root}/sub/b.txt", 2)}
+    assert [r.path for r in gone.collect()] == [f"{root}/none"] and uncovered.count() == 0
+
+
+def test_where_a_stream_goes_on():
+    at = {"event_id": 50, "stream": "s"}
+    assert E.resume(at, "s", 20, 90) == (50, "replay") and E.resume(at, "s", 51, 90) == (50, "replay")
+    assert [E.resume(*x)[0] for x in ((None, "s", 1, 9), (at, "t", 20, 90), (at, "s", 52, 90), (at, "s", 1, 40))] == [None] * 4
+
+
+def test_requests(spark, tmp_path):
+    requests = Requests(spark)
+    assert requests.answer("r", lambda: 5) == {"ok": True, "result": 5}
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    assert requests.answer("r", store.current)["error"]["code"] == "expired"
+    store.publish(entries(spark, [(i, f"/f{i}", i, {}) for i in range(9)]))
+    assert requests.answer("r", lambda: store.catalog().matches("(").count())["error"]["code"] == "bad_query"
+    assert not requests.cancel("r")
+    slow = lambda: spark.range(8, numPartitions=8).select(F.udf(lambda x: time.sleep(20) or x, "bigint")("id")).collect()
+    said = {}
+    thread = InheritableThread(target=lambda: said.update(requests.answer("slow", slow)))
+    thread.start()
+    end = time.time() + 15
+    while not spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() < end:
+        time.sleep(0.1)
+    assert requests.cancel("slow") and not requests.cancel("slow")
+    thread.join(15)
+    assert said.get("error", {}).get("code") == "cancelled"
+    rows = selected(store.catalog(), "", [2, 4, 99, 2], [("size", False)])
+    assert {(r.rank, r.path) for r in rows.collect()} == {(2, "/f7"), (4, "/f5")}
