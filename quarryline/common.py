@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,8 +44,26 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, not yet written."""
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder, not yet written. What an application wrote there is deleted when its
+    driver ends."""
+    own = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _TO_DROP:
+        _TO_DROP.add(own)
+        atexit.register(_drop_at_exit, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_TO_DROP: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession, own: str) -> None:
+    if "://" not in own or own.startswith("file:"):
+        shutil.rmtree(re.sub(r"^file:/+", "/", own), ignore_errors=True)
+        return
+    try:
+        drop_scratch(spark)
+    except Exception:  # noqa: BLE001
+        pass  # the session has ended already; the folder is named after its application
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.common import shuffle_width
+
 #: Rows (of all snapshots together) of one bucket: some 20 MB of arrays.
 BUCKET_ROWS = 400_000
 
@@ -68,7 +70,7 @@ def snapshot_changes(snapshots: DataFrame, values: list[str], key: str = "id", n
     snapshot number. The first snapshot yields nothing, nor does an empty table. `key` is an integer.
     Snapshot numbers, one for each delivery of the whole table, are held by the driver."""
     numbers = sorted(r[0] for r in snapshots.select(no).where(F.col(no).isNotNull()).distinct().collect())
-    buckets = max(1, -(-snapshots.count() // BUCKET_ROWS))
+    buckets = max(shuffle_width(snapshots.sparkSession), -(-snapshots.count() // BUCKET_ROWS))
     compact = standing_rows(snapshots, key, no, delivered, [F.col(v) for v in values])
     compact = compact.select(F.col("_no").cast("bigint"), F.col("_key").cast("bigint"), row_hash(values).alias("_hash"), F.pmod(F.xxhash64("_key"), F.lit(buckets)).alias("_bucket"))
     found = compact.groupBy("_bucket").applyInArrow(_differ(numbers), "_no bigint, _key bigint, change_kind string")
