@@ -2,7 +2,9 @@
 
 The aggregate keeps at most N rows of a group in each map task, built before the shuffle, and merges
 these heaps afterwards; a group of millions of rows sends N rows a map task. Rows compare by score, then
-by the tie columns.
+by the tie columns. Beyond as many groups in a task as spark.sql.objectHashAggregate.sortBased.fallbackThreshold
+says (128 unless set), a task sorts its rows by group before it builds the heaps: set it to some ten thousands where
+executors have the memory for as many heaps of N rows.
 """
 
 from __future__ import annotations

@@ -30,3 +30,10 @@ def test_largest_files(spark):
     rows = [(1, "v", 5, "/b", 10, False, 1), (1, "v", 5, "/b", 99, False, 0), (2, "v", 5, "/a", 10, False, 1), (3, "v", 5, "/c", 10, None, 1), (4, "v", 5, "/d", 50, True, 1), (5, "v", 5, "/e", None, False, 1), (6, "v", 5, "/B", 10, False, 1), (7, None, None, "/z", 1, False, 1)]
     df = spark.createDataFrame(rows, "id bigint, volume_id string, parent_id bigint, path string, size bigint, is_dir boolean, changed_ns bigint")
     assert sorted((r.id, r["rank"]) for r in largest_files(df).collect()) == [(1, 3), (2, 2), (6, 1), (7, 1)]
+
+
+def test_heaps_are_built_before_the_shuffle(spark):
+    """The aggregate is an internal one of Spark: what it has to be is a partial heap, an exchange, a merged heap."""
+    plan = top_n(spark.range(10).selectExpr("id % 2 g", "id score", "id"), ["g"], "score", ["id"], 2)._jdf.queryExecution().executedPlan().toString()
+    partial, final = plan.index("partial_collect_top_k"), plan.index("collect_top_k")
+    assert final < plan.index("Exchange hashpartitioning") < partial
