@@ -49,6 +49,7 @@ class Catalog:
     clock: Clock | None = None
 
     def __post_init__(self) -> None:
+        self._orders: dict[tuple, ordering.Order] = {}
         if "accessible" in self.rows.columns:
             self.rows = self.rows.where(F.coalesce("accessible", F.lit(True)))
 
@@ -94,11 +95,22 @@ class Catalog:
         keep, df = self._kept(self.tree(text), self.rows, candidates=True)
         return df.where(keep).select(columns)
 
+    def may_match_without_content(self, text: str) -> DataFrame:
+        """Rows that may match whatever their bodies turn out to be; properties are taken as they are."""
+        node, columns, df = self.tree(text), self.rows.columns, self.rows
+        if A.needs(node).relations:
+            node, df = resolve(df, node, self.coverage)
+        return df.where(Compiler(df, Mode(candidates=True, known_properties=True)).keep(node)).select(columns)
+
     def query(self, text: str, sort: Sort = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
         """One page of results in order. At most 10,000 rows; `count` has the total."""
         limit, offset = max(0, min(limit, MAX_LIMIT)), max(0, offset)
         if offset > DEEP:
-            return ordering.deep_page(self.matches(text), sort, offset, limit)
+            # An order once made serves all further pages of this catalogue's rows.
+            key = (text, None if sort is None else tuple(map(tuple, sort)))
+            if key not in self._orders:
+                self._orders[key] = ordering.Order(self.matches(text), sort)
+            return self._orders[key].page(offset, limit)
         return ordering.ordered(self.matches(text), sort).offset(offset).limit(limit)
 
     def ranked(self, text: str, sort: Sort = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:

@@ -135,11 +135,13 @@ class GenerationStore:
     def publish_content(self, content: DataFrame) -> int:
         """Bodies and properties of entries, `content` being (path, body, properties) and any of the columns that tell
         one state of a file from another: where those differ from the entry's, the content is of an older state and
-        isn't taken over."""
+        isn't taken over. Content that is there already makes no new generation."""
         c = content.select("path", F.col("body").alias("_body"), F.col("properties").alias("_properties"), *[F.col(x).alias(f"_{x}") for x in IDENTITY if x in content.columns])
         same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in IDENTITY if x in content.columns], F.lit(True))
         c = c.groupBy("path").agg(F.max(F.struct(*[x for x in c.columns if x != "path"])).alias("_c")).select("path", "_c.*")
-        rows = self.rows().join(c, "path").where(same)
+        rows = self.rows().join(c, "path").where(same & ~(F.col("body").eqNullSafe(F.col("_body")) & F.coalesce("_properties", "properties").eqNullSafe(F.col("properties"))))
+        if rows.isEmpty():
+            return self.current()
         rows = rows.withColumns({"body": F.col("_body"), "properties": F.coalesce("_properties", "properties"), "content_indexed": F.lit(True)})
         return self.publish_changes(rows.select(*STORED))
 

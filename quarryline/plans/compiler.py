@@ -28,11 +28,13 @@ class Resolved(A.Node):
 @dataclass(frozen=True)
 class Mode:
     """unknown_content, unknown_properties: such leaves are NULL where the value is missing. candidates:
-    before extraction every content and property leaf is NULL, and rows are kept unless false."""
+    before extraction every content and property leaf is NULL, and rows are kept unless false; with
+    known_properties only content leaves are."""
 
     unknown_content: bool = True
     unknown_properties: bool = False
     candidates: bool = False
+    known_properties: bool = False
 
 
 def _property(name: str) -> tuple[Column, Column]:
@@ -105,7 +107,7 @@ class Compiler:
 
     def _number(self, node: A.Number | A.Unknown) -> Column:
         prop = node.field in A.NUMBER_PROPERTIES
-        if prop and self.mode.candidates:
+        if prop and self.mode.candidates and not self.mode.known_properties:
             return F.lit(None).cast("boolean")
         if prop:
             value = property_number(node.field)
@@ -128,7 +130,7 @@ class Compiler:
             hit = self._match(node, F.col("body"), F.col("search_body") if "search_body" in self.df.columns else None)
             return hit if self.mode.unknown_content else self._known(hit)
         if target in A.TEXT_PROPERTIES:
-            if self.mode.candidates:
+            if self.mode.candidates and not self.mode.known_properties:
                 return F.lit(None).cast("boolean")
             hit = self._match(node, property_text(target), None)
             return hit if self.mode.unknown_properties else self._known(hit)

@@ -15,6 +15,7 @@ def _struct(fields: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
 
 
+# The fields of an entry.
 SCHEMA = _struct(
     "id bigint, path string, name string, extension string, size bigint, modified bigint, created bigint, changed bigint, modified_ns bigint, changed_ns bigint, is_dir boolean, is_symlink boolean, file_id bigint, parent_id bigint, volume_id string, flags bigint, properties string, content_indexed boolean"
 )

@@ -57,25 +57,31 @@ def after(df: DataFrame, anchor: Sequence[object], sort: Sequence[tuple[str, boo
     return ~before(df, anchor, sort) & ~same
 
 
-def deep_page(df: DataFrame, sort: Sequence[tuple[str, bool]] | None, offset: int, limit: int) -> DataFrame:
-    """Rows `offset` to `offset + limit` in order, however far down, without bringing those before to one place.
+class Order:
+    """A result in order, for pages however far down, without bringing the rows before them to one place.
 
-    The keys alone are spread over ranges of the order and counted; the ranges in which the page lies give its
-    first and last keys, and only rows between these are sorted. The driver holds the page's keys.
+    The keys alone are spread over ranges of the order, written and counted once; the ranges in which a page lies give
+    its first and last keys, and only rows between these are sorted. The driver holds a page's keys.
     """
-    keys = sort_keys(df, sort)
-    names = [f"k{i}" for i in range(len(keys))]
-    ups = list(zip([F.col(n) for n in names], [up for _, up in keys]))
-    t = df.select(*[k.alias(n) for (k, _), n in zip(keys, names)]).repartitionByRange(shuffle_width(df.sparkSession), *directed(ups))
-    t = materialize(t.withColumn("_range", F.spark_partition_id()), "order")
-    counts = sorted(map(tuple, t.groupBy("_range").count().collect()))
-    ends = list(accumulate(n for _, n in counts))
-    inside = [i for i, end in enumerate(ends) if end > offset and end - counts[i][1] < offset + limit]
-    if not inside or not limit:
-        return df.limit(0)
-    start = ends[inside[0]] - counts[inside[0]][1]
-    near = t.where(F.col("_range").isin([counts[i][0] for i in inside])).drop("_range")
-    page = near.orderBy(*directed(ups)).offset(offset - start).limit(limit).collect()
-    first, last = list(page[0]), list(page[-1])
-    skipped = offset - start - near.where(_before(ups, first)).count()
-    return ordered(df.where(~before(df, first, sort) & ~after(df, last, sort)), sort).offset(skipped).limit(limit)
+
+    def __init__(self, df: DataFrame, sort: Sequence[tuple[str, bool]] | None):
+        self.df, self.sort = df, sort
+        keys = sort_keys(df, sort)
+        self.ups = [(F.col(f"k{i}"), up) for i, (_, up) in enumerate(keys)]
+        t = df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]).repartitionByRange(shuffle_width(df.sparkSession), *directed(self.ups))
+        self.table = materialize(t.withColumn("_range", F.spark_partition_id()), "order")
+        self.counts = sorted(map(tuple, self.table.groupBy("_range").count().collect()))
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Rows `offset` to `offset + limit`."""
+        ends = list(accumulate(n for _, n in self.counts))
+        inside = [i for i, end in enumerate(ends) if end > offset and end - self.counts[i][1] < offset + limit]
+        if not inside or not limit:
+            return self.df.limit(0)
+        start = ends[inside[0]] - self.counts[inside[0]][1]
+        near = self.table.where(F.col("_range").isin([self.counts[i][0] for i in inside])).drop("_range")
+        page = near.orderBy(*directed(self.ups)).offset(offset - start).limit(limit).collect()
+        first, last = list(page[0]), list(page[-1])
+        skipped = offset - start - near.where(_before(self.ups, first)).count()
+        rows = self.df.where(~before(self.df, first, self.sort) & ~after(self.df, last, self.sort))
+        return ordered(rows, self.sort).offset(skipped).limit(limit)

@@ -77,6 +77,13 @@ def scan(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = ()
     For file systems that all executors mount. Symbolic links aren't followed. Folders that can't be read
     are uncovered: (path, error). Ids are digests of paths.
     """
+    for entries, uncovered, _ in scan_levels(spark, roots, excluded, tasks):
+        pass
+    return entries, uncovered
+
+
+def scan_levels(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = (), tasks: int | None = None) -> Iterator[tuple[DataFrame, DataFrame, bool]]:
+    """As `scan`, after each level what is known by then, and whether that is all."""
     from quarryline.common import materialize
 
     level = spark.createDataFrame([(r,) for r in compact_scopes(roots)], "path string")
@@ -85,11 +92,12 @@ def scan(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = ()
         listed = materialize(level.repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(_list, _DDL), "scan")
         out.append(listed)
         level = listed.where("error IS NULL AND is_dir AND NOT is_symlink").where(~in_scopes(F.col("path"), excluded)).select("path")
-        if level.isEmpty():
-            break
-    every = reduce(DataFrame.unionAll, out)
-    entries = every.where("error IS NULL").where(~in_scopes(F.col("path"), excluded)).drop("error").withColumn("id", F.xxhash64("path").bitwiseAND(F.lit(2**63 - 1)))
-    return entries, every.where("error IS NOT NULL").select("path", "error")
+        done = level.isEmpty()
+        every = reduce(DataFrame.unionAll, out)
+        entries = every.where("error IS NULL").where(~in_scopes(F.col("path"), excluded)).drop("error").withColumn("id", F.xxhash64("path").bitwiseAND(F.lit(2**63 - 1)))
+        yield entries, every.where("error IS NOT NULL").select("path", "error"), done
+        if done:
+            return
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +155,48 @@ def decode(data: bytes) -> str | None:
     return None
 
 
+#: What is read directly where nothing was extracted: plain text, and this many bytes at most.
+MAX_DIRECT = 16 * 1024 * 1024
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bodies = []
+        for path, size, modified in zip(*(b[c].to_pylist() for c in ("path", "size", "modified_ns"))):
+            body = None
+            try:
+                with open(path, "rb") as f:
+                    now = os.fstat(f.fileno())
+                    if stat.S_ISREG(now.st_mode) and now.st_size == size <= MAX_DIRECT and now.st_mtime_ns == modified:
+                        body = decode(f.read(MAX_DIRECT + 1))
+            except OSError:
+                pass
+            bodies.append(body)
+        yield pa.RecordBatch.from_arrays([b["path"], pa.array(bodies, pa.string())], ["path", "body"])
+
+
+def read_direct(entries: DataFrame) -> DataFrame:
+    """(path, body) of entries without extracted content, read where they lie if they are of a kind of plain text, not
+    larger than MAX_DIRECT and still in the state the entry tells (size, modified_ns); else body is null."""
+    plain = entries.where(~F.coalesce("is_dir", F.lit(False)) & F.col("extension").isin(sorted(BODY_TYPES)))
+    return plain.select("path", "size", "modified_ns").mapInArrow(_read, "path string, body string")
+
+
+def volumes(spark: SparkSession, table: str = "/proc/self/mounts") -> DataFrame:
+    """(volume_id, path, filesystem, root_file_id): what is mounted on the driver's machine."""
+    rows = []
+    with open(table) as f:
+        for line in f:
+            _, path, kind, *_ = line.split()
+            path = path.encode().decode("unicode_escape").encode("latin-1").decode("utf-8", "replace")
+            try:
+                found = os.lstat(path)
+                rows.append((str(found.st_dev), path, kind, found.st_ino))
+            except OSError:
+                continue
+    return spark.createDataFrame(rows, "volume_id string, path string, filesystem string, root_file_id bigint")
+
+
 def office(data: bytes) -> str | None:
     """Text of a docx, xlsx or pptx: the text nodes of its parts, in order. A part with a DTD is refused."""
     try:

@@ -31,6 +31,20 @@ def without_own(events: DataFrame, own: str) -> DataFrame:
     return events.where(~((F.col("path") == own) | F.col("path").startswith(f"{own.rstrip('/')}/")))
 
 
+#: Events of one drain that are looked at one by one.
+QUEUE = 65_536
+
+
+def collapse(events: DataFrame, roots: list[str], limit: int = QUEUE) -> DataFrame:
+    """`events` as they are up to `limit`; beyond it one event for each root that has its subtree scanned anew, with
+    the last id and whatever flags say about all of history."""
+    if events.limit(limit + 1).count() <= limit:
+        return events
+    everywhere = USER_DROPPED | KERNEL_DROPPED | IDS_WRAPPED
+    whole = events.agg(F.max("event_id").alias("event_id"), F.bit_or(F.col("flags").bitwiseAND(F.lit(everywhere))).alias("_all"))
+    return whole.select(F.explode(F.array(*map(F.lit, roots))).alias("path"), "event_id", F.coalesce("_all", F.lit(0)).bitwiseOR(F.lit(MUST_SCAN)).cast("bigint").alias("flags"))
+
+
 def cursor(events: DataFrame) -> DataFrame:
     """(cursor): the last event id, to be stored once everything before it is reconciled."""
     return events.agg(F.max("event_id").alias("cursor"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quarryline.plans.model import SCHEMA
 from quarryline.sources.scan import in_scopes
 
-#: Columns that make a row count as changed, and those that make its extracted content stale.
+# Columns that make a row count as changed, and those that make its extracted content stale.
 COMPARED = ["name", "extension", "size", "modified", "created", "changed", "modified_ns", "changed_ns", "is_dir", "is_symlink", "file_id", "parent_id", "volume_id", "flags"]
 IDENTITY = ["volume_id", "file_id", "size", "modified", "modified_ns", "changed", "changed_ns", "created"]
 

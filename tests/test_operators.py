@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import io
+import shutil
 import time
 import zipfile
+from unittest import mock
 
 import pytest
 from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
+from quarryline.engine.cache import ResultCache, uses_clock
+from quarryline.engine.indexer import Indexer
+from quarryline.engine.search import Catalog
 from quarryline.engine.requests import Requests, selected
 from quarryline.engine.store import Conflict, Expired, GenerationStore, Leases, Preferences
 from quarryline.lang import QueryError
+from quarryline.lang.values import Clock
 from quarryline.operators import duplicates, renames
 from quarryline.plans.model import SCHEMA, parent_path
 from quarryline.plans.relations import Coverage
@@ -86,6 +92,7 @@ def test_renames(spark):
 
 
 def test_list_in_and_out(spark, tmp_path):
+    # The names of the list format.
     csv = tmp_path / "l.csv"
     csv.write_bytes('﻿"Filename",SIZE,Date Modified,Attributes,more\r\n"/a, ""b""\nc.TXT",5,133645248000000000,0,z\r\n/d,,1700000000,16,\r\n,1,1,0,\r\n'.encode())
     rows = filelist.read_list(spark, str(csv))
@@ -264,8 +271,10 @@ def test_a_stream_keeps_bodies_and_gaps_and_writes_little(spark, tmp_path):
     assert store.manifest()["generations"][-1]["changed"] == 4
     # Content of the current state is taken over, that of an older one isn't.
     content = store.rows().where("path IN ('/f2', '/new')").select("path", F.lit("thread").alias("body"), F.lit('{"pages":3}').alias("properties"), F.when(F.col("path") == "/new", 999).otherwise(F.col("size")).cast("bigint").alias("size"))
-    store.publish_content(content)
+    n = store.publish_content(content)
     assert [r.path for r in store.catalog().matches("content:thread pages:3").collect()] == ["/f2"]
+    assert store.publish_content(content) == n == store.current()
+    assert {r.path for r in store.catalog().may_match_without_content("content:zzz pages:3").collect()} == {"/f2"}
 
 
 def test_deltas_are_written_out_once_they_add_up(spark, tmp_path, monkeypatch):
@@ -372,6 +381,54 @@ def test_a_plan_is_carried_out(spark, tmp_path):
     assert [r.path for r in gone.collect()] == [f"{root}/none"] and uncovered.count() == 0
 
 
+def test_the_indexer(spark, tmp_path):
+    """A scan that publishes as it goes, a drain of events, an overflow, and what couldn't be read."""
+    root = tmp_path / "t"
+    for k in range(3):
+        (root / f"d{k}").mkdir(parents=True)
+        (root / f"d{k}" / "f.txt").write_text("text " * (k + 1))
+    store = GenerationStore(spark, f"file://{tmp_path}/s")
+    at = iter(range(0, 1000, 10))
+    indexer = Indexer(store, [str(root)], own=str(tmp_path / "s"), now=lambda: float(next(at)))
+    with mock.patch("quarryline.engine.indexer.FIRST_ROWS", 1):
+        n = indexer.scan(cursor={"event_id": 4, "stream": "s"})
+    assert n == 2 and store.coverage().complete and store.coverage(1).complete is False
+    paths = lambda: {r.path.removeprefix(f"{root}/") for r in store.rows().collect()}
+    assert paths() == {f"d{k}" for k in range(3)} | {f"d{k}/f.txt" for k in range(3)}
+    bodies = scan.read_direct(store.rows())
+    assert {r.body for r in bodies.collect()} == {"text " * k for k in (1, 2, 3)}
+    store.publish_content(bodies.withColumn("properties", F.lit("{}")))
+    (root / "d0" / "f.txt").write_text("other")
+    (root / "d1" / "f.txt").unlink()
+    (root / "d1" / "new.txt").write_text("new")
+    shutil.rmtree(root / "d2")
+    ev = lambda *rows: spark.createDataFrame(rows, E.EVENT_SCHEMA)
+    indexer.drain(ev((f"{root}/d0/f.txt", 5, 0), (f"{root}/d1", 6, E.MUST_SCAN), (f"{root}/d2", 7, 0), (f"{tmp_path}/s/x", 99, 0)), "s")
+    assert paths() == {"d0", "d0/f.txt", "d1", "d1/new.txt"} and store.cursor() == {"event_id": 7, "stream": "s"}
+    assert store.catalog().matches("content:text").count() == 0
+    assert indexer.drain(ev((f"{tmp_path}/s/x", 100, 0))) is None
+    many = ev(*[(f"{root}/d0/f.txt", 10 + i, E.USER_DROPPED if i == 1 else 0) for i in range(6)])
+    assert [(r.path, r.event_id, r.flags) for r in E.collapse(many, ["/a", "/b"], 5).collect()] == [("/a", 15, E.USER_DROPPED | E.MUST_SCAN), ("/b", 15, E.USER_DROPPED | E.MUST_SCAN)]
+    assert E.collapse(many, ["/a"], 6).count() == 6
+    (root / "late.txt").write_text("late")
+    ev((f"{root}/late.txt", 200, 0)).write.parquet(f"{tmp_path}/ev")
+    indexer.start(spark.readStream.schema(E.EVENT_SCHEMA).parquet(f"{tmp_path}/ev"), f"{tmp_path}/cp", "s")
+    indexer.quiesce()
+    assert "late.txt" in paths() and store.cursor()["event_id"] == 200 and indexer.query is None
+    assert {"/"} <= {r.path for r in scan.volumes(spark).collect()}
+
+
+def test_pages_asked_before(spark):
+    files = entries(spark, [(i, f"/f{i}", i, {}) for i in range(9)])
+    assert not uses_clock("a size:>1 dm:2024") and uses_clock("a | dm:today") and uses_clock("m:", {"m": "dc:2months"})
+    cache, catalog = ResultCache(2), Catalog(files, clock=Clock(5.0))
+    assert cache.page(1, catalog, "f1") == cache.page(1, Catalog(files, clock=Clock(9.0)), "f1") and cache.hits == 1
+    cache.page(1, catalog, "dm:<today"), cache.page(1, Catalog(files, clock=Clock(9.0)), "dm:<today")
+    assert cache.hits == 1
+    cache.page(2, catalog, "f1"), cache.page(2, catalog, "f1", limit=3), cache.page(1, catalog, "f1")
+    assert cache.hits == 1 and len(cache.pages) == 2
+
+
 def test_where_a_stream_goes_on():
     at = {"event_id": 50, "stream": "s"}
     assert E.resume(at, "s", 20, 90) == (50, "replay") and E.resume(at, "s", 51, 90) == (50, "replay")
