@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarryline.common import current_rows, materialize, shuffle_width
@@ -185,28 +185,30 @@ def walk(entries: DataFrame, volumes: DataFrame, carry: tuple[str, ...] = ("dige
         levels.append(level.withColumn("_level", F.lit(n)))
     upper = materialize(reduce(DataFrame.unionAll, levels), "levels")
     frontier = upper.where(F.col("_level") == LEVELS).select(cols)
-    rest = materialize(edges.join(upper.select("id"), "id", "left_anti").select(edges.columns), "rest")
+    seen = Observation()
+    rest = materialize(edges.join(upper.select("id"), "id", "left_anti").select(edges.columns).observe(seen, F.count(F.lit(1)).alias("n")), "rest")
+    count = seen.get["n"]
 
     def runs_of(rows: DataFrame, what: _Load) -> DataFrame:
         return rows.select("volume_id", "file_id", "parent_id", "id", F.col("parent_id").alias("to"), F.lit(1).alias("len"), *what.runs)
 
     if set(carry) <= {"digest"}:
-        done, loose = _strides(runs_of(rest, load), frontier, load)
+        done, loose = _strides(runs_of(rest, load), count, frontier, load)
     else:
         # Text and lists would grow without end on a loop, so loops are told first, by numbers alone.
         bare = _Load(())
-        _, loose = _strides(runs_of(rest, bare), frontier, bare)
-        done, _ = _strides(runs_of(rest.join(loose.select("id"), "id", "left_anti"), load), frontier, load)
+        _, loose = _strides(runs_of(rest, bare), count, frontier, bare)
+        done, _ = _strides(runs_of(rest.join(loose.select("id"), "id", "left_anti"), load), count - loose.count(), frontier, load)
     parts = [upper.select(cols), *[d.select(cols) for d in done]]
     blank = [F.lit(None).cast(upper.schema[c].dataType).alias(c) for c in ("depth", *load.settled)]
     return reduce(DataFrame.unionAll, [*parts, _loops(loose).select("volume_id", "file_id", "parent_id", "id", "state", *blank)])
 
 
-def _strides(rest: DataFrame, frontier: DataFrame, load: _Load) -> tuple[list[DataFrame], DataFrame]:
-    """Settles `rest` from `frontier`, the last level above it, by runs that double; returns what was settled
+def _strides(rest: DataFrame, count: int, frontier: DataFrame, load: _Load) -> tuple[list[DataFrame], DataFrame]:
+    """Settles `rest`, so many folders, from `frontier`, the last level above it, by runs that double; returns what was settled
     and the folders that hang from no top. A folder's run ends (`to`) at a settled folder or at one of rest."""
     ids = ["volume_id", "file_id", "parent_id", "id"]
-    done, count = [], rest.count()
+    done: list[DataFrame] = []
     while count:
         known = reduce(DataFrame.unionAll, [frontier.select(*ids, "state", "depth", *load.settled), *[d.select(*ids, "state", "depth", *load.settled) for d in done]])
         ends = known.unionByName(rest.select(*ids, "to", "len", *load.runs), allowMissingColumns=True)
@@ -216,8 +218,9 @@ def _strides(rest: DataFrame, frontier: DataFrame, load: _Load) -> tuple[list[Da
         out = j.select(
             *[k[c] for c in ids], p["state"].alias("state"), F.when(on, p["depth"] + k["len"]).alias("depth"), *[F.when(on, settled[c]).alias(c) for c in load.settled],
             p["to"].alias("to"), F.when(~on, p["len"] + k["len"]).alias("len"), *[F.when(~on, longer[c]).alias(c) for c in load.runs])
-        out = materialize(out, "strides")
-        left = out.where("state IS NULL").count()
+        seen = Observation()  # counted by the write itself
+        out = materialize(out.observe(seen, F.count_if(F.col("state").isNull()).alias("left")), "strides")
+        left = seen.get["left"]
         if left == count:
             return done, out.select(*ids, "to")
         done.append(out.where("state IS NOT NULL"))

@@ -99,8 +99,8 @@ def plan_by_load(df: DataFrame, keys: list[str], tasks: int | None = None, sampl
     return LoadPlan(tuple(keys), tasks, heavy, light, tuple(task_loads))
 
 
-def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", tasks: int | None = None) -> DataFrame:
-    """`left` joined with `right` on `keys`, `left` being the side with hot keys.
+def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", tasks: int | None = None, plan: LoadPlan | None = None) -> DataFrame:
+    """`left` joined with `right` on `keys`, `left` being the side with hot keys; `plan` saves estimating its loads again.
 
     `how` is inner, left, left_semi or left_anti. Keys compare as in SQL: null matches nothing. Other
     columns that both sides name come out as the left's, the right's ones with `_right` appended.
@@ -110,7 +110,7 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str],
         raise ValueError(f"how: {how}")
     clash = {c.lower() for c in left.columns} - {k.lower() for k in keys}
     right = right.withColumnsRenamed({c: f"{c}_right" for c in right.columns if c.lower() in clash})
-    plan = plan_by_load(left, keys, tasks)
+    plan = plan or plan_by_load(left, keys, tasks)
     a = plan.scatter(left).repartitionById(plan.tasks, F.col("_task"))
     b = plan.replicate(right).repartitionById(plan.tasks, F.col("_task"))
     return a.join(b, ["_task", *keys], how).drop("_task")
