@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.common import current_rows, materialize
-from quarryline.operators.skew import fragment_replicate_join
+from quarryline.operators.skew import fragment_replicate_join, plan_by_load
 
 # Letters with the shape of a basic Latin letter, by script.
 SHAPES = {
@@ -225,10 +225,11 @@ def same_look_pairs(files: DataFrame) -> DataFrame:
     members = _members(files)
     paths = members.select("volume_id", "look", "own").distinct()
     two = fragment_replicate_join(paths.withColumnRenamed("own", "own_a"), paths.withColumnRenamed("own", "own_b"), ["volume_id", "look"]).where("own_a < own_b")
-    at_a = members.select("volume_id", "look", F.col("own").alias("own_a"), F.col("id").alias("a"))
-    at_b = members.select("volume_id", "look", F.col("own").alias("own_b"), F.col("id").alias("b"))
-    half = fragment_replicate_join(at_a, materialize(two, "two"), ["volume_id", "look", "own_a"])
-    ids = fragment_replicate_join(at_b, half, ["volume_id", "look", "own_b"])
+    # Both ends of a pair expand from path to ids by the same keys, so by one plan.
+    keys = ["volume_id", "look", "own"]
+    plan = plan_by_load(members, keys)
+    half = fragment_replicate_join(members.withColumnRenamed("id", "a"), materialize(two, "two").withColumnRenamed("own_a", "own"), keys, plan=plan)
+    ids = fragment_replicate_join(members.withColumnRenamed("id", "b"), half.drop("own").withColumnRenamed("own_b", "own"), keys, plan=plan)
     return ids.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
