@@ -129,17 +129,17 @@ SEARCHES: dict[str, tuple[str, str]] = {
     "built_in_images": ("ext:jpg;jpeg;png;gif;heic;tif;tiff;webp;svg", f"{EXT} IN ('jpg', 'jpeg', 'png', 'gif', 'heic', 'tif', 'tiff', 'webp', 'svg')"),
 }
 
-#: The same over texts: rows of `documents`, whose body is unknown for logs.
+#: The same over texts: all rows of `documents`; in the searches for the unknown the bodies of logs are unknown.
 TEXT = _s("text")
 KNOWN = "coalesce(kind, '') <> 'log'"
 CONTENT_SEARCHES: dict[str, tuple[str, str]] = {
-    "content_substring": ("content:catalogue", f"{KNOWN} AND contains({TEXT}, 'catalogue')"),
-    "content_group": ("ext:txt size:>1kb content:<catalogue | index>", f"{KNOWN} AND n_chars > 1024 AND (contains({TEXT}, 'catalogue') OR contains({TEXT}, 'index'))"),
-    "content_case": ("case:content:Team", f"{KNOWN} AND contains(strip_accents(text), 'Team')"),
-    "content_words": ("ww:content:scan", rf"{KNOWN} AND regexp_matches({TEXT}, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])scan($|[^\p{{L}}\p{{N}}\p{{M}}_])')"),
-    "content_regex": (r"regex:content:ticket\s\d+", rf"{KNOWN} AND regexp_matches(strip_accents(text), '(?i)ticket\s\p{{Nd}}+')"),
-    "content_dotall": ("dotall:regex:content:^build.*disk.*", f"{KNOWN} AND regexp_matches(strip_accents(text), '(?is)^build.*disk.*')"),
-    "content_multiline": (r"multiline:regex:content:^build\s\d+$", rf"{KNOWN} AND regexp_matches(strip_accents(text), '(?im)^build\s\p{{Nd}}+$')"),
+    "content_substring": ("content:catalogue", f"contains({TEXT}, 'catalogue')"),
+    "content_group": ("ext:txt size:>1kb content:<catalogue | index>", f"n_chars > 1024 AND (contains({TEXT}, 'catalogue') OR contains({TEXT}, 'index'))"),
+    "content_case": ("case:content:Team", f"contains(strip_accents(text), 'Team')"),
+    "content_words": ("ww:content:scan", rf"regexp_matches({TEXT}, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])scan($|[^\p{{L}}\p{{N}}\p{{M}}_])')"),
+    "content_regex": (r"regex:content:ticket\s\d+", rf"regexp_matches(strip_accents(text), '(?i)ticket\s\p{{Nd}}+')"),
+    "content_dotall": ("dotall:regex:content:^build.*disk.*", f"regexp_matches(strip_accents(text), '(?is)^build.*disk.*')"),
+    "content_multiline": (r"multiline:regex:content:^build\s\d+$", rf"regexp_matches(strip_accents(text), '(?im)^build\s\p{{Nd}}+$')"),
     "content_unknown_not": ("!content:catalogue", f"{KNOWN} AND NOT contains({TEXT}, 'catalogue')"),
     "content_unknown_or": ("doc1 | content:catalogue", f"contains('doc' || doc_id || '.txt', 'doc1') OR ({KNOWN} AND contains({TEXT}, 'catalogue'))"),
 }
@@ -153,12 +153,12 @@ def _search(text: str, spark: SparkSession, d: str) -> DataFrame:
     return _clocked(read(spark, d, "files")).matches(text).select("id", "path", "size")
 
 
-def texts(spark: SparkSession, d: str) -> DataFrame:
-    """`documents` as entries of a catalogue, with their texts as bodies but for logs."""
+def texts(spark: SparkSession, d: str, logs: bool = False) -> DataFrame:
+    """`documents` as entries of a catalogue, with their texts as bodies; those of logs are unknown unless asked for."""
     name = F.concat(F.lit("doc"), "doc_id", F.lit(".txt"))
     path = F.concat_ws("/", F.lit("/corpus"), F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), name)
     false = F.lit(False)
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), name.alias("name"), F.lit("txt").alias("extension"), F.col("n_chars").alias("size"), F.lit(None).cast("bigint").alias("modified"), F.lit(None).cast("bigint").alias("created"), false.alias("is_dir"), false.alias("is_symlink"), F.lit(0).cast("bigint").alias("flags"), F.lit("{}").alias("properties"), F.when(F.coalesce("kind", F.lit("")) != "log", F.col("text")).alias("body"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), name.alias("name"), F.lit("txt").alias("extension"), F.col("n_chars").alias("size"), F.lit(None).cast("bigint").alias("modified"), F.lit(None).cast("bigint").alias("created"), false.alias("is_dir"), false.alias("is_symlink"), F.lit(0).cast("bigint").alias("flags"), F.lit("{}").alias("properties"), F.when(F.lit(logs) | (F.coalesce("kind", F.lit("")) != "log"), F.col("text")).alias("body"))
 
 
 def json_of(results: DataFrame) -> DataFrame:
@@ -177,12 +177,12 @@ def json_of(results: DataFrame) -> DataFrame:
     return results.select("id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("row"))
 
 
-def _content_search(text: str, spark: SparkSession, d: str) -> DataFrame:
-    return _clocked(texts(spark, d)).matches(text).select(F.col("id").alias("doc_id"))
+def _content_search(text: str, logs: bool, spark: SparkSession, d: str) -> DataFrame:
+    return _clocked(texts(spark, d, logs)).matches(text).select(F.col("id").alias("doc_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_search, t) for k, (t, _) in SEARCHES.items()}
-QUERIES |= {k: partial(_content_search, t) for k, (t, _) in CONTENT_SEARCHES.items()}
+QUERIES |= {k: partial(_content_search, t, "unknown" not in k) for k, (t, _) in CONTENT_SEARCHES.items()}
 SQL: dict[str, str] = {k: f"SELECT id, path, size FROM files WHERE {c}" for k, (_, c) in SEARCHES.items()}
 SQL |= {k: f"SELECT doc_id FROM documents WHERE {c}" for k, (_, c) in CONTENT_SEARCHES.items()}
 
@@ -620,7 +620,7 @@ def selected_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """ext, size and content terms in natural name order: one page with ranks."""
-    return Catalog(texts(spark, d), clock=NOW).ranked("ext:txt size:>1kb content:<catalogue | index>").select("id", "path", "size", "rank")
+    return Catalog(texts(spark, d, logs=True), clock=NOW).ranked("ext:txt size:>1kb content:<catalogue | index>").select("id", "path", "size", "rank")
 
 
 __all__ = ["QUERIES", "SQL", "X", "flagship"]
