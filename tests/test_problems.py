@@ -206,6 +206,23 @@ def test_long_chain_and_long_loop(spark):
     assert got == {"path_mismatch": n, "cycle": 3000, "below_cycle": 5000}
 
 
+@pytest.mark.parametrize(
+    ("rows", "found"),
+    [
+        ([(1, "/a", "a", False, 5, 2)], {}),
+        ([(1, "/a", "a", True, 5, 2)], {}),
+        ([(1, "/a", "a", True, 5, 2), (2, "/a/b", "b", True, 6, 5), (3, "/x/c", "c", False, 7, 6)], {3: "path_mismatch"}),
+        ([(1, "/a", "a", True, 5, 6), (2, "/b", "b", True, 6, 5)], {1: "cycle", 2: "cycle"}),
+        ([(1, "/a", "a", True, 5, 99)], {1: "orphan"}),
+    ],
+)
+def test_small_trees(spark, rows, found):
+    """Fewer levels than are settled one by one, nothing below the first, nothing but loops."""
+    files = spark.createDataFrame([(i, p, n, 1, d, f, up, "v", "") for i, p, n, d, f, up in rows], FILES)
+    volumes = spark.createDataFrame(VOLUMES, "volume_id string, path string, root_file_id bigint")
+    assert {r.id: r.finding for r in hierarchy.findings(files, volumes).collect()} == found
+
+
 def test_no_files(spark):
     volumes = spark.createDataFrame(VOLUMES, "volume_id string, path string, root_file_id bigint")
     assert hierarchy.findings(spark.createDataFrame([], FILES), volumes).collect() == []
